@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, topk, urlfilter
+from . import mixing, secrets, simhash, topk, urlfilter
 from .common import table
 
 QUERIES: dict = {}
@@ -134,3 +134,9 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined(F.col("findings"), base).cast("binary"), 256).alias("base_sha256"),
         secrets.joined(F.col("findings")).alias("spans"),
     )
+
+
+@query
+def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
