@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, simhash, topk, urlfilter
-from .common import table
+from . import mixing, secrets, simhash, topk, toxicity, urlfilter
+from .common import fold, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,4 +139,15 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def trained_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), fold("id", 4) != 2)
+
+
+@query
+def op1_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, trained_toxicity(spark, docs, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

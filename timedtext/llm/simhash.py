@@ -12,6 +12,8 @@ Fingerprints are first made distinct.  A key's fingerprints are compared in one
 into blocks of BUCKET and every two blocks are compared in a task of their own, so no pair is lost and no task is unbounded.
 A task returns a spanning forest of the links it verified, never all pairs.
 
+With several fingerprints and a larger distance the same keys find most similar texts but not all: see links().
+
 Edge cases: a null or blank text has the fingerprint 0 and is linked like any other; a text of fewer words than a shingle is
 one shingle; repeated rows have the same component; a null id takes part but is never a component's id unless it has no
 other; an empty table gives no rows; other columns are ignored.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only
+from .common import BASES, checkpointed, mix, only, partitions
 from .components import components
 
 DISTANCE = 3
@@ -35,37 +37,45 @@ GENERATOR = 0b101011100011
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def fingerprint_text(text: bytes, width: int) -> int:
-    """The 64-bit SimHash of a UTF-8 text's word shingles: a bit is 1 if it is set in over half of their XXH64 (seed 42)."""
+def fingerprint_text(text: bytes, width: int, count: int = 1) -> list[int]:
+    """64-bit SimHashes of a UTF-8 text's word shingles: a bit is 1 if it is set in over half of their hashes.
+
+    The first takes the shingles' XXH64 (seed 42), the others these mixed with a number.
+    """
     words = text.lower().split()  # bytes: A-Z and ASCII white space alone
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words)
-    n = len(words) - width + 1
-    if n < 1:
-        return xxhash.xxh64_intdigest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: n - 1] + 1])
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, n)
-    planes = h.astype("<u8").view(np.uint8).reshape(n, 8)
-    out = 0
-    for j in range(8):
-        ones = np.bincount(planes[:, j], minlength=256) @ _BITS
-        out |= int(np.packbits(ones * 2 > n, bitorder="little")[0]) << (8 * j)
+    n = max(1, len(words) - width + 1)
+    if n == 1:
+        h = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[: n - 1] + 1])
+        digest = xxhash.xxh64_intdigest
+        h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+    out = []
+    for r in range(count):
+        planes = (mix(h + np.uint64(r * BASES[0] % 2**64)) if r else h).astype("<u8").view(np.uint8).reshape(n, 8)
+        if n < 64:
+            ones = np.unpackbits(planes, axis=1, bitorder="little").sum(axis=0)
+        else:
+            ones = np.concatenate([np.bincount(planes[:, j], minlength=256) @ _BITS for j in range(8)])
+        out.append(int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little"))
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, width: int = 3, count: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id and fps (the fingerprints as signed longs) of every row."""
     rows = only(docs, id_column, text_column).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def task(batches):
         for batch in batches:
-            fp = np.array([fingerprint_text(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            fps = np.array([fingerprint_text(t.as_py(), width, count) for t in batch.column(1)], np.uint64).reshape(-1, count).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * count), pa.array(fps.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
 
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, fps array<long>")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -96,119 +106,132 @@ def ball_table() -> tuple[np.ndarray, np.ndarray]:
     return found[: int((found >= 0).sum(axis=0).max())].T, codeword_index(own)
 
 
-def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints."""
-    left, out = np.arange(1, len(fps)), []
+def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among rows, as positions."""
+    left, u, v = np.arange(1, len(fps)), [], []
     queue = [0] if len(fps) else []
     while queue or len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
-        near = np.bitwise_count(fps[queue[-1]] ^ fps[left]) <= distance
         at = queue.pop()
+        near = np.bitwise_count(fps[at] ^ fps[left]) <= distance
         new = left[near]
-        out += [(at, int(x)) for x in new]
+        u += [at] * len(new)
+        v += new.tolist()
         queue += new.tolist()
         left = left[~near]
-    return out
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+LINKS = "u long, v long, key long, block long"
 
 
 def _compare(distance: int, bucket: int, split: bool):
-    """Over rows (key, fp) sorted by key: links within each key; of larger keys, with split, the rows and their block numbers."""
+    """Over rows (key, fp, node) sorted by key: links u, v of nodes within each key.  With split, the rows of keys of more than
+    bucket rows come back instead, with the key and a block number: u is the fingerprint and v the node."""
+
+    def links_of(fps, nodes):
+        u, v = _forest(fps, distance)
+        return [nodes[u], nodes[v], np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)]
 
     def task(batches):
         key, held, block = None, [], 0
 
         def flush(done: bool):
+            """What the rows held of the present key give; all of them if the key is done."""
             nonlocal held, block
-            fps = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            fps, nodes = (np.concatenate(x) for x in zip(*held))
             held = []
             if split and (block or len(fps) > bucket):
-                cut, keep = (fps, fps[:0]) if done else (fps[: len(fps) // bucket * bucket], fps[len(fps) // bucket * bucket :])
-                blocks = block + np.arange(len(cut)) // bucket
-                block += -(-len(cut) // bucket)
-                if len(keep):
-                    held = [keep]
-                return [cut.view(np.int64), np.zeros(len(cut), np.int64), np.full(len(cut), key, np.int64), blocks]
+                cut = len(fps) if done else len(fps) // bucket * bucket
+                blocks = block + np.arange(cut) // bucket
+                block += -(-cut // bucket)
+                if cut < len(fps):
+                    held = [(fps[cut:], nodes[cut:])]
+                return [fps[:cut].view(np.int64), nodes[:cut], np.full(cut, key, np.int64), blocks]
             if not done:
-                held = [fps]
+                held = [(fps, nodes)]
                 return None
-            pairs = np.array(_forest(fps, distance), np.int64).reshape(-1, 2)
-            return [fps[pairs[:, 0]].view(np.int64), fps[pairs[:, 1]].view(np.int64), np.full(len(pairs), -1, np.int64), np.zeros(len(pairs), np.int64)]
+            return links_of(fps, nodes)
 
         for batch in batches:
-            keys, fps = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            keys, fps, nodes = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
             if not len(keys):
                 continue
-            out = []
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
-            if keys[0] != key and key is not None:
-                out.append(flush(True))
-                held, block = [], 0
-            inner = np.ones(len(starts), bool)  # runs that this batch holds whole
+            inner = np.ones(len(starts), bool)  # keys that this batch holds whole
             inner[-1] = False
-            if keys[0] == key:
-                inner[0] = False
+            inner[0] &= keys[0] != key
             two = starts[inner & (sizes == 2)]
-            two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance) & (fps[two] != fps[two + 1])]
-            out.append([fps[two].view(np.int64), fps[two + 1].view(np.int64), np.full(len(two), -1, np.int64), np.zeros(len(two), np.int64)])
+            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
+            out = [[nodes[two], nodes[two + 1], np.full(len(two), -1, np.int64), np.zeros(len(two), np.int64)]]
             for r in np.flatnonzero(~inner | (sizes > 2)):
                 if keys[starts[r]] != key:
-                    if key is not None and held:
+                    if held:
                         out.append(flush(True))
-                    key, held, block = keys[starts[r]], [], 0
-                held.append(fps[starts[r] : starts[r] + sizes[r]])
-                if sum(map(len, held)) > 2 * bucket:
+                    key, held, block = int(keys[starts[r]]), [], 0
+                held.append((fps[starts[r] : starts[r] + sizes[r]], nodes[starts[r] : starts[r] + sizes[r]]))
+                if sum(len(x[0]) for x in held) > 2 * bucket:
                     out.append(flush(False))
             out = [x for x in out if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v", "key", "block"])
-        if key is not None and held:
-            out = flush(True)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["u", "v", "key", "block"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flush(True)], ["u", "v", "key", "block"])
 
     return task
 
 
-LINKS = "u long, v long, key long, block long"
-
-
-def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """distinct: fp.  A spanning forest, key by key, of all links at distance bits or fewer (3 at most): u, v."""
-    if distance > DISTANCE:
-        raise ValueError(f"the keys find links of {DISTANCE} bits at most")
-    spark = distinct.sparkSession
+def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, exact_bits: int = 16) -> DataFrame:
+    """classes: node (long) and fps.  Links of nodes, key by key a spanning forest of those at most distance bits apart in one
+    of their fingerprints: u, v.  Up to DISTANCE bits none is missed; beyond that, those that share no key are."""
+    n = partitions(classes.sparkSession)
 
     def keys(batches):
-        ball, _ = ball_table()
+        ball = ball_table()[0]
         for batch in batches:
-            fps = np.asarray(batch.column(0)).view(np.uint64)
-            segments = [(fps >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
-            out_keys, out_fps = [], []
-            for a in range(4):
-                near = ball[segments[(a + 1) % 4]]
-                row, col = np.nonzero(near >= 0)
-                out_keys.append((a << 28) | (segments[a][row] << 12) | near[row, col])
-                out_fps.append(fps[row].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), pa.array(np.concatenate(out_fps))], ["key", "fp"])
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.select("fp").mapInArrow(keys, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
+            out = []
+            nodes, count = np.asarray(batch.column(0)), len(batch.column(1).flatten()) // max(1, len(batch))
+            all_fps = np.asarray(batch.column(1).flatten()).view(np.uint64).reshape(len(batch), count)
+            for r in range(count):
+                fps = all_fps[:, r]
+                segments = [(fps >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
+                for a in range(4):
+                    near = ball[segments[(a + 1) % 4]]
+                    row, col = np.nonzero(near >= 0)
+                    exact = segments[a][row] & ((1 << exact_bits) - 1)
+                    out.append(((4 * r + a) << 28 | exact << 12 | near[row, col], fps[row].view(np.int64), nodes[row]))
+            for at in range(0, len(out), 4):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[at : at + 4])], ["key", "fp", "node"])
+
+    keyed = classes.select("node", "fps").mapInArrow(keys, "key long, fp long, node long").repartition(n, "key").sortWithinPartitions("key")
     found = checkpointed(keyed.mapInArrow(_compare(distance, bucket, True), LINKS))
-    # Keys with more fingerprints than a task compares: every two blocks meet in a task of their own.
+    # Keys with more rows than a task compares: every two blocks meet in a task of their own.
     hot = found.where("key >= 0")
     blocks = hot.groupBy("key").agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    pairs = hot.join(blocks, "key").select("key", "u", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("u").alias("fp"))
+    pairs = hot.join(blocks, "key").select("key", "u", "v", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("u").alias("fp"), F.col("v").alias("node"))
     met = pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(distance, bucket, False), LINKS)
     return found.where("key < 0").select("u", "v").union(met.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, bucket: int = BUCKET, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, fp and component_id (the least id that links reach) of every row."""
-    marked = checkpointed(fingerprints(docs, width, id_column, text_column))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(classes, distance, bucket))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, count: int = 1, share: float | None = None, bucket: int = BUCKET, exact_bits: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, fps and component_id (the least id that links reach) of every row.
+
+    count: fingerprints of each text, one link in any of which suffices.  share: if given, the part of all their bits in which
+    linked texts may differ; links beyond it are dropped.
+    """
+    marked = checkpointed(fingerprints(docs, width, count, id_column, text_column))
+    node = F.col("fps")[0] if count == 1 else F.xxhash64("fps")
+    classes = checkpointed(marked.groupBy(node.alias("node"), "fps").agg(F.min("id").alias("least")))
+    found = links(classes, distance, bucket, exact_bits)
+    if share is not None:
+        side = lambda name: classes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
+        both = found.distinct().join(side("u"), "u").join(side("v"), "v")
+        differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+        found = both.where(differ <= int(share * 64 * count)).select("u", "v")
+    roots = components(found)
+    rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select(F.col("fp").alias("own"), "component_id")
-    return marked.join(by_fp, F.col("fp") == F.col("own")).select("id", "fp", "component_id")
+    by_node = rooted.join(named, "root").select("node", "component_id")
+    return marked.withColumn("node", node).join(by_node, "node").select("id", "fps", "component_id")
