@@ -153,8 +153,9 @@ def joined(findings: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f.kind, f.start.cast("string"), f.end.cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, findings: DataFrame, id_column: str = "doc_id", text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by mark; overlapping spans become one.  Rows without findings are unchanged.
+def redacted(docs: DataFrame, findings: DataFrame, id_column: str = "doc_id", text_column: str = "text", mark: str = "[SECRET]", length_column: str | None = None) -> DataFrame:
+    """docs with every found span replaced by mark; overlapping spans become one.  Rows without findings are unchanged; in the
+    others length_column, if given, gets the new length.
 
     findings: path and findings, one row for each id or more (repeated ids with different texts are told apart by blob).
     """
@@ -168,4 +169,7 @@ def redacted(docs: DataFrame, findings: DataFrame, id_column: str = "doc_id", te
         lambda acc: F.concat(acc.text, text.substr(acc.at + 1, F.greatest(F.length(text) - acc.at, F.lit(0)))),
     )
     out = keyed.join(spans, F.col(f"`{id_column}`").eqNullSafe(F.col("__path")) & (F.col("__own") == F.col("__blob")), "left").withColumn(text_column, F.when(F.col("__spans").isNull(), text).otherwise(merged))
+    if length_column:
+        length = F.length(F.col(f"`{text_column}`")).cast(docs.schema[length_column].dataType)
+        out = out.withColumn(length_column, F.when(F.col("__spans").isNull(), F.col(f"`{length_column}`")).otherwise(length))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

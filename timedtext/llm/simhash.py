@@ -235,3 +235,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, c
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = rooted.join(named, "root").select("node", "component_id")
     return marked.withColumn("node", node).join(by_node, "node").select("id", "fps", "component_id")
+
+
+#: For 0.8 of the word 5-shingles in common: as many fingerprints, the bits one of them may differ in and the part of all bits.
+SIMILAR = {"width": 5, "count": 8, "distance": 12, "share": 0.17, "exact_bits": 12}
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """docs with one document, that of the least id, of each near-duplicate group; all columns stay.
+
+    Rows alike in id and text are one document.  Of a group without ids all different texts stay.
+    """
+    groups = near_duplicates(docs, id_column=id_column, text_column=text_column, **(how or SIMILAR))
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
+    own = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_column}`")))
+    out = own.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")), "left_semi")
+    return out.dropDuplicates([id_column, "__text"]).drop("__text")

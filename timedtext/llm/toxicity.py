@@ -282,28 +282,50 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     return model, (names, weights, bias)
 
 
+def _scorer(held):
+    """Scores of a text column, on a worker."""
+    model, (names, weights, bias) = held.value
+    restorer = Restorer(model)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(names >> np.uint64(48)).astype(np.int64)] = True
+
+    def scores(text: pa.Array) -> np.ndarray:
+        total = np.full(len(text), bias)
+        for a, b, data, offsets in text_blocks(text):
+            if not len(names):
+                break
+            r, f = restorer.block(data, offsets)
+            hit = maybe[(f >> np.uint64(48)).astype(np.int64)]
+            r, f = r[hit], f[hit]
+            at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+            hit = names[at] == f
+            pair = np.unique(r[hit] * len(names) + at[hit])
+            total[a:b] += np.bincount(pair // len(names), weights[pair % len(names)], b - a)
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+    return scores
+
+
 def score(docs: DataFrame, trained, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and score of every row."""
     held = docs.sparkSession.sparkContext.broadcast(trained)
     rows = only(docs, id_column, text_column).toDF("id", "text")
 
     def task(batches):
-        model, (names, weights, bias) = held.value
-        restorer = Restorer(model)
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(names >> np.uint64(48)).astype(np.int64)] = True
+        scores = _scorer(held)
         for batch in batches:
-            total = np.full(len(batch), bias)
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                if not len(names):
-                    continue
-                r, f = restorer.block(data, offsets)
-                hit = maybe[(f >> np.uint64(48)).astype(np.int64)]
-                r, f = r[hit], f[hit]
-                at = np.minimum(np.searchsorted(names, f), len(names) - 1)
-                hit = names[at] == f
-                pair = np.unique(r[hit] * len(names) + at[hit])
-                total[a:b] += np.bincount(pair // len(names), weights[pair % len(names)], b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], ["id", "score"])
 
     return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+
+
+def without_toxic(docs: DataFrame, trained, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """docs without the rows that score threshold or more; all columns stay."""
+    held, at = docs.sparkSession.sparkContext.broadcast(trained), docs.columns.index(text_column)
+
+    def task(batches):
+        scores = _scorer(held)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(task, docs.schema)
