@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, simhash, topk, toxicity, urlfilter
+from . import countmin, decontaminate, mixing, secrets, simhash, topk, toxicity, urlfilter
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -157,3 +157,9 @@ def op1_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("share", 6).alias("share"), "first_word", "last_word")
+
+
+@query
+def op7_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = countmin.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
