@@ -127,10 +127,10 @@ def rounds(base: DataFrame, steps: list[tuple[Callable, Callable]], last: Callab
 
 
 class Keys:
-    """Distinct 64-bit keys of a chunk with 32 more bits each, grouped by shard.  Rows of `low`, `high` are the occurrences."""
+    """A chunk's distinct keys, grouped by shard.  Rows of high (64 bits) and low (further bits) are the occurrences."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, shards: int):
-        low = low.astype(np.uint32)
+    def __init__(self, high: np.ndarray, low: np.ndarray, shards: int, bits: type = np.uint32):
+        low = low.astype(bits)
         self.order = np.lexsort((low, high))  # stable: occurrences of a key stay in their order
         h, l = high[self.order], low[self.order]
         new = np.r_[True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])] if len(h) else np.zeros(0, bool)
@@ -146,20 +146,20 @@ class Keys:
     def part(self, shard: int) -> slice:
         return slice(int(self.cuts[shard]), int(self.cuts[shard + 1]))
 
-    def bits(self, replies: dict[int, bytes]) -> np.ndarray:
-        """The answers, for each occurrence."""
-        found = np.zeros(len(self.high), bool)
+    def bits(self, replies: dict[int, bytes], a_key: int = 1) -> np.ndarray:
+        """The answers, for each occurrence; with more than one bit a key a row for each."""
+        found = np.zeros((len(self.high), a_key), bool)
         for s in self.shards:
             part = self.part(s)
-            found[part] = take_bits(replies[s], part.stop - part.start)
-        out = np.zeros(len(self.order), bool)
+            found[part] = take_bits(replies[s], (part.stop - part.start) * a_key).reshape(-1, a_key)
+        out = np.zeros((len(self.order), a_key), bool)
         out[self.order] = found[self.group]
-        return out
+        return out[:, 0] if a_key == 1 else out.T
 
 
-def ask_repeated(keys: Keys) -> list[tuple[int, bytes]]:
-    """Messages for answer_repeated: distinct keys, and which of them the chunk has more than once."""
-    return [(s, put(pack(keys.high[p]), zipped(keys.low[p]), put_bits(keys.count[p] > 1))) for s in keys.shards for p in [keys.part(s)]]
+def ask_repeated(keys: Keys, unused: int = 0) -> list[tuple[int, bytes]]:
+    """Messages for answer_repeated: distinct keys without their unused low bits, and which the chunk has more than once."""
+    return [(s, put(pack(keys.high[p] >> np.uint64(unused)), zipped(keys.low[p]), put_bits(keys.count[p] > 1))) for s in keys.shards for p in [keys.part(s)]]
 
 
 def answer_repeated(messages: list[tuple[int, bytes]]) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import countmin, decontaminate, mixing, secrets, simhash, topk, toxicity, urlfilter
+from . import countmin, decontaminate, mixing, secrets, simhash, suffixes, topk, toxicity, urlfilter
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -163,3 +163,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = countmin.drop_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
