@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import countmin, decontaminate, mixing, secrets, simhash, suffixes, topk, toxicity, urlfilter
+from . import countmin, decontaminate, mixing, ngram, secrets, simhash, suffixes, topk, toxicity, urlfilter
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -169,3 +169,11 @@ def op7_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram.train(docs, fold("id", 10) != 0)
+    found = ngram.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
