@@ -54,7 +54,7 @@ def validate(pages: DataFrame, summaries: DataFrame, max_words: int) -> DataFram
 def apply_summaries(validated: DataFrame) -> DataFrame:
     """Pages with the texts of their summaries, trimmed; blank bullets go."""
     put = {c: F.trim(F.col(f"s.{c}")) for c in ("title", "summary", "takeaway", "chapter", "uncertainty")}
-    put["bullets"] = F.filter(F.transform("s.bullets", F.trim), lambda b: b != "")
+    put["bullets"] = F.filter(F.transform("s.bullets", lambda b: F.trim(b)), lambda b: b != "")
     return validated.withColumns(put).drop("s", "problem")
 
 
@@ -167,7 +167,7 @@ def overview(pages: DataFrame, durations: DataFrame, provider: Provider, checkpo
     for x in done[1:]:
         out = out.unionByName(x)
     trimmed = [F.trim(c).alias(c) for c in ("title", "summary", "takeaway", "uncertainty")]
-    return out.select("video_id", "number", "start", "end", "source_text", *trimmed, F.filter(F.transform("bullets", F.trim), lambda b: b != "").alias("bullets"), F.lit("Reading guide").alias("chapter"), F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("frame_path"))
+    return out.select("video_id", "number", "start", "end", "source_text", *trimmed, F.filter(F.transform("bullets", lambda b: F.trim(b)), lambda b: b != "").alias("bullets"), F.lit("Reading guide").alias("chapter"), F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("frame_path"))
 
 
 def empty_summaries(spark) -> DataFrame:
