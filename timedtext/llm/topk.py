@@ -28,6 +28,8 @@ from .common import only
 
 #: Entries of one score block; with the wave it bounds a task's memory.
 BLOCK_ENTRIES = 1 << 20
+#: Beyond the exact scores of any two float vectors: with it added, they are numbers of one length, which sort as strings.
+SHIFT = 10**95
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -112,7 +114,7 @@ def _scan(shared, k: int, segments: int, scale: float, cut: bool):
                 best = _best(*merged, k)
                 kept = tuple(x[best] for x in merged)
         q, ids, score = kept
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids, pa.int64()), pa.array(_long(score)), pa.array([str(int(s)) for s in score] if score.dtype == object else [None] * len(q), pa.string())], ["query_id", "vec_id", "score", "exact"])
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids, pa.int64()), pa.array(_long(score)), pa.array([str(int(s) + SHIFT) for s in score] if score.dtype == object else [None] * len(q), pa.string())], ["query_id", "vec_id", "score", "exact"])
 
     return task
 
@@ -135,10 +137,10 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
         if not len(query_ids):
             continue
         schema = "query_id long, vec_id long, score long, exact string"
-        order = [F.coalesce(F.col("exact").cast("decimal(38,0)"), F.col("score").cast("decimal(38,0)")).desc(), "vec_id"]
+        order = [F.col("score").desc(), F.col("exact").desc(), "vec_id"]
         ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
         gathered = rows.mapInArrow(_scan(spark.sparkContext.broadcast((query_ids, queries, None)), k, segments, scale, False), schema)
-        heads = {r[0]: int(r[2]) if r[2] is not None else r[1] for r in gathered.withColumn("rank", ranked).where(F.col("rank") == k).select("query_id", "score", "exact").collect()}
+        heads = {r[0]: int(r[2]) - SHIFT if r[2] is not None else r[1] for r in gathered.withColumn("rank", ranked).where(F.col("rank") == k).select("query_id", "score", "exact").collect()}
         big = any(abs(h) >= 2**53 for h in heads.values())
         cutoff = np.array([heads.get(int(q), -(2**200) if big else -np.inf) for q in query_ids], object if big else np.float64)
         full = rows.mapInArrow(_scan(spark.sparkContext.broadcast((query_ids, queries, cutoff)), k, segments, scale, True), schema)
