@@ -1,14 +1 @@
-"""Training-data operators.  Nothing outside this subpackage imports it.
-
-Every function that runs on executors is pickled by value, so a cluster needs no copy of this package on its workers.
-"""
-
-import importlib
-import pkgutil
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-for _module in pkgutil.iter_modules(__path__, f"{__name__}."):
-    cloudpickle.register_pickle_by_value(importlib.import_module(_module.name))
+"""Training-data operators.  Nothing outside this subpackage imports it."""

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised primitives take at once; bounds the working memory of a Python worker.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch between the JVM and Python; whole texts in batches of the default size would be tens of megabytes.
+BATCH_ROWS = 1000
 #: Words are maximal runs of bytes outside this set: space and 09-0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -60,9 +62,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, of which Python will get at most BATCH_ROWS rows at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
+def wide(df: DataFrame) -> DataFrame:
+    """df, of which Python gets the default number of rows at once: for jobs over numbers alone."""
+    df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return df
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; every other column, whatever its name, is ignored."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return lean(df).select(*[F.col(f"`{n}`") for n in names])
 
 
 def fold(id_column: str, modulus: int) -> Column:

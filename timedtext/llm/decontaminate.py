@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, mix, only, prefix_hashes, range_hash, text_blocks, word_spans
+from .common import BASES, lean, mix, only, prefix_hashes, range_hash, text_blocks, word_spans
 
 NGRAM, SPREAD = 3, 3
 MATCH, MISMATCH, SKIP = 2, -1, 1
@@ -201,5 +201,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
                 clean[[f[0] for f in search(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = lean(docs).mapInArrow(keep, docs.schema)
     return docs

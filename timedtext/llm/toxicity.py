@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, only, prefix_hashes, range_hash, text_blocks, word_spans
+from .common import BASES, lean, only, prefix_hashes, range_hash, text_blocks, word_spans
 
 #: Labelled rows of each class that the classifier is fitted to, and the features it keeps: both bound the driver's memory.
 SAMPLE = 4000
@@ -169,7 +169,7 @@ class Restorer:
         self.model = model.tolist()
         table = np.asarray(model)
 
-        @lru_cache(1 << 16)
+        @lru_cache(1 << 14)
         def features(word: str, spaced: bool) -> np.ndarray:
             restored = restore(word, table, spaced)
             return _spaced_features(word, restored) if spaced else _word_features(restored.split())
@@ -328,4 +328,4 @@ def without_toxic(docs: DataFrame, trained, threshold: float = THRESHOLD, text_c
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(task, docs.schema)
+    return lean(docs).mapInArrow(task, docs.schema)
