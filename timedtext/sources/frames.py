@@ -87,3 +87,11 @@ def image_difference(before, after) -> float:
     edges = [np.abs(np.diff(x.mean(axis=-1) if x.ndim == 3 else x, axis=1)) for x in (a, b)]
     outline = np.abs(edges[0] - edges[1]).mean() / max(8.0, edges[0].mean(), edges[1].mean())
     return float(max(np.abs(a - b).mean() / 255, min(1.0, outline)))
+
+
+def fits_layout(size: Column, means: Column, shape: tuple[int, int], bounds: list[tuple[float, float]]) -> Column:
+    """Does an image have a layout: its size (width, height as an array) and the mean of each region within bounds?"""
+    fits = (size[0] == shape[0]) & (size[1] == shape[1])
+    for i, (least, most) in enumerate(bounds):
+        fits = fits & means[i].between(least, most)
+    return F.coalesce(fits, F.lit(False))
