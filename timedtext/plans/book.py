@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, general, word_count
@@ -11,6 +11,7 @@ from ..operators.summaries import extractive, visible_text
 from ..operators.timeline import unpictured
 from .planner import durations_of, plan_pages
 
+PAGE_COLUMNS = ("number", "title", "start", "end", "summary", "bullets", "takeaway", "frame_path", "source_text", "kind", "chapter", "uncertainty")
 WORDS_A_MINUTE, SECONDS_A_FRAME, MOST_WORDS, LEAST_WORDS = 180, 6, 65, 18
 EXTRACTIVE_WARNING = "Extractive mode: visible text consists of transcript excerpts, not summaries."
 ESTIMATE_WARNING = "Reading time is an estimate; dense slides, equations and transcript notes take more."
@@ -23,38 +24,45 @@ def word_budget(n_pages: Column, minutes: Column, has_frames: Column) -> Column:
     return F.least(F.lit(MOST_WORDS), ((minutes * WORDS_A_MINUTE - WORDS_A_MINUTE - n_pages * visual * 3) / n_pages).cast("int"))
 
 
-def budgets(pages: DataFrame, frames: DataFrame, minutes: float) -> DataFrame:
-    """video_id, n_pages, has_frames and max_words of each video."""
+def with_budgets(content: DataFrame, frames: DataFrame, minutes: float) -> DataFrame:
+    """Content pages with n_pages, has_frames and max_words of their video, in one pass over the pages."""
     shown = frames.select("video_id").distinct().withColumn("has_frames", F.lit(True))
-    counted = pages.groupBy("video_id").agg(F.count("*").alias("n_pages")).join(shown, "video_id", "left").withColumn("has_frames", F.coalesce("has_frames", F.lit(False)))
+    counted = content.withColumn("n_pages", F.count("*").over(Window.partitionBy("video_id"))).join(shown, "video_id", "left").withColumn("has_frames", F.coalesce("has_frames", F.lit(False)))
     return counted.withColumn("max_words", word_budget(F.col("n_pages"), F.lit(minutes), F.col("has_frames")))
 
 
-def _front(videos: DataFrame, minutes: float) -> DataFrame:
-    """Cover and overview of each video (video_id, title, duration, n_pages)."""
+def _front(title: Column, duration: Column, n_pages: Column, minutes: float) -> Column:
+    """Cover and overview of a video, as an array of pages."""
     text = lambda *x: F.array(*[F.lit(t) for t in x])
-    total = (F.col("n_pages") + 2).cast("string")
-    cover = F.concat(total, F.lit(" pages from "), clock(F.col("duration")), F.lit(" of video. Target reading time: "), general(F.lit(float(minutes))), F.lit(" minutes."))
+    total = (n_pages + 2).cast("string")
+    cover = F.concat(total, F.lit(" pages from "), clock(duration), F.lit(" of video. Target reading time: "), general(F.lit(float(minutes))), F.lit(" minutes."))
     page = lambda number, title, summary, bullets, takeaway, kind, chapter: F.struct(
-        F.lit(number).alias("number"), title.alias("title"), F.lit(0.0).alias("start"), F.col("duration").alias("end"), summary.alias("summary"), bullets.alias("bullets"), F.lit(takeaway).alias("takeaway"),
+        F.lit(number).alias("number"), title.alias("title"), F.lit(0.0).alias("start"), duration.alias("end"), summary.alias("summary"), bullets.alias("bullets"), F.lit(takeaway).alias("takeaway"),
         F.lit(None).cast("string").alias("frame_path"), F.lit("").alias("source_text"), F.lit(kind).alias("kind"), F.lit(chapter).alias("chapter"), F.lit("").alias("uncertainty"),
     )
-    both = F.array(
-        page(1, F.col("title"), cover, text("Visuals with concise reading notes.", "Full timestamped captions preserved."), "Read, scan, and go back to the source.", "cover", ""),
+    return F.array(
+        page(1, title, cover, text("Visuals with concise reading notes.", "Full timestamped captions preserved."), "Read, scan, and go back to the source.", "cover", ""),
         page(2, F.lit("Your reading route"), F.lit("Follow the pages in order. Each excerpt links to its source interval."), text("Scan the visual, then read the excerpt.", "Revisit unclear passages by their time."), "These pages use verbatim excerpts.", "overview", "Reading guide"),
     )
-    return videos.select("video_id", F.inline(both))
 
 
 def assemble(content: DataFrame, videos: DataFrame, minutes: float) -> DataFrame:
-    """Cover, overview and content pages, numbered from 1."""
-    front = _front(videos, minutes)
-    return front.unionByName(content.select(*front.columns))
+    """Cover, overview and content pages, numbered from 1.  content also has n_pages; videos: video_id, title, duration.
+
+    The front pages come out of each video's first content page, so that content is read once.
+    """
+    told = content.join(videos.select("video_id", F.col("title").alias("_title"), F.col("duration").alias("_duration")), "video_id")
+    front = _front(F.col("_title"), F.col("_duration"), F.col("n_pages"), minutes)
+    own = F.struct(*[F.col(c) for c in PAGE_COLUMNS])
+    first = F.min("number").over(Window.partitionBy("video_id"))
+    pages = F.when(F.col("number") == F.col("_first"), F.concat(front, F.array(own))).otherwise(F.array(own))
+    return told.withColumn("_first", first).select("video_id", F.inline(pages))
 
 
-def totals(pages: DataFrame, cues: DataFrame, frames: DataFrame, content_budget: DataFrame) -> DataFrame:
+def totals(pages: DataFrame, cues: DataFrame, frames: DataFrame, minutes: float) -> DataFrame:
     """One row of figures for each video; the reading estimate is not rounded."""
     by_page = pages.groupBy("video_id").agg(
+        F.count_if(F.col("kind") == "content").alias("n_pages"),
         F.sum(word_count(visible_text())).alias("visible_prose_words"),
         F.count_distinct(F.when(F.col("frame_path") != "", F.col("frame_path"))).alias("pictured_visual_states"),
         F.count_if((F.col("kind") == "content") & F.col("frame_path").isNull()).alias("transcript_only_pages"),
@@ -62,10 +70,12 @@ def totals(pages: DataFrame, cues: DataFrame, frames: DataFrame, content_budget:
     by_cue = cues.groupBy("video_id").agg(F.count("*").alias("caption_cues"), F.sum(word_count(F.col("text"))).alias("source_words"))
     by_frame = frames.groupBy("video_id").agg(F.count("*").alias("captured_visual_states"))
     missing = unpictured(frames, pages).groupBy("video_id").agg(F.count("*").alias("unpictured"))
-    joined = by_page.join(by_cue, "video_id").join(by_frame, "video_id", "left").join(missing, "video_id", "left").join(content_budget, "video_id")
+    joined = by_page.join(by_cue, "video_id").join(by_frame, "video_id", "left").join(missing, "video_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("captured_visual_states", "unpictured")}
+    joined = joined.withColumns(zero).withColumn("has_frames", F.col("captured_visual_states") > 0)
+    joined = joined.withColumn("max_words", word_budget(F.col("n_pages"), F.lit(minutes), F.col("has_frames")))
     seconds = F.when(F.col("has_frames"), F.lit(SECONDS_A_FRAME)).otherwise(F.lit(0))
-    return joined.withColumns(zero).withColumn("estimated_reading_minutes", F.col("visible_prose_words") / WORDS_A_MINUTE + F.col("n_pages") * seconds / 60)
+    return joined.withColumn("estimated_reading_minutes", F.col("visible_prose_words") / WORDS_A_MINUTE + F.col("n_pages") * seconds / 60)
 
 
 def warnings(figures: DataFrame, requested_pages: int, extractive_mode: bool = True) -> DataFrame:
@@ -88,14 +98,11 @@ def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 20
     """
     durations = durations_of(cues) if durations is None else durations
     content = plan_pages(cues, frames, durations, pages - 2)
-    budget = budgets(content, frames, minutes)
+    told = with_budgets(content, frames, minutes)
     enough = F.when(F.col("max_words") < LEAST_WORDS, F.raise_error(F.concat(F.lit("the reading target is too short for the pages of "), F.col("video_id").cast("string")))).otherwise(F.col("max_words"))
-    budget = budget.withColumn("max_words", enough)
-    told = content.join(budget.select("video_id", "max_words"), "video_id")
-    excerpts = extractive(told, F.col("max_words")).drop("max_words")
-    videos = titles.join(durations.select("video_id", "duration"), "video_id").join(budget, "video_id")
-    book = assemble(excerpts, videos, minutes)
-    figures = totals(book, cues, frames, budget)
+    videos = titles.join(durations.select("video_id", "duration"), "video_id")
+    book = assemble(extractive(told.withColumn("max_words", enough), F.col("max_words")), videos, minutes)
+    figures = totals(book, cues, frames, minutes)
     notes = warnings(figures, pages)
     return book, videos.select("video_id", "title", "source_url", "duration").join(figures, "video_id").join(notes, "video_id").withColumn("reading_minutes", F.lit(float(minutes)))
 

@@ -6,7 +6,7 @@ models in tests/.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import links, text
@@ -402,9 +402,8 @@ def p12_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAGE_ROWS} SELECT video_id, CAST(count(*) + 2 AS BIGINT) AS pages, CAST(min(number) AS INTEGER) AS first_content FROM pages_ GROUP BY video_id""")
 def u01_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = _demo_pages(spark, sf_dir)
-    videos = _demo_videos(spark, sf_dir).join(content.groupBy("video_id").agg(F.count("*").alias("n_pages")), "video_id")
-    made = book.assemble(content.withColumn("number", F.col("number") + 100), videos, 60.0)
+    content = _demo_pages(spark, sf_dir).withColumn("n_pages", F.count("*").over(Window.partitionBy("video_id"))).withColumn("number", F.col("number") + 100)
+    made = book.assemble(content, _demo_videos(spark, sf_dir), 60.0)
     return made.groupBy("video_id").agg(F.count("*").alias("pages"), F.min(F.when(F.col("number") > 100, F.col("number") - 100)).alias("first_content"))
 
 
