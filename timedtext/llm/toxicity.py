@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, lean, only, prefix_hashes, range_hash, text_blocks, word_spans
+from .common import BASES, checkpointed, lean, only, prefix_hashes, range_hash, text_blocks, word_spans
 
 #: Labelled rows of each class that the classifier is fitted to, and the features it keeps: both bound the driver's memory.
 SAMPLE = 4000
@@ -224,27 +224,16 @@ class Restorer:
         return np.concatenate(out_rows), np.concatenate(out)
 
 
-def _fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """A ridge logistic model over the FEATURES features that speak for toxicity most surely: hashes, weights, intercept."""
-    names, at = np.unique(features, return_inverse=True)
-    toxic, clean = (np.bincount(at[labels[rows] == y], minlength=len(names)) for y in (1, 0))
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
-    gain = np.where(p1 > p0, toxic * np.log(p1 / (p1 + p0) * 2) + clean * np.log(p0 / (p1 + p0) * 2), 0)
-    keep = np.argsort(-gain, kind="stable")[:FEATURES]
-    keep = np.sort(keep[gain[keep] > LEAST_GAIN])
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    used = place[at] >= 0
-    r, c = rows[used], place[at[used]]
-    w, b = np.zeros(len(keep)), math.log(n1 / n0)
-    size = np.bincount(r, minlength=len(labels)) + 1.0  # of each row: bounds the curvature, so that steps never overshoot
+def _fit(rows: np.ndarray, columns: np.ndarray, width: int, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """A ridge logistic model: weights of the columns, intercept."""
+    w, b = np.zeros(width), math.log((labels == 1).sum() / (labels == 0).sum())
+    size = np.bincount(rows, minlength=len(labels)) + 1.0  # of each row: bounds the curvature, so that steps never overshoot
     for _ in range(1000):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], len(labels)), -30, 30)))
-        err, curve = p - labels, p * (1 - p)
-        w -= (np.bincount(c, err[r], len(keep)) + w) / (np.bincount(c, (curve * size)[r], len(keep)) + 1)
-        b -= err.sum() / max((curve * size).sum(), 1e-9)
-    return names[keep], w, b
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[columns], len(labels)), -30, 30)))
+        err, curve = p - labels, p * (1 - p) * size
+        w -= (np.bincount(columns, err[rows], width) + w) / (np.bincount(columns, curve[rows], width) + 1)
+        b -= err.sum() / max(curve.sum(), 1e-9)
+    return w, b
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"):
@@ -257,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
         return model, (np.zeros(0, np.uint64), np.zeros(0), math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).union(known.where("toxic = 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
-    texts = only(docs, id_column, text_column).toDF("id", "text").join(F.broadcast(chosen), "id").select("toxic", "text")
+    texts = only(docs, id_column, text_column).toDF("id", "text").join(F.broadcast(chosen), "id").select("id", "text", "toxic")
     held = spark.sparkContext.broadcast(model)
 
     def task(batches):
@@ -269,16 +258,27 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
                 order = np.argsort(rows, kind="stable")
                 cuts = np.searchsorted(rows[order], np.arange(b - a + 1))
                 found += [np.unique(features[order[x:y]]).view(np.int64) for x, y in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["toxic", "features"])
-
-    got = texts.mapInArrow(task, "toxic int, features array<long>").toArrow().combine_chunks()
-    y = np.asarray(got.column(0), dtype=np.int64)
-    lists = got.column(1).combine_chunks() if isinstance(got.column(1), pa.ChunkedArray) else got.column(1)
-    rows = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths(), dtype=np.int64))
-    if not (y == 1).any() or not (y == 0).any():
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "toxic", "features"])
+
+    known_features = checkpointed(texts.mapInArrow(task, f"id {texts.schema['id'].dataType.simpleString()}, toxic int, features array<long>"))
+    # A repeated row is one more row of the sample; all its copies are numbered alike.
+    y_rows = known_features.groupBy("id").agg(F.max("toxic").alias("toxic")).collect()
+    number, y = {r[0]: i for i, r in enumerate(y_rows)}, np.array([r[1] for r in y_rows], np.int64)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    if not (n1 and n0):
         return model, (np.zeros(0, np.uint64), np.zeros(0), math.log(sizes[1] / sizes[0]))
-    names, weights, bias = _fit(rows, np.asarray(lists.flatten()).view(np.uint64), y)
-    bias += math.log(sizes[1] / sizes[0]) - math.log((y == 1).sum() / (y == 0).sum())
+    single = known_features.select("id", "toxic", F.explode("features").alias("f")).distinct()
+    counts = single.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    p1, p0 = (F.col("t") + 0.5) / (n1 + 1), (F.col("c") + 0.5) / (n0 + 1)
+    gain = F.col("t") * F.log(p1 / (p1 + p0) * 2) + F.col("c") * F.log(p0 / (p1 + p0) * 2)
+    # The FEATURES features that speak for toxicity most surely.
+    best = counts.where(p1 > p0).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN).orderBy(F.col("gain").desc(), "f").limit(FEATURES)
+    names = np.sort(np.array([r[0] for r in best.select("f").collect()], np.int64).view(np.uint64))
+    chosen_features = spark.createDataFrame([(int(x),) for x in names.view(np.int64)], "f long")
+    pairs = single.join(F.broadcast(chosen_features), "f").select("id", "f").toPandas()
+    rows = np.array([number[i] for i in pairs["id"]], np.int64)
+    weights, bias = _fit(rows, np.searchsorted(names, pairs["f"].to_numpy(np.int64).view(np.uint64)), len(names), y)
+    bias += math.log(sizes[1] / sizes[0]) - math.log(n1 / n0)
     return model, (names, weights, bias)
 
 
