@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import checkpointed, only
 
 LEDGER = "blob string, scanned array<string>, findings array<struct<kind:string, rule:string, start:int, end:int>>"
 
@@ -109,7 +109,8 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
     rank = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
     one = ledger.select("blob", F.filter("findings", lambda f: f.rule.isin(names)).alias("findings")).where(F.size("findings") > 0)
     ordered = F.array_sort(F.transform("findings", lambda f: F.struct(f.start.alias("start"), rank[f.kind].alias("rank"), f.end.alias("end"), f.kind.alias("kind"))))
-    one = one.select(F.col("blob").alias("b"), ordered.alias("findings"))
+    # As a column made anew, the key is dealt out for the join on both sides, so that a blob with very many paths can be split.
+    one = one.select(F.concat("blob", F.lit("")).alias("b"), ordered.alias("findings"))
     if ledger.schema["scanned"].dataType.typeName() != "array":
         raise TypeError("not a ledger")
     paths = only(docs, id_column, text_column).toDF("path", "text").select("path", blob_of("text").alias("blob"))
@@ -143,7 +144,7 @@ class SecretLedger:
             # Entries of one blob from several runs are told apart by their rules.
             entries = entries.groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("scanned"), F.flatten(F.collect_list("findings")).alias("findings"))
         else:
-            entries = fresh
+            entries = checkpointed(fresh)
         return findings_by_path(docs, entries, rules, id_column, text_column)
 
 
