@@ -222,7 +222,7 @@ def test_links_lose_nothing(spark, bucket):
             for _ in range(rng.randrange(1, 4)):
                 x ^= 1 << rng.randrange(64)
     fps = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
-    frame = spark.createDataFrame([(f, [f]) for f in fps], "node long, fps array<long>")
+    frame = spark.createDataFrame([(f, [f], f) for f in fps], "node long, fps array<long>, grp long")
     found = [(r.u, r.v) for r in simhash.links(frame, bucket=bucket).collect()]
     near = lambda a, b: ((a ^ b) % 2**64).bit_count() <= 3
     assert all(near(*x) for x in found)

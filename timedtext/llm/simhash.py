@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, checkpointed, mix, only, partitions
+from .common import BASES, checkpointed, mix, only, partitions, wide
 from .components import components
 
 DISTANCE = 3
 BUCKET = 4096
+#: Keys of up to so many rows are compared in bulk.
+SIFTED = 32
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0b101011100011
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -106,33 +108,48 @@ def ball_table() -> tuple[np.ndarray, np.ndarray]:
     return found[: int((found >= 0).sum(axis=0).max())].T, codeword_index(own)
 
 
-def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among rows, as positions."""
+def _forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as positions, that with the groups known before connect what all links among rows connect; no two of them link
+    the same groups.  Trees grow from their first row."""
     left, u, v = np.arange(1, len(fps)), [], []
-    queue = [0] if len(fps) else []
+    queue = [0] if len(fps) and (groups != groups[0]).any() else []
+    if not queue:
+        left = left[:0]
     while queue or len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
-        at = queue.pop()
-        near = np.bitwise_count(fps[at] ^ fps[left]) <= distance
-        new = left[near]
-        u += [at] * len(new)
-        v += new.tolist()
-        queue += new.tolist()
-        left = left[~near]
+        at = queue.pop(0)
+        same = groups[left] == groups[at]
+        near = (np.bitwise_count(fps[at] ^ fps[left]) <= distance) & ~same
+        if not near.any():
+            if same.any():
+                queue += left[same].tolist()
+                left = left[~same]
+            continue
+        found, first = np.unique(groups[left[near]], return_index=True)
+        u += [at] * len(found)
+        v += left[near][first].tolist()
+        joined = np.isin(groups[left], np.append(found, groups[at]))
+        queue += left[joined].tolist()
+        left = left[~joined]
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
-LINKS = "u long, v long, key long, block long"
+LINKS = "u long, v long, w long, key long, block long"
 
 
 def _compare(distance: int, bucket: int, split: bool):
-    """Over rows (key, fp, node) sorted by key: links u, v of nodes within each key.  With split, the rows of keys of more than
-    bucket rows come back instead, with the key and a block number: u is the fingerprint and v the node."""
-
-    def links_of(fps, nodes):
-        u, v = _forest(fps, distance)
-        return [nodes[u], nodes[v], np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)]
+    """Over rows (key, fp, node, grp) sorted by key: links u, v of nodes of different groups within each key.  With split, the
+    rows of keys of more than bucket rows come back instead, with the key and a block number: u is the fingerprint, v the node
+    and w its group."""
+    names = ["u", "v", "w", "key", "block"]
+
+    def links_of(fps, nodes, groups):
+        order = np.argsort(nodes)  # a group's links then mostly lead to one node, by whichever key they are found
+        fps, nodes, groups = fps[order], nodes[order], groups[order]
+        u, v = _forest(fps, groups, distance)
+        nothing = np.zeros(len(u), np.int64)
+        return [nodes[u], nodes[v], nothing, nothing - 1, nothing]
 
     def task(batches):
         key, held, block = None, [], 0
@@ -140,22 +157,23 @@ def _compare(distance: int, bucket: int, split: bool):
         def flush(done: bool):
             """What the rows held of the present key give; all of them if the key is done."""
             nonlocal held, block
-            fps, nodes = (np.concatenate(x) for x in zip(*held))
+            fps, nodes, groups = (np.concatenate(x) for x in zip(*held))
             held = []
             if split and (block or len(fps) > bucket):
                 cut = len(fps) if done else len(fps) // bucket * bucket
                 blocks = block + np.arange(cut) // bucket
                 block += -(-cut // bucket)
                 if cut < len(fps):
-                    held = [(fps[cut:], nodes[cut:])]
-                return [fps[:cut].view(np.int64), nodes[:cut], np.full(cut, key, np.int64), blocks]
+                    held = [(fps[cut:], nodes[cut:], groups[cut:])]
+                return [fps[:cut].view(np.int64), nodes[:cut], groups[:cut], np.full(cut, key, np.int64), blocks]
             if not done:
-                held = [(fps, nodes)]
+                held = [(fps, nodes, groups)]
                 return None
-            return links_of(fps, nodes)
+            return links_of(fps, nodes, groups)
 
         for batch in batches:
-            keys, fps, nodes = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
+            keys, fps, nodes, groups = (np.asarray(batch.column(i)) for i in range(4))
+            fps = fps.view(np.uint64)
             if not len(keys):
                 continue
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -164,34 +182,43 @@ def _compare(distance: int, bucket: int, split: bool):
             inner[-1] = False
             inner[0] &= keys[0] != key
             two = starts[inner & (sizes == 2)]
-            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
-            out = [[nodes[two], nodes[two + 1], np.full(len(two), -1, np.int64), np.zeros(len(two), np.int64)]]
-            for r in np.flatnonzero(~inner | (sizes > 2)):
+            two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance) & (groups[two] != groups[two + 1])]
+            # Keys of a few rows mostly have no link: they are sifted out all at once, by comparing rows at each distance.
+            run, hit = np.repeat(np.arange(len(starts)), sizes), np.zeros(len(starts), bool)
+            for k in range(1, min(int(sizes[inner].max(initial=0)), SIFTED)):
+                at = np.flatnonzero(run[k:] == run[:-k])
+                at = at[(np.bitwise_count(fps[at] ^ fps[at + k]) <= distance) & (groups[at] != groups[at + k])]
+                hit[run[at]] = True
+            nothing = np.zeros(len(two), np.int64)
+            out = [[nodes[two], nodes[two + 1], nothing, nothing - 1, nothing]]
+            for r in np.flatnonzero(~inner | ((sizes > 2) & (hit | (sizes > SIFTED)))):
                 if keys[starts[r]] != key:
                     if held:
                         out.append(flush(True))
                     key, held, block = int(keys[starts[r]]), [], 0
-                held.append((fps[starts[r] : starts[r] + sizes[r]], nodes[starts[r] : starts[r] + sizes[r]]))
+                own = slice(starts[r], starts[r] + sizes[r])
+                held.append((fps[own], nodes[own], groups[own]))
                 if sum(len(x[0]) for x in held) > 2 * bucket:
                     out.append(flush(False))
             out = [x for x in out if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v", "key", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flush(True)], ["u", "v", "key", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flush(True)], names)
 
     return task
 
 
 def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, exact_bits: int = 16) -> DataFrame:
-    """classes: node (long) and fps.  Links of nodes, key by key a spanning forest of those at most distance bits apart in one
-    of their fingerprints: u, v.  Up to DISTANCE bits none is missed; beyond that, those that share no key are."""
+    """classes: node (long), fps, and grp (long), what is known to be linked already.  Links of nodes of different groups, key by
+    key a spanning forest of those at most distance bits apart in one of their fingerprints: u, v.  Up to DISTANCE bits none is missed; beyond that, those that share no key are."""
     n = partitions(classes.sparkSession)
+    wide(classes)
 
     def keys(batches):
         ball = ball_table()[0]
         for batch in batches:
             out = []
-            nodes, count = np.asarray(batch.column(0)), len(batch.column(1).flatten()) // max(1, len(batch))
+            nodes, groups, count = np.asarray(batch.column(0)), np.asarray(batch.column(2)), len(batch.column(1).flatten()) // max(1, len(batch))
             all_fps = np.asarray(batch.column(1).flatten()).view(np.uint64).reshape(len(batch), count)
             for r in range(count):
                 fps = all_fps[:, r]
@@ -200,17 +227,17 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, ex
                     near = ball[segments[(a + 1) % 4]]
                     row, col = np.nonzero(near >= 0)
                     exact = segments[a][row] & ((1 << exact_bits) - 1)
-                    out.append(((4 * r + a) << 28 | exact << 12 | near[row, col], fps[row].view(np.int64), nodes[row]))
+                    out.append(((4 * r + a) << 28 | exact << 12 | near[row, col], fps[row].view(np.int64), nodes[row], groups[row]))
             for at in range(0, len(out), 4):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[at : at + 4])], ["key", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[at : at + 4])], ["key", "fp", "node", "grp"])
 
-    keyed = classes.select("node", "fps").mapInArrow(keys, "key long, fp long, node long").repartition(n, "key").sortWithinPartitions("key")
+    keyed = classes.select("node", "fps", "grp").mapInArrow(keys, "key long, fp long, node long, grp long").repartition(n, "key").sortWithinPartitions("key")
     found = checkpointed(keyed.mapInArrow(_compare(distance, bucket, True), LINKS))
     # Keys with more rows than a task compares: every two blocks meet in a task of their own.
     hot = found.where("key >= 0")
     blocks = hot.groupBy("key").agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    pairs = hot.join(blocks, "key").select("key", "u", "v", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("u").alias("fp"), F.col("v").alias("node"))
+    pairs = hot.join(blocks, "key").select("key", "u", "v", "w", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("u").alias("fp"), F.col("v").alias("node"), F.col("w").alias("grp"))
     met = pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(distance, bucket, False), LINKS)
     return found.where("key < 0").select("u", "v").union(met.select("u", "v"))
 
@@ -224,13 +251,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, c
     marked = checkpointed(fingerprints(docs, width, count, id_column, text_column))
     node = F.col("fps")[0] if count == 1 else F.xxhash64("fps")
     classes = checkpointed(marked.groupBy(node.alias("node"), "fps").agg(F.min("id").alias("least")))
-    found = links(classes, distance, bucket, exact_bits)
-    if share is not None:
+
+    def verified(found: DataFrame) -> DataFrame:
+        if share is None:
+            return found
         side = lambda name: classes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
         both = found.distinct().join(side("u"), "u").join(side("v"), "v")
         differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-        found = both.where(differ <= int(share * 64 * count)).select("u", "v")
-    roots = components(found)
+        return both.where(differ <= int(share * 64 * count)).select("u", "v")
+
+    # The first fingerprint finds most links of large groups; the others then only link what is apart still.
+    first = classes.select("node", F.slice("fps", 1, 1).alias("fps"), F.col("node").alias("grp"))
+    roots = components(verified(links(first, distance, bucket, exact_bits)))
+    if count > 1:
+        apart = classes.join(roots, "node", "left").select("node", F.slice("fps", 2, count - 1).alias("fps"), F.coalesce("root", "node").alias("grp"))
+        more = verified(links(apart, distance, bucket, exact_bits))
+        roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = rooted.join(named, "root").select("node", "component_id")
