@@ -498,6 +498,25 @@ def test_decontamination_finds_edited_copies(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [*range(24, 60), 100, 101]
 
 
+def test_decontamination_equals_alignment_of_all(spark):
+    rng = random.Random(8)
+    items = [prose(rng, n, 3000).split() for n in (60, 41, 15, 5, 4, 3)]
+    texts = [prose(rng, 80, 30) for _ in range(4)]
+    for item in items:
+        copies = [[f"edit{i}" if i % n == n - 1 else w for i, w in enumerate(item)] for n in (3, 4, 5)]  # one word in n is changed
+        copies.append([x for w in item for x in (w, f"new{w}")])
+        for share in (0.1, 0.25, 0.35, 0.45):
+            copies += [[w if rng.random() > share else rng.choice(["", "edit", f"{w} new", f"new {w} new"]) for w in item] for _ in range(6)]
+        texts += [f"{prose(rng, rng.randrange(60), 3000)} {' '.join(c)} {prose(rng, rng.randrange(60), 3000)}" for c in [item, *copies]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {(r.id, r.item): r.share for r in decontaminate.contaminated(frame, bench).collect()}
+    number = {w: i for i, w in enumerate({w for t in [*texts, *map(" ".join, items)] for w in t.split()})}
+    coded = lambda words: np.array([number[w] for w in words], np.uint64)
+    shares = {(i, k): decontaminate.align(coded(item), coded(t.split()))[0] / (2 * len(item)) for i, t in enumerate(texts) for k, item in enumerate(items)}
+    assert got == {pair: share for pair, share in shares.items() if share >= 0.5}
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 

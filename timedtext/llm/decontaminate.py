@@ -1,23 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
-A first pass counts in how many documents each word n-gram of an item stands, over all documents.  Of every SPREAD n-grams of
-an item in a row the rarest is a seed, so each stretch of an item has one, however common the item's text is in the corpus: a
-copy that keeps NGRAM + SPREAD - 1 words in a row always holds a seed, and nearly every other edited copy does.  A second pass
-joins passages to items by seeds and aligns each item with the words around its hits: match +2, mismatch -1, gap -1, on
-lower-cased words.  An alignment's score over the item's own (2 a word) is its share; from THRESHOLD on the
-document is contaminated.
+Every two words in a row of an item are a seed, found in a document where they stand side by side or with one word between.
+A pass joins passages to items by seeds and aligns each item with the words around its hits: match +2, mismatch -1, gap -1, on
+lower-cased words.  An alignment's score over the item's own (2 a word) is its share; from THRESHOLD on the document is
+contaminated.
+
+From a threshold of one half on no alignment is missed, however the copy is edited and however common the item's text is.  Of
+an item's L words an alignment may lose 2 L (1 - threshold) points of 2 L.  Two words of the item in a row that are no seed in
+it cost 2 points where two words or more are put between them or where one of them lies beyond an end of the alignment, and
+m + 1 such pairs cost 3 m where m words are left out or changed: so two thirds of the points at most are pairs lost, and the
+other pairs of L - 1 must be hit, as many as needed() states.  A document with fewer is not aligned.  Of items of three words
+the outer two are a seed as well, and one is enough.
 
 Items are taken in waves of at most WAVE_WORDS words, the bound on what is broadcast and collected; documents are read where
 they lie and never shuffled.
 
-Edge cases: null and blank texts hold nothing; items of fewer than NGRAM words have no seed and take no part; null ids are
+Edge cases: null and blank texts hold nothing; items of fewer than SHORTEST words take no part; null ids are
 kept as they are; repeated items and repeated documents each give their own rows; with equal scores the first passage counts;
 an empty table on either side gives no matches; texts are searched whole, whatever their length; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import BASES, lean, mix, only, prefix_hashes, range_hash, text_blocks, word_spans
 
-NGRAM, SPREAD = 3, 3
+SHORTEST = 3
 MATCH, MISMATCH, SKIP = 2, -1, 1
 THRESHOLD = 0.5
 WAVE_WORDS = 1_000_000
+#: Seeds of items that the rows looked at together may hit; one row alone hits two for each word of a wave at most.
+HITS = 1_000_000
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,14 +46,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return range_hash(prefix_hashes(data, BASES[0]), starts, ends, BASES[0]), rows
 
 
-def grams(words: np.ndarray, n: int = NGRAM) -> np.ndarray:
-    """A hash of every n words in a row."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    out = words[: len(words) - n + 1].copy()
-    for k in range(1, n):
-        out = mix(out * np.uint64(BASES[1]) + words[k : len(words) - n + 1 + k])
-    return out
+def pairs(first: np.ndarray, second: np.ndarray, between: int) -> np.ndarray:
+    """Hashes of word pairs with so many words between them."""
+    h = mix(first * np.uint64(BASES[1]) + second)
+    return mix(h + np.uint64(BASES[0])) if between else h
+
+
+def needed(length: int, threshold: float) -> int:
+    """In how many places an item's seeds lie at least in an alignment that reaches the threshold."""
+    return 1 if length == SHORTEST else max(1, length - 1 - int(4 * length * (1 - threshold) / 3 + 1e-9))
 
 
 def _items(items: DataFrame, id_column: str, text_column: str):
@@ -56,7 +64,7 @@ def _items(items: DataFrame, id_column: str, text_column: str):
     for r in rows.toLocalIterator():
         data = np.frombuffer(pc.utf8_lower(pa.scalar(r["text"])).as_py().encode(), np.uint8)
         words = word_hashes(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint64)
-        if len(words) < NGRAM:
+        if len(words) < SHORTEST:
             continue
         if wave and size + len(words) > WAVE_WORDS:
             yield wave
@@ -68,29 +76,76 @@ def _items(items: DataFrame, id_column: str, text_column: str):
 
 
 def _hits(text: pa.Array, wanted: np.ndarray):
-    """For each block: the words, their rows, and where wanted n-grams start (positions in the block, and in wanted)."""
+    """For each block: the words, their rows, and where wanted pairs start (positions in the block, ascending, and in wanted)."""
     maybe = np.zeros(1 << 16, bool)
     maybe[(wanted >> np.uint64(48)).astype(np.int64)] = True
     for a, _, data, offsets in text_blocks(pc.utf8_lower(text)):
         words, rows = word_hashes(data, offsets)
-        g = grams(words)
-        at = np.flatnonzero(maybe[(g >> np.uint64(48)).astype(np.int64)] & (rows[: len(g)] == rows[NGRAM - 1 :][: len(g)])) if len(g) else np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(wanted, g[at]), len(wanted) - 1)
-        hit = wanted[place] == g[at]
-        yield a, words, rows, at[hit], place[hit]
-
-
-def _rarest(wave: list, frequency: dict[int, int]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """The seeds, sorted, and for each the (item, position) where it is one."""
-    found = defaultdict(list)
+        starts, places = [], []
+        for step in (1, 2):
+            h = pairs(words[:-step], words[step:], step - 1)
+            at = np.flatnonzero(maybe[(h >> np.uint64(48)).astype(np.int64)] & (rows[:-step] == rows[step:]))
+            place = np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)
+            hit = wanted[place] == h[at]
+            starts.append(at[hit])
+            places.append(place[hit])
+        at, place = np.concatenate(starts), np.concatenate(places)
+        order = np.argsort(at, kind="stable")
+        yield a, words, rows, at[order], place[order]
+
+
+class Seeds(NamedTuple):
+    """hashes: the seeds, sorted and distinct; those of number s are in the slots slot[first[s]:first[s + 1]].  A slot is a place
+    of an item: item[slot], position[slot].  need: how many slots of each item must be hit."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    slot: np.ndarray
+    item: np.ndarray
+    position: np.ndarray
+    need: np.ndarray
+
+
+def _seeds(wave: list, threshold: float) -> Seeds:
+    hashes, items, positions = [], [], []
     for k, (_, words) in enumerate(wave):
-        g = grams(words)
-        df = np.array([frequency.get(int(x), 0) for x in g.view(np.int64)])
-        chosen = {i + int(np.argmin(df[i : i + SPREAD])) for i in range(max(1, len(g) - SPREAD + 1))}
-        for i in sorted(chosen):
-            found[int(g[i])].append((k, i))
-    seeds = np.array(sorted(found), np.uint64)
-    return seeds, {i: found[int(s)] for i, s in enumerate(seeds)}
+        left, right = np.arange(len(words) - 1), np.arange(1, len(words))
+        if len(words) == SHORTEST:
+            left, right = np.append(left, 0), np.append(right, 2)
+        hashes.append([pairs(words[left], words[right], between) for between in (0, 1)])
+        items.append(np.full(len(left), k))
+        positions.append(left)
+    every = np.concatenate([h[b] for b in (0, 1) for h in hashes])
+    order = np.argsort(every, kind="stable")
+    distinct, first = np.unique(every[order], return_index=True)
+    need = np.array([needed(len(words), threshold) for _, words in wave])
+    return Seeds(distinct, np.append(first, len(every)), order % (len(every) // 2), np.concatenate(items), np.concatenate(positions), need)
+
+
+def _slots(seeds: Seeds, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of each of the seeds, and by which of them."""
+    n = seeds.first[place + 1] - seeds.first[place]
+    by = np.repeat(np.arange(len(place)), n)
+    return seeds.slot[np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(seeds.first[place], n)], by
+
+
+def _candidates(seeds: Seeds, row: np.ndarray, place: np.ndarray):
+    """For hits (row, seed), by row: yields (row, item) of those that hit as many slots of the item as needed."""
+    seen = np.unique(row * len(seeds.hashes) + place)
+    row, place = np.divmod(seen, len(seeds.hashes))
+    size = np.cumsum(seeds.first[place + 1] - seeds.first[place])
+    ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)) if len(row) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(row):
+        fit = ends[(ends > a) & (size[ends - 1] <= (size[a - 1] if a else 0) + HITS)]
+        b = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, a, "right")])
+        slot, by = _slots(seeds, place[a:b])
+        held = np.unique(row[a:b][by] * len(seeds.item) + slot)
+        pair, n = np.unique(held // len(seeds.item) * len(seeds.need) + seeds.item[held % len(seeds.item)], return_counts=True)
+        r, k = np.divmod(pair, len(seeds.need))
+        enough = n >= seeds.need[k]
+        yield from zip(r[enough].tolist(), k[enough].tolist())
+        a = b
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -118,54 +173,35 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _matches(wave, seeds, places, threshold):
+def _matches(wave, seeds, threshold):
     """For a text column: yields (row, item, share, first word, last word) of the contaminated pairs."""
 
     def search(text: pa.Array):
-        for a, words, rows, at, place in _hits(text, seeds):
-            by_pair = defaultdict(list)
-            for p, s in zip(at.tolist(), place.tolist()):
-                for k, i in places[s]:
-                    by_pair[int(rows[p]), k].append(p - i)
-            for (row, k), origins in by_pair.items():
+        for a, words, rows, at, place in _hits(text, seeds.hashes):
+            for row, k in _candidates(seeds, rows[at], place):
                 item = wave[k][1]
                 first, last = np.searchsorted(rows, [row, row + 1])
-                origins.sort()
-                reach, best, group = len(item), None, [origins[0]]
-                for o in [*origins[1:], None]:
-                    if o is not None and o - group[-1] <= reach:
-                        group.append(o)
-                        continue
-                    lo, hi = max(first, group[0] - reach // 2), min(last, group[-1] + len(item) + reach // 2)
+                own = slice(*np.searchsorted(at, [first, last]))
+                slot, by = _slots(seeds, place[own])
+                mine = seeds.item[slot] == k
+                origins = np.sort(at[own][by[mine]] - seeds.position[slot[mine]])
+                # An alignment that reaches one half has no more words put in than the item has.
+                reach, best = len(item), None
+                for group in np.split(origins, np.flatnonzero(np.diff(origins) > reach) + 1):
+                    lo, hi = max(first, group[0] - reach), min(last, group[-1] + len(item) + reach)
                     score, x, y = align(item, words[lo:hi])
                     if best is None or score > best[0]:
                         best = (score, int(lo + x - first), int(lo + y - first))
-                    group = [o]
                 if best[0] >= threshold * MATCH * len(item):
                     yield a + row, k, best[0] / (MATCH * len(item)), best[1], best[2]
 
     return search
 
 
-def _searches(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str, text_column: str):
-    """For each wave of items: the items and a function that finds their copies."""
+def _searches(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str):
+    """For each wave of items: what finds their copies."""
     for wave in _items(items, item_id, item_text):
-        wanted = np.unique(np.concatenate([grams(words) for _, words in wave]))
-        held = docs.sparkSession.sparkContext.broadcast(wanted)
-
-        def count(batches, held=held):
-            for batch in batches:
-                counts = np.zeros(len(held.value), np.int64)
-                for _, _, rows, at, place in _hits(batch.column(0), held.value):
-                    pair = np.unique(rows[at] * len(counts) + place)
-                    counts += np.bincount(pair % len(counts), minlength=len(counts))
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(held.value[at].view(np.int64)), pa.array(counts[at])], ["gram", "n"])
-
-        # As many rows as the wave has n-grams at most.
-        frequency = dict(only(docs, text_column).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).toPandas().itertuples(index=False, name=None))
-        seeds, places = _rarest(wave, frequency)
-        yield wave, docs.sparkSession.sparkContext.broadcast((wave, seeds, places, threshold))
+        yield docs.sparkSession.sparkContext.broadcast((wave, _seeds(wave, threshold), threshold))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -173,7 +209,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     rows = only(docs, id_column, text_column).toDF("id", "text")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}, share double, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for _, held in _searches(docs, items, threshold, item_id, item_text, text_column):
+    for held in _searches(docs, items, threshold, item_id, item_text):
 
         def find(batches, held=held):
             wave = held.value[0]
@@ -191,7 +227,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without its contaminated rows; all columns stay."""
-    for _, held in _searches(docs, items, threshold, item_id, item_text, text_column):
+    for held in _searches(docs, items, threshold, item_id, item_text):
         at = docs.columns.index(text_column)
 
         def keep(batches, held=held, at=at):
