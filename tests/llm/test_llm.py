@@ -259,6 +259,28 @@ def test_one_of_each_near_copy(spark):
     assert sorted(r.doc_id for r in kept) == [5, *range(30, 60)]
 
 
+def jaccard(a, b, width=5):
+    one, two = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+def test_near_copies_are_links_of_shingles(spark):
+    rng = random.Random(3)
+    base = prose(rng, 200, 5000).split()
+    own = lambda i, n, words: " ".join(f"o{i}x{j}" if len(words) - n <= j else w for j, w in enumerate(words))
+    texts = [own(i, 40, base) for i in range(60)]  # a family with a common opening, every two at 0.66
+    texts += [own(100 + i, 30, prose(rng, 10, 3000).split()[:2] + base[2:180]) for i in range(3)]
+    other = prose(rng, 200, 5000).split()
+    texts += [" ".join(other), own(200, 4, other), " ".join([*other, "more", "words"])]  # copies
+    short = prose(rng, 10, 5000).split()
+    texts += [" ".join(short), " ".join([*short[:-1], "end"])]  # 0.71
+    line = prose(rng, 12, 5000)
+    texts += [f"{line} " * 50 + prose(rng, 40, 5000) for _ in range(4)]  # one line repeated, otherwise different
+    groups = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **simhash.SIMILAR).collect()}
+    ids = range(len(texts))
+    assert groups == component_model(ids, [(a, b) for a in ids for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 SECRET_TEXTS = [

@@ -12,7 +12,10 @@ Fingerprints are first made distinct.  A key's fingerprints are compared in one
 into blocks of BUCKET and every two blocks are compared in a task of their own, so no pair is lost and no task is unbounded.
 A task returns a spanning forest of the links it verified, never all pairs.
 
-With several fingerprints and a larger distance the same keys find most similar texts but not all: see links().
+With several fingerprints and a larger distance the same keys find most similar texts but not all: see links().  A similarity
+is then required of the texts themselves: their sets of shingles lie in files that workers read (Shelf), and a task tests what
+it finds on them before it grows its forest, so that every link of the forest holds and none is left out for one that fails.
+Texts with the same set are one node.
 
 Edge cases: a null or blank text has the fingerprint 0 and is linked like any other; a text of fewer words than a shingle is
 one shingle; repeated rows have the same component; a null id takes part but is never a component's id unless it has no
@@ -21,13 +24,19 @@ other; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import shutil
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, checkpointed, mix, only, partitions, wide
+from .common import BASES, checkpointed, mix, only, partitions, shared_path, wide
 from .components import components
 
 DISTANCE = 3
@@ -39,23 +48,29 @@ GENERATOR = 0b101011100011
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def fingerprint_text(text: bytes, width: int, count: int = 1) -> list[int]:
-    """64-bit SimHashes of a UTF-8 text's word shingles: a bit is 1 if it is set in over half of their hashes.
-
-    The first takes the shingles' XXH64 (seed 42), the others these mixed with a number.
-    """
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of a UTF-8 text's word shingles, in order."""
     words = text.lower().split()  # bytes: A-Z and ASCII white space alone
     if not words:
-        return [0] * count
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     if n == 1:
-        h = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[: n - 1] + 1])
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[: n - 1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprints_of(h: np.ndarray, count: int = 1) -> list[int]:
+    """64-bit SimHashes of shingle hashes: a bit is 1 if it is set in over half of them.
+
+    The first takes the hashes as they are, the others mixed with a number.
+    """
+    n = len(h)
+    if not n:
+        return [0] * count
     out = []
     for r in range(count):
         planes = (mix(h + np.uint64(r * BASES[0] % 2**64)) if r else h).astype("<u8").view(np.uint8).reshape(n, 8)
@@ -67,6 +82,95 @@ def fingerprint_text(text: bytes, width: int, count: int = 1) -> list[int]:
     return out
 
 
+def fingerprint_text(text: bytes, width: int, count: int = 1) -> list[int]:
+    """The SimHashes of a text's word shingles; a shingle counts as often as it stands there."""
+    return fingerprints_of(shingle_hashes(text, width), count)
+
+
+class Shelf:
+    """Records of texts: their fingerprints and the sorted set of their shingles, by the upper HASH_BYTES of the hashes.
+
+    A node is the number of a file, 36 bits up, and the record's place in it.  Records are read, not mapped, and CACHED bytes of
+    them are held.
+    """
+
+    HASH_BYTES, FIRST_READ, CACHED, OPEN = 6, 2560, 16 << 20, 128
+
+    def __init__(self, folder: str, count: int, similarity: float, share: float):
+        self.folder, self.count, self.similarity, self.most = folder, count, similarity, int(share * 64 * count)
+        self.files, self.records, self.held = OrderedDict(), OrderedDict(), 0
+
+    @classmethod
+    def record(cls, fps: list[int], distinct: np.ndarray) -> bytes:
+        hashes = np.unique(distinct >> np.uint64(8 * (8 - cls.HASH_BYTES))).astype("<u8")
+        return np.array([len(hashes), *fps], "<u8").tobytes() + hashes.view(np.uint8).reshape(-1, 8)[:, : cls.HASH_BYTES].tobytes()
+
+    def _file(self, number: int) -> int:
+        if number not in self.files:
+            if len(self.files) >= self.OPEN:
+                self.files.popitem(last=False)[1].close()
+            self.files[number] = open(f"{self.folder}/{number}", "rb", buffering=0)  # closed with the shelf of the task
+        return self.files[number].fileno()
+
+    def read(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self.records.get(node)
+        if found is None:
+            file, at = self._file(node >> 36), node & (1 << 36) - 1
+            head, data = 8 * (1 + self.count), os.pread(file, self.FIRST_READ, at)
+            fields = np.frombuffer(data[:head], "<u8")
+            size = head + int(fields[0]) * self.HASH_BYTES
+            while len(data) < size:
+                data += os.pread(file, size - len(data), at + len(data))
+            hashes = np.zeros((int(fields[0]), 8), np.uint8)
+            hashes[:, : self.HASH_BYTES] = np.frombuffer(data, np.uint8, size - head, head).reshape(-1, self.HASH_BYTES)
+            found = self.records[node] = fields[1:], hashes.view("<u8").reshape(-1)
+            self.held += hashes.nbytes + 500
+            while self.held > self.CACHED and len(self.records) > 2:
+                self.held -= self.records.popitem(last=False)[1][1].nbytes + 500
+        return found
+
+    def similar(self, u: int, v: int) -> bool:
+        """Whether u's and v's sets have the required part of their union in common; not asked if too many bits differ."""
+        (fps_u, a), (fps_v, b) = self.read(u), self.read(v)
+        if min(len(a), len(b)) < self.similarity * max(len(a), len(b)) - 1e-9 or int(np.bitwise_count(fps_u ^ fps_v).sum()) > self.most:
+            return False
+        both = np.sort(np.concatenate([a, b]))
+        common = int((both[1:] == both[:-1]).sum())
+        return common >= self.similarity * (len(both) - common) - 1e-9
+
+
+def shelved(docs: DataFrame, shelf: Shelf, width: int, id_column: str, text_column: str) -> DataFrame:
+    """id, fps, content (a hash of the set of shingles) and node of every row; its record lies in a file of its task's own.
+
+    A shingle counts once in these fingerprints.
+    """
+    rows = only(docs, id_column, text_column).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    folder, count = shelf.folder, shelf.count
+
+    def task(batches):
+        number, file = TaskContext.get().partitionId() << 8, None
+        while file is None:  # another attempt may have left a file
+            try:
+                file = open(f"{folder}/{number}", "xb")
+            except FileExistsError:
+                number += 1
+        with file:
+            for batch in batches:
+                fps, content, nodes = [], [], []
+                for t in batch.column(1):
+                    distinct = np.unique(shingle_hashes(t.as_py(), width))
+                    fps.append(fingerprints_of(distinct, count))
+                    content.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+                    nodes.append(number << 36 | file.tell())
+                    file.write(Shelf.record(fps[-1], distinct))
+                file.flush()
+                flat = np.array(fps, np.uint64).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * count), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], ["id", "fps", "content", "node"])
+
+    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, fps array<long>, content long, node long")
+
+
 def fingerprints(docs: DataFrame, width: int = 3, count: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and fps (the fingerprints as signed longs) of every row."""
     rows = only(docs, id_column, text_column).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -108,9 +212,9 @@ def ball_table() -> tuple[np.ndarray, np.ndarray]:
     return found[: int((found >= 0).sum(axis=0).max())].T, codeword_index(own)
 
 
-def _forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fps: np.ndarray, groups: np.ndarray, distance: int, test=None) -> tuple[np.ndarray, np.ndarray]:
     """Links, as positions, that with the groups known before connect what all links among rows connect; no two of them link
-    the same groups.  Trees grow from their first row."""
+    the same groups.  Trees grow from their first row.  test, if given, says of two positions whether they are a link."""
     left, u, v = np.arange(1, len(fps)), [], []
     queue = [0] if len(fps) and (groups != groups[0]).any() else []
     if not queue:
@@ -121,6 +225,13 @@ def _forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndar
         at = queue.pop(0)
         same = groups[left] == groups[at]
         near = (np.bitwise_count(fps[at] ^ fps[left]) <= distance) & ~same
+        if test is not None:
+            held = set()
+            for j in np.flatnonzero(near).tolist():
+                group = int(groups[left[j]])
+                near[j] = group not in held and test(at, int(left[j]))
+                if near[j]:
+                    held.add(group)
         if not near.any():
             if same.any():
                 queue += left[same].tolist()
@@ -138,7 +249,7 @@ def _forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndar
 LINKS = "u long, v long, w long, key long, block long"
 
 
-def _compare(distance: int, bucket: int, split: bool):
+def _compare(distance: int, bucket: int, split: bool, shelf: Shelf | None = None):
     """Over rows (key, fp, node, grp) sorted by key: links u, v of nodes of different groups within each key.  With split, the
     rows of keys of more than bucket rows come back instead, with the key and a block number: u is the fingerprint, v the node
     and w its group."""
@@ -147,7 +258,7 @@ def _compare(distance: int, bucket: int, split: bool):
     def links_of(fps, nodes, groups):
         order = np.argsort(nodes)  # a group's links then mostly lead to one node, by whichever key they are found
         fps, nodes, groups = fps[order], nodes[order], groups[order]
-        u, v = _forest(fps, groups, distance)
+        u, v = _forest(fps, groups, distance, shelf and (lambda a, b: shelf.similar(int(nodes[a]), int(nodes[b]))))
         nothing = np.zeros(len(u), np.int64)
         return [nodes[u], nodes[v], nothing, nothing - 1, nothing]
 
@@ -172,7 +283,8 @@ def _compare(distance: int, bucket: int, split: bool):
             return links_of(fps, nodes, groups)
 
         for batch in batches:
-            keys, fps, nodes, groups = (np.asarray(batch.column(i)) for i in range(4))
+            keys, fps, nodes = (np.asarray(batch.column(i)) for i in range(3))
+            groups = np.asarray(pc.coalesce(batch.column(3), batch.column(2)))
             fps = fps.view(np.uint64)
             if not len(keys):
                 continue
@@ -183,6 +295,8 @@ def _compare(distance: int, bucket: int, split: bool):
             inner[0] &= keys[0] != key
             two = starts[inner & (sizes == 2)]
             two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance) & (groups[two] != groups[two + 1])]
+            if shelf:
+                two = two[[shelf.similar(int(nodes[i]), int(nodes[i + 1])) for i in two] if len(two) else []]
             # Keys of a few rows mostly have no link: they are sifted out all at once, by comparing rows at each distance.
             run, hit = np.repeat(np.arange(len(starts)), sizes), np.zeros(len(starts), bool)
             for k in range(1, min(int(sizes[inner].max(initial=0)), SIFTED)):
@@ -208,9 +322,10 @@ def _compare(distance: int, bucket: int, split: bool):
     return task
 
 
-def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, exact_bits: int = 16) -> DataFrame:
+def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, exact_bits: int = 16, shelf: Shelf | None = None) -> DataFrame:
     """classes: node (long), fps, and grp (long), what is known to be linked already.  Links of nodes of different groups, key by
-    key a spanning forest of those at most distance bits apart in one of their fingerprints: u, v.  Up to DISTANCE bits none is missed; beyond that, those that share no key are."""
+    key a spanning forest of those at most distance bits apart in one of their fingerprints: u, v.  Up to DISTANCE bits none is missed; beyond that, those that share no key are.
+    With a shelf, links are those that are similar besides."""
     n = partitions(classes.sparkSession)
     wide(classes)
 
@@ -219,6 +334,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, ex
         for batch in batches:
             out = []
             nodes, groups, count = np.asarray(batch.column(0)), np.asarray(batch.column(2)), len(batch.column(1).flatten()) // max(1, len(batch))
+            alone = groups == nodes  # is not sent
             all_fps = np.asarray(batch.column(1).flatten()).view(np.uint64).reshape(len(batch), count)
             for r in range(count):
                 fps = all_fps[:, r]
@@ -227,54 +343,54 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, ex
                     near = ball[segments[(a + 1) % 4]]
                     row, col = np.nonzero(near >= 0)
                     exact = segments[a][row] & ((1 << exact_bits) - 1)
-                    out.append(((4 * r + a) << 28 | exact << 12 | near[row, col], fps[row].view(np.int64), nodes[row], groups[row]))
+                    out.append(((4 * r + a) << 28 | exact << 12 | near[row, col], fps[row].view(np.int64), nodes[row], alone[row], groups[row]))
             for at in range(0, len(out), 4):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[at : at + 4])], ["key", "fp", "node", "grp"])
+                key, fp, node, mask, grp = (np.concatenate(c) for c in zip(*out[at : at + 4]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(node), pa.array(grp, mask=mask)], ["key", "fp", "node", "grp"])
 
     keyed = classes.select("node", "fps", "grp").mapInArrow(keys, "key long, fp long, node long, grp long").repartition(n, "key").sortWithinPartitions("key")
-    found = checkpointed(keyed.mapInArrow(_compare(distance, bucket, True), LINKS))
+    found = checkpointed(keyed.mapInArrow(_compare(distance, bucket, True, shelf), LINKS))
     # Keys with more rows than a task compares: every two blocks meet in a task of their own.
     hot = found.where("key >= 0")
     blocks = hot.groupBy("key").agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     pairs = hot.join(blocks, "key").select("key", "u", "v", "w", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("u").alias("fp"), F.col("v").alias("node"), F.col("w").alias("grp"))
-    met = pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(distance, bucket, False), LINKS)
+    met = pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(distance, bucket, False, shelf), LINKS)
     return found.where("key < 0").select("u", "v").union(met.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, count: int = 1, share: float | None = None, bucket: int = BUCKET, exact_bits: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, count: int = 1, similarity: float | None = None, share: float = 1.0, bucket: int = BUCKET, exact_bits: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, fps and component_id (the least id that links reach) of every row.
 
-    count: fingerprints of each text, one link in any of which suffices.  share: if given, the part of all their bits in which
-    linked texts may differ; links beyond it are dropped.
+    count: fingerprints of each text, one link in any of which suffices.  similarity: if given, the part of the union of their
+    shingles that linked texts must have in common; share: the part of all bits in which they may differ to be tested for it.
     """
-    marked = checkpointed(fingerprints(docs, width, count, id_column, text_column))
-    node = F.col("fps")[0] if count == 1 else F.xxhash64("fps")
-    classes = checkpointed(marked.groupBy(node.alias("node"), "fps").agg(F.min("id").alias("least")))
-
-    def verified(found: DataFrame) -> DataFrame:
-        if share is None:
-            return found
-        side = lambda name: classes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
-        both = found.distinct().join(side("u"), "u").join(side("v"), "v")
-        differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-        return both.where(differ <= int(share * 64 * count)).select("u", "v")
+    shelf = None if similarity is None else Shelf(shared_path(docs.sparkSession, "shingles"), count, similarity, share)
+    if shelf:
+        marked = checkpointed(shelved(docs, shelf, width, id_column, text_column))
+        classes = checkpointed(marked.groupBy("content", "fps").agg(F.min("id").alias("least"), F.min("node").alias("node")))
+    else:
+        marked = checkpointed(fingerprints(docs, width, count, id_column, text_column).withColumn("content", F.xxhash64("fps")))
+        node = F.col("fps")[0] if count == 1 else F.col("content")
+        classes = checkpointed(marked.groupBy("content", "fps").agg(F.min("id").alias("least")).withColumn("node", node))
 
     # The first fingerprint finds most links of large groups; the others then only link what is apart still.
     first = classes.select("node", F.slice("fps", 1, 1).alias("fps"), F.col("node").alias("grp"))
-    roots = components(verified(links(first, distance, bucket, exact_bits)))
+    roots = components(links(first, distance, bucket, exact_bits, shelf))
     if count > 1:
         apart = classes.join(roots, "node", "left").select("node", F.slice("fps", 2, count - 1).alias("fps"), F.coalesce("root", "node").alias("grp"))
-        more = verified(links(apart, distance, bucket, exact_bits))
+        more = links(apart, distance, bucket, exact_bits, shelf)
         roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    if shelf:
+        shutil.rmtree(shelf.folder)
+    rooted = classes.join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = rooted.join(named, "root").select("node", "component_id")
-    return marked.withColumn("node", node).join(by_node, "node").select("id", "fps", "component_id")
+    by_content = rooted.join(named, "root").select("content", "component_id")
+    return marked.join(by_content, "content").select("id", "fps", "component_id")
 
 
-#: For 0.8 of the word 5-shingles in common: as many fingerprints, the bits one of them may differ in and the part of all bits.
-SIMILAR = {"width": 5, "count": 8, "distance": 12, "share": 0.17, "exact_bits": 12}
+#: 0.8 of the word 5-shingles in common; found by as many fingerprints, the bits one of them may differ in and the part of all bits.
+SIMILAR = {"width": 5, "count": 8, "distance": 12, "similarity": 0.8, "share": 0.17, "exact_bits": 12}
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
