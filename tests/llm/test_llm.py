@@ -259,6 +259,12 @@ def test_one_of_each_near_copy(spark):
     assert sorted(r.doc_id for r in kept) == [5, *range(30, 60)]
 
 
+def test_forest_grows_over_tested_links():
+    fps, groups = np.zeros(5, np.uint64), np.array([0, 1, 2, 3, 3])
+    u, v = simhash._forest(fps, groups, 12, lambda a, b: {a, b} in ({1, 2}, {2, 4}))  # row 0 is near all and linked to none
+    assert component_model(range(5), [*zip(u.tolist(), v.tolist()), (3, 4)]) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def jaccard(a, b, width=5):
     one, two = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
     return len(one & two) / len(one | two)
