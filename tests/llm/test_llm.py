@@ -265,6 +265,15 @@ def test_forest_grows_over_tested_links():
     assert component_model(range(5), [*zip(u.tolist(), v.tolist()), (3, 4)]) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_bit_bound_lets_similar_sets_through():
+    rng, passed = np.random.default_rng(4), 0
+    for _ in range(300):
+        h = rng.integers(0, 2**64, 240, np.uint64)  # 192 of 240 are common: 0.8
+        a, b = (np.array(simhash.fingerprints_of(x, 8), np.uint64) for x in (h[:216], np.r_[h[:192], h[216:]]))
+        passed += int(np.bitwise_count(a ^ b).sum()) <= int(simhash.SIMILAR["share"] * 512)
+    assert passed >= 298
+
+
 def jaccard(a, b, width=5):
     one, two = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
     return len(one & two) / len(one | two)

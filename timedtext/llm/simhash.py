@@ -390,7 +390,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, c
 
 
 #: 0.8 of the word 5-shingles in common; found by as many fingerprints, the bits one of them may differ in and the part of all bits.
-SIMILAR = {"width": 5, "count": 8, "distance": 12, "similarity": 0.8, "share": 0.17, "exact_bits": 12}
+SIMILAR = {"width": 5, "count": 8, "distance": 12, "similarity": 0.8, "share": 0.22, "exact_bits": 12}
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
