@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and all runs on one machine (tests), a new local folder, which goes when Python ends.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -36,7 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
     existing = sc._jsc.sc().getCheckpointDir()
     if not existing.isEmpty():
         return existing.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="timedtext-checkpoint-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
@@ -48,13 +57,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new directory in the shared folder as a path that workers can map; needs a mounted file system."""
+    """A new directory in the shared folder as a path that workers can map; needs a mounted file system.
+
+    What is in it may be read as long as the driver runs, and goes with it."""
     folder = shared_folder(spark)
     local = folder.removeprefix("file://") if folder.startswith("file://") else folder.removeprefix("file:")
     if "://" in local:
         raise ValueError(f"memory-mapped arrays need spark.checkpoint.dir on a mounted file system, not {folder}")
     path = os.path.join(local, f"{name}-{uuid.uuid4().hex}")
     os.makedirs(path, exist_ok=True)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
@@ -63,14 +75,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, of which Python will get at most BATCH_ROWS rows at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df
+    """df, of which Python will get at most BATCH_ROWS rows at once, unless the session says how many itself.
 
-
-def wide(df: DataFrame) -> DataFrame:
-    """df, of which Python gets the default number of rows at once: for jobs over numbers alone."""
-    df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    Only the session can bound what the JVM hands over; a setting that is there is left as it is, and none is undone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "0") == "0":  # unset
+        conf.set(key, BATCH_ROWS)
     return df
 
 
@@ -180,7 +191,3 @@ def unpack(body: bytes) -> np.ndarray:
     gaps = np.zeros((raw.shape[1], 8), np.uint8)
     gaps[:, :used] = raw.T
     return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
-
-
-def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)

@@ -175,6 +175,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def _matches(wave, seeds, threshold):
     """For a text column: yields (row, item, share, first word, last word) of the contaminated pairs."""
+    seeds = Seeds(*seeds)
 
     def search(text: pa.Array):
         for a, words, rows, at, place in _hits(text, seeds.hashes):
@@ -201,7 +202,8 @@ def _matches(wave, seeds, threshold):
 def _searches(docs: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str):
     """For each wave of items: what finds their copies."""
     for wave in _items(items, item_id, item_text):
-        yield docs.sparkSession.sparkContext.broadcast((wave, _seeds(wave, threshold), threshold))
+        # As plain values: those are unpickled on a worker before this package is known there.
+        yield docs.sparkSession.sparkContext.broadcast((wave, tuple(_seeds(wave, threshold)), threshold))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

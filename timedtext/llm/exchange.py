@@ -1,17 +1,24 @@
 """Questions of text chunks to shards of a key space, in rounds.
 
-Documents are dealt to chunks of a bounded size, once.  In each round a chunk sends each shard one message about its keys,
-already made distinct within the chunk, so a text that stands in a third of all rows is one entry a chunk and no shard gets
-more than its part of the key space.  A shard answers each message; the chunk, which comes to the same keys again, reads the
-answer beside them.  Messages are sorted key differences, so most of a key's bits are never moved; answers are bits.
-
-The shuffle of the texts serves all rounds of one job.
+Documents are dealt to chunks of a bounded size, once.  In each round a chunk sends its distinct keys to the shards of the key
+space and gets bits back, so a text that stands in a third of all rows is one entry a chunk and no shard gets more than its
+part of the key space.  The chunk comes to the same keys again when it reads the answer.  Messages are sorted key differences,
+so most of a key's bits are never moved.
+
+A chunk sends at most FAN messages a round, each for a range of neighbouring shards.  With more than FAN shards, relays stand
+between: a relay takes the messages of FAN senders for one range, makes their keys distinct, and sends at most FAN messages on
+to narrower ranges, until a range is one shard; answers go back the same way.  So messages number FAN a chunk and level at
+most, with log(shards) / log(FAN) levels: they grow with the input and not with its square, and hold about as many keys
+however large it is.  A relay holds the messages of FAN senders, of which each is about one FANth of a chunk.
+
+The shuffle of the texts serves all rounds of one job.  What a lost executor held is made again from the input.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import only, pack, partitions, unpack
 
-Replies = dict[int, dict[int, bytes]]
-MESSAGE, REPLY = "shard int, chunk int, body binary", "chunk int, round int, shard int, body binary"
-_MESSAGE = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())])
-_REPLY = pa.schema([("chunk", pa.int32()), ("round", pa.int32()), ("shard", pa.int32()), ("body", pa.binary())])
+#: Messages that a chunk or a relay sends in a round, and senders that a relay takes messages from.
+FAN = 256
+MESSAGE, REPLY = "target long, sender long, body binary", "chunk long, round int, target long, body binary"
+_MESSAGE = pa.schema([("target", pa.int64()), ("sender", pa.int64()), ("body", pa.binary())])
+_REPLY = pa.schema([("chunk", pa.int64()), ("round", pa.int32()), ("target", pa.int64()), ("body", pa.binary())])
 
 
 def chunked(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str) -> tuple[DataFrame, int]:
@@ -31,7 +39,7 @@ def chunked(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str)
     rows = only(docs, id_column, text_column).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    return rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text"), total
+    return rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text"), total
 
 
 def put(*parts: bytes) -> bytes:
@@ -72,107 +80,231 @@ def unzipped(body: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
-def rounds(base: DataFrame, steps: list[tuple[Callable, Callable]], last: Callable, schema: str) -> DataFrame:
-    """steps: for each round ask(table, replies) -> [(shard, body)] and answer([(chunk, body)]) -> [body], in the same order.
+class Entries(NamedTuple):
+    """Distinct keys, sorted: a high part, a low part (or None), whether a key was there more than once, and a value (or None)."""
+
+    high: np.ndarray
+    low: np.ndarray | None
+    more: np.ndarray
+    value: np.ndarray | None = None
+
+    def part(self, a: int, b: int) -> Entries:
+        return Entries(*(x if x is None else x[a:b] for x in self))
 
-    last(table, replies) -> pa.Table of schema.  table: a chunk's rows; replies: by round, then shard.
-    """
-    n = partitions(base.sparkSession)
-    chunks, replies = base.groupBy("chunk"), None
 
-    def read(table: pa.Table) -> Replies:
-        out: Replies = defaultdict(dict)
-        for r, s, b in zip(*(table.column(c).to_pylist() for c in ("round", "shard", "body"))):
-            out[r][s] = b
+class Keys:
+    """The distinct keys among occurrences, sorted."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray | None = None):
+        self.order = np.argsort(high, kind="stable") if low is None else np.lexsort((low, high))  # occurrences stay in their order
+        h, l = high[self.order], None if low is None else low[self.order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        if l is not None:
+            new[1:] |= l[1:] != l[:-1]
+        self.first = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.count = np.diff(np.r_[self.first, len(h)])
+        self.entries = Entries(h[self.first], None if l is None else l[self.first], self.count > 1)
+
+    def spread(self, found: np.ndarray) -> np.ndarray:
+        """Rows for the keys to rows for the occurrences."""
+        out = np.empty((len(self.order), *found.shape[1:]), found.dtype)
+        out[self.order] = found[self.group]
         return out
 
-    def asker(ask):
-        def asking(table, found):
-            if not table.num_rows:
-                return pa.Table.from_batches([], _MESSAGE)
-            chunk, out = table.column("chunk")[0].as_py(), ask(table, found)
-            return pa.Table.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=_MESSAGE)
 
-        return asking
+class Merged:
+    """Entries of several senders as one list; the first of a key is that with the least value, then of the first sender."""
+
+    def __init__(self, parts: list[Entries]):
+        self.sizes = [len(p.high) for p in parts]
+        high = np.concatenate([p.high for p in parts])
+        low = None if parts[0].low is None else np.concatenate([p.low for p in parts])
+        value = None if parts[0].value is None else np.concatenate([p.value for p in parts])
+        more = np.concatenate([p.more for p in parts])
+        rank = value if value is None or value.dtype != object else np.unique(value, return_inverse=True)[1]
+        self.order = np.lexsort([x for x in (rank, low) if x is not None] + [high])
+        h, l = high[self.order], None if low is None else low[self.order]
+        self.new = np.ones(len(h), bool)
+        self.new[1:] = h[1:] != h[:-1]
+        if l is not None:
+            self.new[1:] |= l[1:] != l[:-1]
+        self.group = np.cumsum(self.new) - 1
+        first = np.flatnonzero(self.new)
+        self.count = np.bincount(self.group, 1 + more[self.order], len(first)).astype(np.int64)
+        self.entries = Entries(h[first], None if l is None else l[first], self.count > 1, None if value is None else value[self.order][first])
+
+    def back(self, kind: Kind, answers: np.ndarray) -> list[bytes]:
+        """The answers for the merged keys, as one message for each sender."""
+        bits = kind.spread(answers[self.group], self.new)
+        out = np.empty_like(bits)
+        out[self.order] = bits
+        return [put_bits(x.reshape(-1)) for x in np.split(out, np.cumsum(self.sizes)[:-1])]
+
+
+class Kind:
+    """A kind of question: is a key there more than once in all?  Keys are hashes; shards are ranges of them."""
+
+    bits = 1  # of an answer
+    low: type | None = np.uint32
+
+    def __init__(self, shards: int, unused: int = 0):
+        self.shards, self.unused = shards, unused  # low bits of the high part that are always 0
+
+    def shard_of(self, high: np.ndarray) -> np.ndarray:
+        return ((high >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+
+    def encode(self, e: Entries) -> bytes:
+        return put(pack(e.high >> np.uint64(self.unused)), zipped(e.low) if self.low else b"", put_bits(e.more))
+
+    def decode(self, body: bytes) -> Entries:
+        high, low, more = take(body)[:3]
+        high = unpack(high) << np.uint64(self.unused)
+        return Entries(high, unzipped(low, self.low) if self.low else None, take_bits(more, len(high)))
+
+    def decide(self, m: Merged) -> np.ndarray:
+        """A row of bits for each merged key."""
+        return m.count[:, None] > 1
+
+    def spread(self, answers: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What an entry is told of its key's answer; first: is it its key's first?"""
+        return answers
+
+    def answer(self, target: int, bodies: list[bytes]) -> list[bytes]:
+        m = Merged([self.decode(b) for b in bodies])
+        return m.back(self, self.decide(m))
+
+
+def widths(shards: int) -> list[int]:
+    """How many shards a message's range holds, level by level; the last is 1."""
+    out = [1]
+    while out[0] * FAN < shards:
+        out.insert(0, out[0] * FAN)
+    return out
 
-    def answerer(answer, number):
-        def answering(table):
-            names = table.column("chunk").to_pylist()
-            order = sorted(range(len(names)), key=names.__getitem__)
-            bodies = table.column("body").to_pylist()
-            out = answer([(names[i], bodies[i]) for i in order])
-            shard = table.column("shard")[0].as_py()
-            return pa.Table.from_arrays([pa.array([names[i] for i in order], pa.int32()), pa.array([number] * len(out), pa.int32()), pa.array([shard] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=_REPLY)
 
-        return answering
+def _parts(kind: Kind, entries: Entries, width: int):
+    """(range, first entry, last entry) of the ranges of so many shards that entries lie in."""
+    ranges = kind.shard_of(entries.high) // width
+    cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(ranges) else np.zeros(0, np.int64)
+    return zip(ranges[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(ranges)])
 
-    def alone(ask):
-        return lambda table: ask(table, {})
 
-    def answered(ask):
-        return lambda table, found: ask(table, read(found))
+def _messages(kind: Kind, entries: Entries, width: int, sender: int) -> pa.Table:
+    rows = [(r, kind.encode(entries.part(a, b))) for r, a, b in _parts(kind, entries, width)]
+    return pa.Table.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([sender] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], schema=_MESSAGE)
 
-    for number, (ask, answer) in enumerate(steps):
-        if replies is None:
-            messages = chunks.applyInArrow(alone(asker(ask)), MESSAGE)
-        else:
-            messages = chunks.cogroup(replies.groupBy("chunk")).applyInArrow(answered(asker(ask)), MESSAGE)
-        answers = messages.groupBy("shard").applyInArrow(answerer(answer, number), REPLY).repartition(n, "chunk")
-        replies = answers if replies is None else replies.unionByName(answers)
 
-    def finish(table, found):
-        return last(table, read(found))
+def _answers(kind: Kind, entries: Entries, width: int, found: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros((len(entries.high), kind.bits), bool)
+    for r, a, b in _parts(kind, entries, width):
+        out[a:b] = take_bits(found[r], (b - a) * kind.bits).reshape(-1, kind.bits)
+    return out
 
-    return chunks.cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
 
+class Replies:
+    """What a chunk has been told so far."""
 
-class Keys:
-    """A chunk's distinct keys, grouped by shard.  Rows of high (64 bits) and low (further bits) are the occurrences."""
+    def __init__(self, kinds: list[Kind], found: dict[int, dict[int, bytes]]):
+        self.kinds, self.found = kinds, found
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, shards: int, bits: type = np.uint32):
-        low = low.astype(bits)
-        self.order = np.lexsort((low, high))  # stable: occurrences of a key stay in their order
-        h, l = high[self.order], low[self.order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])] if len(h) else np.zeros(0, bool)
-        self.first = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
-        self.high, self.low = h[self.first], l[self.first]
-        self.count = np.diff(np.r_[self.first, len(h)])
-        # Shards are ranges of the sorted keys.
-        self.shard = (self.high >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-        self.cuts = np.searchsorted(self.shard, np.arange(shards + 1))
-        self.shards = [int(s) for s in np.unique(self.shard)]
-
-    def part(self, shard: int) -> slice:
-        return slice(int(self.cuts[shard]), int(self.cuts[shard + 1]))
-
-    def bits(self, replies: dict[int, bytes], a_key: int = 1) -> np.ndarray:
-        """The answers, for each occurrence; with more than one bit a key a row for each."""
-        found = np.zeros((len(self.high), a_key), bool)
-        for s in self.shards:
-            part = self.part(s)
-            found[part] = take_bits(replies[s], (part.stop - part.start) * a_key).reshape(-1, a_key)
-        out = np.zeros((len(self.order), a_key), bool)
-        out[self.order] = found[self.group]
-        return out[:, 0] if a_key == 1 else out.T
-
-
-def ask_repeated(keys: Keys, unused: int = 0) -> list[tuple[int, bytes]]:
-    """Messages for answer_repeated: distinct keys without their unused low bits, and which the chunk has more than once."""
-    return [(s, put(pack(keys.high[p] >> np.uint64(unused)), zipped(keys.low[p]), put_bits(keys.count[p] > 1))) for s in keys.shards for p in [keys.part(s)]]
-
-
-def answer_repeated(messages: list[tuple[int, bytes]]) -> list[bytes]:
-    """For each key of each message: does it occur more than once in all?"""
-    parts = [(unpack(a), unzipped(b, np.uint32), c) for a, b, c in (take(body) for _, body in messages)]
-    sizes = [len(h) for h, _, _ in parts]
-    high, low = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    more = np.concatenate([take_bits(c, len(h)) for h, _, c in parts])
-    order = np.lexsort((low, high))
-    h, l = high[order], low[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (l[1:] != l[:-1])]
-    group = np.cumsum(new) - 1
-    repeated = np.bincount(group, 1 + more[order]) > 1
-    out = np.empty(len(order), bool)
-    out[order] = repeated[group]
-    return [put_bits(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
+    def bits(self, number: int, keys: Keys) -> np.ndarray:
+        """The answers of a round for each occurrence: with one bit a key a row, else a row for each bit."""
+        kind = self.kinds[number]
+        out = keys.spread(_answers(kind, keys.entries, widths(kind.shards)[0], self.found.get(number, {})))
+        return out[:, 0] if kind.bits == 1 else out.T
+
+
+def _sorted(table: pa.Table) -> tuple[list[int], list[bytes]]:
+    senders, bodies = table.column("sender").to_pylist(), table.column("body").to_pylist()
+    order = sorted(range(len(senders)), key=senders.__getitem__)
+    return [senders[i] for i in order], [bodies[i] for i in order]
+
+
+def relayed(messages: DataFrame, kind: Kind) -> list[DataFrame]:
+    """The messages of each level: those of the chunks, then what the relays send on."""
+    fan = FAN
+
+    def relay(width):
+        def relaying(table):
+            senders, bodies = _sorted(table)
+            return _messages(kind, Merged([kind.decode(b) for b in bodies]).entries, width, senders[0] // fan)
+
+        return relaying
+
+    out = [messages]
+    for width in widths(kind.shards)[1:]:
+        out.append(_nodes(out[-1], fan).applyInArrow(relay(width), MESSAGE))
+    return out
+
+
+def _nodes(messages: DataFrame, fan: int):
+    return messages.withColumn("node", F.expr(f"sender div {fan}")).groupBy("target", "node")
+
+
+def _answered(levels: list[DataFrame], kind: Kind, number: int) -> DataFrame:
+    """chunk, round, target and body of the answers to the messages of all chunks."""
+    fan = FAN
+
+    def replies(table, bodies):
+        senders, _ = _sorted(table)
+        n = len(senders)
+        return pa.Table.from_arrays([pa.array(senders, pa.int64()), pa.array([number] * n, pa.int32()), pa.array([table.column("target")[0].as_py()] * n, pa.int64()), pa.array(bodies, pa.binary())], schema=_REPLY)
+
+    def answer(table):
+        return replies(table, kind.answer(table.column("target")[0].as_py(), _sorted(table)[1]))
+
+    def back(width):
+        def going_back(asked, told):
+            m = Merged([kind.decode(b) for b in _sorted(asked)[1]])
+            found = dict(zip(told.column("target").to_pylist(), told.column("body").to_pylist()))
+            return replies(asked, m.back(kind, _answers(kind, m.entries, width, found)))
+
+        return going_back
+
+    out = levels[-1].groupBy("target").applyInArrow(answer, REPLY)
+    for level, width in zip(levels[-2::-1], widths(kind.shards)[:0:-1]):
+        told = out.withColumns({"up": F.expr(f"target div {fan}"), "node": F.col("chunk")}).groupBy("up", "node")
+        out = _nodes(level, fan).cogroup(told).applyInArrow(back(width), REPLY)
+    return out
+
+
+def rounds(base: DataFrame, steps: list[tuple[Callable, Kind]], last: Callable, schema: str) -> DataFrame:
+    """steps: for each round ask(table, replies) -> Entries, and the kind of its question.
+
+    last(table, replies) -> pa.Table of schema.  table: a chunk's rows; replies: Replies of the rounds before.
+    """
+    n, kinds = partitions(base.sparkSession), [kind for _, kind in steps]
+    chunks, told = base.groupBy("chunk"), None
+
+    def read(table: pa.Table | None) -> Replies:
+        found: dict[int, dict[int, bytes]] = defaultdict(dict)
+        if table is not None:
+            for r, t, b in zip(*(table.column(c).to_pylist() for c in ("round", "target", "body"))):
+                found[r][t] = b
+        return Replies(kinds, found)
+
+    def asker(ask, kind):
+        width = widths(kind.shards)[0]
+
+        def asking(table, found):
+            if not table.num_rows:
+                return pa.Table.from_batches([], _MESSAGE)
+            return _messages(kind, ask(table, read(found)), width, table.column("chunk")[0].as_py())
+
+        def first(table):
+            return asking(table, None)
+
+        return first if told is None else asking
+
+    for number, (ask, kind) in enumerate(steps):
+        asking = asker(ask, kind)
+        messages = (chunks if told is None else chunks.cogroup(told.groupBy("chunk"))).applyInArrow(asking, MESSAGE)
+        answers = _answered(relayed(messages, kind), kind, number).repartition(n, "chunk")
+        told = answers if told is None else told.unionByName(answers)
+
+    def finish(table, found):
+        return last(table, read(found))
+
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)

@@ -10,8 +10,10 @@ it sends it on:
 3. Continuations: in how many contexts each word stands.
 
 Counts of a pair that don't fit a byte are in a second sorted array.  The arrays are files in the shared folder; a file gets
-its name when it is whole, so a task that is run again, or twice, does no harm.  Workers map the files; lookups go through
-binary search, with the words of a block made distinct first.  All arrays grow with the corpus and none is held in memory.
+its name when it is whole, so a task that is run again, or twice, does no harm.  Workers map the files of the shards that a
+block of text hits; lookups go through binary search, with the words of a block made distinct first.  All arrays grow with the
+corpus and none is held in memory; there is a shard for each SHARD_BYTES of text, which bounds what a task adds up.  A word's
+id takes 32 bits, so a corpus may have as many distinct words.
 
 log10 p(text) sums over its words and one end token, each after the word before it, the first after a start token, with
   p(w | b) = (c(b w) - D(c(b w))) / c(b) + g(b) p(w),   p(w) = (n(w) - D'(n(w))) / n + g' / (V + 1)
@@ -28,17 +30,24 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import BASES, checkpointed, mix, only, pack, partitions, prefix_hashes, range_hash, shared_path, text_blocks, unpack, word_spans
-from .exchange import put, take, unzipped, zipped
+from .common import BASES, checkpointed, mix, only, pack, prefix_hashes, range_hash, shared_path, text_blocks, unpack, word_spans
+from .exchange import FAN, put, take, unzipped, widths, zipped
 
 #: Distinct entries that a task gathers before it sends them on; bounds its memory.
 GATHER = 1 << 20
+#: Text bytes for each shard.
+SHARD_BYTES = 16 << 20
+#: Files of one kind that a task keeps mapped.
+MAPPED = 4096
 MESSAGE = "kind int, shard int, body binary"
 FALLBACK = (0.5, 1.0, 1.5)
 
@@ -87,6 +96,27 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+class _Maps:
+    """The files of one kind by shard, mapped when they are first asked for; a shard without a file has an empty array."""
+
+    def __init__(self, folder: str, name: str, dtype):
+        self.folder, self.name, self.dtype, self.open = folder, name, dtype, OrderedDict()
+
+    def __getitem__(self, shard: int) -> np.ndarray:
+        if shard not in self.open:
+            if len(self.open) >= MAPPED:
+                self.open.popitem(last=False)
+            there = os.path.exists(f"{self.folder}/{self.name}-{shard}")
+            self.open[shard] = _map(self.folder, f"{self.name}-{shard}", self.dtype) if there else np.zeros(0, self.dtype)
+        return self.open[shard]
+
+
+def _runs(shards: np.ndarray):
+    """(shard, first, last) of the runs of equal numbers in a sorted array."""
+    cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else np.zeros(0, np.int64)
+    return zip(shards[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(shards)])
+
+
 def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
@@ -110,10 +140,10 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 class _Gather:
-    """Counts of keys, sent to shards whenever GATHER distinct ones have come together."""
+    """Counts of keys, sent to ranges of shards whenever GATHER distinct ones have come together."""
 
-    def __init__(self, shard_of):
-        self.shard_of, self.keys, self.counts, self.size = shard_of, [], [], 0
+    def __init__(self, range_of):
+        self.range_of, self.keys, self.counts, self.size = range_of, [], [], 0
 
     def add(self, keys: np.ndarray):
         key, count = np.unique(keys, return_counts=True)
@@ -129,15 +159,13 @@ class _Gather:
     def send(self):
         if self.keys:
             key, count = _added(self.keys, self.counts)
-            shard = self.shard_of(key)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(key) else np.zeros(0, np.int64)
-            rows = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
-                part = order[a:b]
-                rows.append((int(shard[part[0]]), put(pack(key[part]), zipped(count[part]))))
             self.keys, self.counts, self.size = [], [], 0
-            yield _messages(0, rows)
+            yield _messages(0, _split(key, count, self.range_of(key)))
+
+
+def _split(key: np.ndarray, count: np.ndarray, ranges: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.argsort(ranges, kind="stable")
+    return [(r, put(pack(key[order[a:b]]), zipped(count[order[a:b]]))) for r, a, b in _runs(ranges[order])]
 
 
 def _messages(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -149,6 +177,26 @@ def _sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _added([unpack(a) for a, _ in parts], [unzipped(b, np.int64) for _, b in parts])
 
 
+def _dealt(messages: DataFrame, shards: int, total: int, shard_of: Callable[[], Callable]) -> DataFrame:
+    """Messages to ranges of shards as messages to shards.  With more than FAN shards relays add up what some FAN senders have
+    for a range and send it on to narrower ones, so that messages number FAN a sender and level at most.
+
+    shard_of() gives, on a worker, the function from keys to shards.
+    """
+    for level, width in enumerate(widths(shards)[1:], 1):
+        nodes = max(1, total // GATHER // FAN**level)
+        messages = messages.groupBy("kind", "shard", F.pmod(F.xxhash64("body"), F.lit(nodes)).alias("node")).applyInArrow(_relay(width, shard_of), MESSAGE)
+    return messages
+
+
+def _relay(width: int, shard_of: Callable[[], Callable]):
+    def relaying(table):
+        key, count = _sums(table)
+        return pa.Table.from_batches([_messages(table.column("kind")[0].as_py(), _split(key, count, shard_of()(key) // width))])
+
+    return relaying
+
+
 def _of_counts(n: list[int]) -> tuple[float, float, float]:
     """Discounts from n1..n4, the numbers of entries that occur so often."""
     if min(n) == 0:
@@ -164,17 +212,17 @@ class Lookup:
     def __init__(self, model: Model):
         self.m = m = model
         self.offsets = np.r_[0, np.cumsum(m.vocabulary)].astype(np.int64)
-        self.hashes = [_map(m.folder, f"word-{s}", np.uint64) if n else np.zeros(0, np.uint64) for s, n in enumerate(m.vocabulary)]
-        self.counts = [_map(m.folder, f"count-{s}", np.int64) if n else np.zeros(0, np.int64) for s, n in enumerate(m.vocabulary)]
+        self.starts = np.array([m.span(s)[0] for s in range(m.shards)], np.int64)
+        self.hot = np.array(sorted(m.hot), np.uint64)
+        self.hashes, self.counts = _Maps(m.folder, "word", np.uint64), _Maps(m.folder, "count", np.int64)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1: unknown) and count of each word hash."""
         names, at = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(names), -1), np.zeros(len(names), np.int64)
-        cuts = np.searchsorted(_range_shard(names, self.m.shards), np.arange(self.m.shards + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        for s, a, b in _runs(_range_shard(names, self.m.shards)):
             have = self.hashes[s]
-            if b > a and len(have):
+            if len(have):
                 place = np.minimum(np.searchsorted(have, names[a:b]), len(have) - 1)
                 hit = have[place] == names[a:b]
                 ids[a:b][hit] = self.offsets[s] + place[hit]
@@ -185,16 +233,15 @@ class Lookup:
         """Counts of known ids (not the end token's)."""
         out = np.zeros(len(ids), np.int64)
         shard = np.searchsorted(self.offsets, ids, "right") - 1
-        for s in np.unique(shard):
+        for s in np.unique(shard).tolist():
             own = shard == s
             out[own] = self.counts[s][ids[own] - self.offsets[s]]
         return out
 
     def pair_shard(self, keys: np.ndarray) -> np.ndarray:
         context = keys >> np.uint64(32)
-        starts = np.array([self.m.span(s)[0] for s in range(self.m.shards)], np.uint64)
-        shard = np.searchsorted(starts, context, "right") - 1
-        hot = np.isin(context, np.array(sorted(self.m.hot), np.uint64)) if self.m.hot else np.zeros(len(keys), bool)
+        shard = np.searchsorted(self.starts, context.astype(np.int64), "right") - 1
+        hot = np.isin(context, self.hot) if len(self.hot) else np.zeros(len(keys), bool)
         shard[hot] = _range_shard(mix(keys[hot]), self.m.shards)
         return shard
 
@@ -212,17 +259,24 @@ def _sequences(lookup: Lookup, data: np.ndarray, offsets: np.ndarray):
     return rows, ids, counts, before
 
 
+def _sent(spark, model: Model):
+    """The model for the workers, as plain values: those are unpickled before this package is known there."""
+    return spark.sparkContext.broadcast(dict(vars(model)))
+
+
 def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Counts a model over the rows for which usable (a condition on `id`) holds, all by default."""
     spark = docs.sparkSession
-    shards = partitions(spark)
     rows = only(docs, id_column, text_column).toDF("id", "text")
     rows = (rows if usable is None else rows.where(usable)).select("text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+    width = widths(shards)[0]
     folder = shared_path(spark, "ngram")
     model = Model(folder, shards, [0] * shards)
 
     def words(batches):
-        gather, texts = _Gather(lambda k: _range_shard(k, shards)), 0
+        gather, texts = _Gather(lambda k: _range_shard(k, shards) // width), 0
         for batch in batches:
             texts += len(batch)
             for _, _, data, offsets in text_blocks(batch.column(0)):
@@ -240,32 +294,45 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
         _write(folder, f"count-{shard}", count)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(key)]), "tokens": pa.array([int(count.sum())])})
 
-    for shard, n, tokens in rows.mapInArrow(words, MESSAGE).groupBy("kind", "shard").applyInArrow(keep_words, "shard int, n long, tokens long").collect():
+    counted_words = rows.mapInArrow(words, MESSAGE)
+    if width > 1:
+        counted_words = _dealt(counted_words.where("kind = 0"), shards, total, lambda: lambda k: _range_shard(k, shards)).union(counted_words.where("kind = 1"))
+    for shard, n, tokens in counted_words.groupBy("kind", "shard").applyInArrow(keep_words, "shard int, n long, tokens long").collect():
         if shard < 0:
             model.texts = n
         else:
             model.vocabulary[shard] = n
             model.tokens += tokens
     model.tokens += model.texts  # end tokens
+    if model.words >= 2**32:
+        raise ValueError("there are more distinct words than ids")
 
     # Frequent contexts, at most four a shard: their pairs are dealt to all shards.
     least = max(1, model.tokens // (4 * shards))
-    held = spark.sparkContext.broadcast(model)
+    held = _sent(spark, model)
 
     def frequent(batches):
-        lookup = Lookup(held.value)
+        lookup = Lookup(Model(**held.value))
         for batch in batches:
             for s in np.asarray(batch.column(0)).tolist():
                 at = np.flatnonzero(lookup.counts[s] >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(at + lookup.offsets[s])], ["id"])
 
-    found = [r[0] for r in spark.range(0, shards, 1, shards).mapInArrow(frequent, "id long").collect()]
+    found = [r[0] for r in spark.range(0, shards, 1, min(shards, 10_000)).mapInArrow(frequent, "id long").collect()]
     model.hot = {i: (0, 0, 0) for i in [*found, *([model.end] if model.texts >= least else [])]}
-    held = spark.sparkContext.broadcast(model)
+    held = _sent(spark, model)
+
+    def pair_shard():
+        return Lookup(Model(**held.value)).pair_shard
+
+    def own_shard():
+        """From ids to the shards that hold their spans."""
+        starts = Lookup(Model(**held.value)).starts
+        return lambda ids: np.searchsorted(starts, ids.astype(np.int64), "right") - 1
 
     def pairs(batches):
-        lookup = Lookup(held.value)
-        gather = _Gather(lookup.pair_shard)
+        lookup = Lookup(Model(**held.value))
+        gather = _Gather(lambda k: lookup.pair_shard(k) // width)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 _, ids, _, before = _sequences(lookup, data, offsets)
@@ -273,7 +340,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
         yield from gather.send()
 
     def keep_pairs(table):
-        m, shard = held.value, table.column("shard")[0].as_py()
+        m, shard = Model(**held.value), table.column("shard")[0].as_py()
         key, count = _sums(table)
         _write(folder, f"pair-{shard}", key)
         _write(folder, f"times-{shard}", np.minimum(count, 255).astype(np.uint8))
@@ -289,12 +356,10 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
         for c in np.unique(context[hot]).tolist():
             out.append((3, shard, np.array([c, *(int((of[context == c] == k).sum()) for k in range(3))], np.int64).tobytes()))
         names, n = np.unique(word, return_counts=True)
-        starts = [m.span(s)[0] for s in range(m.shards)]
-        cuts = [*np.searchsorted(names, starts).tolist(), len(names)]
-        out += [(0, s, put(pack(names[a:b].astype(np.uint64)), zipped(n[a:b].astype(np.int64)))) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        out += [(0, r, body) for r, body in _split(names.astype(np.uint64), n.astype(np.int64), own_shard()(names) // width)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["kind", "shard", "body"])
 
-    counted = checkpointed(rows.mapInArrow(pairs, MESSAGE).groupBy("shard").applyInArrow(keep_pairs, MESSAGE))
+    counted = checkpointed(_dealt(rows.mapInArrow(pairs, MESSAGE), shards, total, pair_shard).groupBy("shard").applyInArrow(keep_pairs, MESSAGE))
     times = np.zeros(5, np.int64)
     for kind, _, body in counted.where("kind >= 2").collect():
         row = np.frombuffer(body, np.int64)
@@ -306,7 +371,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
 
     def keep_continuations(table):
         shard = table.column("shard")[0].as_py()
-        lo, hi = held.value.span(shard)
+        lo, hi = Model(**held.value).span(shard)
         key, count = _sums(table)
         out = np.zeros(hi - lo, np.uint32)
         out[key.astype(np.int64) - lo] = count
@@ -314,7 +379,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
         return pa.table({f"n{k}": pa.array([int((count == k).sum())]) for k in (1, 2, 3, 4)} | {"more": pa.array([int((count >= 3).sum())])})
 
     ns = np.zeros(5, np.int64)
-    for r in counted.where("kind = 0").groupBy("shard").applyInArrow(keep_continuations, "n1 long, n2 long, n3 long, n4 long, more long").collect():
+    for r in _dealt(counted.where("kind = 0"), shards, total, own_shard).groupBy("shard").applyInArrow(keep_continuations, "n1 long, n2 long, n3 long, n4 long, more long").collect():
         ns += np.array(r)
     model.word_discounts = _of_counts(ns[:4].tolist())
     if model.pairs:
@@ -328,20 +393,16 @@ class Scorer(Lookup):
     def __init__(self, model: Model):
         super().__init__(model)
         m = model
-        there = lambda name, dtype: [_map(m.folder, f"{name}-{s}", dtype) if os.path.exists(f"{m.folder}/{name}-{s}") else np.zeros(0, dtype) for s in range(m.shards)]
-        self.pairs, self.times = there("pair", np.uint64), there("times", np.uint8)
-        self.large, self.large_times = there("large", np.uint64), there("large-times", np.int64)
-        self.after = [x.reshape(-1, 3) for x in there("after", np.uint32)]
-        self.contexts = there("contexts", np.uint32)
-        self.starts = np.array([m.span(s)[0] for s in range(m.shards)], np.int64)
+        self.pairs, self.times = _Maps(m.folder, "pair", np.uint64), _Maps(m.folder, "times", np.uint8)
+        self.large, self.large_times = _Maps(m.folder, "large", np.uint64), _Maps(m.folder, "large-times", np.int64)
+        self.after, self.contexts = _Maps(m.folder, "after", np.uint32), _Maps(m.folder, "contexts", np.uint32)
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out, shard = np.zeros(len(keys), np.int64), self.pair_shard(keys)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        for s, a, b in _runs(shard[order]):
             have, own = self.pairs[s], order[a:b]
-            if b > a and len(have):
+            if len(have):
                 place = np.minimum(np.searchsorted(have, keys[own]), len(have) - 1)
                 count = np.where(have[place] == keys[own], self.times[s][place], 0).astype(np.int64)
                 big = count == 255
@@ -349,13 +410,12 @@ class Scorer(Lookup):
                 out[own] = count
         return out
 
-    def _gather(self, parts: list[np.ndarray], ids: np.ndarray, width: int) -> np.ndarray:
+    def _gather(self, parts: _Maps, ids: np.ndarray, width: int) -> np.ndarray:
+        """Rows of so many numbers for sorted ids."""
         out = np.zeros((len(ids), width), np.int64)
-        shard = np.searchsorted(self.starts, ids, "right") - 1
-        cuts = np.searchsorted(shard, np.arange(self.m.shards + 1))  # ids are sorted
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a and len(parts[s]):
-                out[a:b] = parts[s][ids[a:b] - self.starts[s]].reshape(-1, width)
+        for s, a, b in _runs(np.searchsorted(self.starts, ids, "right") - 1):
+            if len(parts[s]):
+                out[a:b] = parts[s].reshape(-1, width)[ids[a:b] - self.starts[s]]
         return out
 
     def word_probability(self, ids: np.ndarray) -> np.ndarray:
@@ -391,11 +451,11 @@ class Scorer(Lookup):
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score (additive unigrams), score (log10 probability) and perplexity of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = _sent(docs.sparkSession, model)
     rows = only(docs, id_column, text_column).toDF("id", "text")
 
     def task(batches):
-        scorer = Scorer(held.value)
+        scorer = Scorer(Model(**held.value))
         for batch in batches:
             parts = [scorer.block(data, offsets) for _, _, data, offsets in text_blocks(batch.column(1))]
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2

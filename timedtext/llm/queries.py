@@ -35,13 +35,13 @@ QUALIFY row_number() OVER w <= 5
 
 #: (action, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: The listed urls are those of the table on hosts with one of these labels, a stand-in for a list from outside.
-LISTED_LABELS = ("spam-farm", "casino-win", "adult-x", "free-bets")
+#: The listed urls, a stand-in for a list from outside: the canonical urls of the table whose SHA-256 begins with one of these.
+LISTED_DIGITS = ("0", "1")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    host = F.split(urlfilter.host_of(F.col("url")), r"\.")
-    return pages.select("url").where(F.arrays_overlap(host, F.array(*[F.lit(x) for x in LISTED_LABELS])))
+    key = F.sha2(urlfilter.canonical(F.col("url")).cast("binary"), 256)
+    return pages.select("url").where(F.col("url").contains("://") & F.left(key, F.lit(1)).isin(*LISTED_DIGITS))
 
 
 @query
@@ -60,14 +60,14 @@ WITH parts AS (
 ), canon AS (
   SELECT *, host || regexp_replace(path, '/$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical FROM parts
 ), listed AS (
-  SELECT DISTINCT canonical FROM canon WHERE list_has_any(string_split(host, '.'), {list(LISTED_LABELS)!r})
+  SELECT DISTINCT canonical FROM canon WHERE contains(url, '://') AND sha256(canonical)[1] IN {LISTED_DIGITS!r}
 ), rules(action, rhost, rpath) AS (VALUES {", ".join(map(repr, URL_RULES))}
 ), fits AS (
   SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
   FROM canon JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) GROUP BY page_id
 )
 SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.action, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM canon c LEFT JOIN fits f ON c.page_id = f.page_id LEFT JOIN listed l ON c.canonical = l.canonical
+FROM canon c LEFT JOIN fits f ON c.page_id = f.page_id LEFT JOIN listed l ON c.canonical = l.canonical AND contains(c.url, '://')
 """
 
 #: Production weights of the mixture: a domain is the source's number mod 4; the budget is three fifths of all tokens.
@@ -125,7 +125,12 @@ SQL["op8_source_mixture"] = _mix_sql()
 
 @query
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.SecretLedger(spark).scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), secrets.SecretLedger(spark)
+    # The versions come in two loads; of the second only what the ledger has not seen is scanned.
+    first = F.col("lang").eqNullSafe("en")
+    ledger.update(docs.where(first))
+    ledger.update(docs.where(~first))
+    found = ledger.findings(docs)
     n = lambda kind: F.size(F.filter("findings", lambda f: f.kind == kind)).cast("long").alias(f"n_{kind}")
     base = tuple(r.kind for r in secrets.BASE)
     return found.select(
@@ -168,7 +173,7 @@ def op7_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
 
 
 @query

@@ -15,13 +15,14 @@ table gives no rows; texts are scanned whole, whatever their length; other colum
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only
+from .common import only, shared_folder
 
 LEDGER = "blob string, scanned array<string>, findings array<struct<kind:string, rule:string, start:int, end:int>>"
 
@@ -91,14 +92,18 @@ def new_entries(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RU
     by_name = {r.name: r for r in rules}
 
     def scan(batches):
+        last = None
         for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            fresh = [a != b for a, b in zip(blobs, [last, *blobs])]  # rows alike in path and text lie side by side after the join
+            batch, last = batch.filter(pa.array(fresh, pa.bool_())), blobs[-1] if blobs else last
             out = []
             for text, names in zip(batch.column(1), batch.column(2).to_pylist()):
                 out.append([dict(zip(("kind", "rule", "start", "end"), f)) for f in scan_text(text.as_py(), tuple(by_name[n] for n in names))])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, kind)], ["blob", "scanned", "findings"])
 
-    # A row that stands twice in the table is scanned with its copy; one entry stays.
+    # Where rows alike in path and text did not meet, one entry stays.
     return texts.mapInArrow(scan, LEDGER).dropDuplicates(["blob"])
 
 
@@ -118,34 +123,35 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
 
 
 class SecretLedger:
-    """A ledger kept as Parquet under path; without a path it lives for one run."""
+    """A ledger kept as Parquet under path, or in the shared folder for as long as the run where no path is given."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
 
     def read(self) -> DataFrame:
         from pyspark.errors import AnalysisException
 
-        if self.path:
-            try:
-                return self.spark.read.schema(LEDGER).parquet(self.path)
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         return empty_ledger(self.spark)
 
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> None:
+        """Scans what the ledger has not seen of docs."""
+        new_entries(docs, self.read(), rules, id_column, text_column).write.mode("append").parquet(self.path)
+
+    def findings(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        """The findings by path; of docs that the ledger has seen."""
+        # Entries of one blob from several runs are told apart by their rules.
+        entries = self.read().groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("scanned"), F.flatten(F.collect_list("findings")).alias("findings"))
+        return findings_by_path(docs, entries, rules, id_column, text_column)
+
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """Brings the ledger up to date with docs and returns their findings by path."""
-        before = self.read()
-        fresh = new_entries(docs, before, rules, id_column, text_column)
-        if self.path:
-            fresh.write.mode("append").parquet(self.path)
-            entries = self.read()
-            # Entries of one blob from several runs are told apart by their rules.
-            entries = entries.groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("scanned"), F.flatten(F.collect_list("findings")).alias("findings"))
-        else:
-            entries = checkpointed(fresh)
-        return findings_by_path(docs, entries, rules, id_column, text_column)
+        self.update(docs, rules, id_column, text_column)
+        return self.findings(docs, rules, id_column, text_column)
 
 
 def joined(findings: Column, kinds: tuple[str, ...] | None = None) -> Column:

@@ -33,10 +33,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, checkpointed, mix, only, partitions, shared_path, wide
+from .common import BASES, checkpointed, mix, only, partitions, shared_path
 from .components import components
 
 DISTANCE = 3
@@ -139,12 +139,22 @@ class Shelf:
         return common >= self.similarity * (len(both) - common) - 1e-9
 
 
+def row_of(id_column: str, text_column: str) -> Column:
+    """A hash of id and text: the same for rows alike in both, of which null texts are empty."""
+    return F.xxhash64(F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    rows = only(docs, id_column, text_column).toDF("id", "text")
+    return rows.select("id", row_of("id", "text").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
 def shelved(docs: DataFrame, shelf: Shelf, width: int, id_column: str, text_column: str) -> DataFrame:
-    """id, fps, content (a hash of the set of shingles) and node of every row; its record lies in a file of its task's own.
+    """id, row, fps, content (a hash of the set of shingles) and node of every row; its record lies in a file of its task's own.
 
     A shingle counts once in these fingerprints.
     """
-    rows = only(docs, id_column, text_column).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = _rows(docs, id_column, text_column)
     folder, count = shelf.folder, shelf.count
 
     def task(batches):
@@ -157,7 +167,7 @@ def shelved(docs: DataFrame, shelf: Shelf, width: int, id_column: str, text_colu
         with file:
             for batch in batches:
                 fps, content, nodes = [], [], []
-                for t in batch.column(1):
+                for t in batch.column(2):
                     distinct = np.unique(shingle_hashes(t.as_py(), width))
                     fps.append(fingerprints_of(distinct, count))
                     content.append(xxhash.xxh64_intdigest(distinct.tobytes()))
@@ -166,22 +176,22 @@ def shelved(docs: DataFrame, shelf: Shelf, width: int, id_column: str, text_colu
                 file.flush()
                 flat = np.array(fps, np.uint64).reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * count), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], ["id", "fps", "content", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], ["id", "row", "fps", "content", "node"])
 
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, fps array<long>, content long, node long")
+    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, row long, fps array<long>, content long, node long")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, count: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and fps (the fingerprints as signed longs) of every row."""
-    rows = only(docs, id_column, text_column).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    """id, row and fps (the fingerprints as signed longs) of every row."""
+    rows = _rows(docs, id_column, text_column)
 
     def task(batches):
         for batch in batches:
-            fps = np.array([fingerprint_text(t.as_py(), width, count) for t in batch.column(1)], np.uint64).reshape(-1, count).view(np.int64)
+            fps = np.array([fingerprint_text(t.as_py(), width, count) for t in batch.column(2)], np.uint64).reshape(-1, count).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * count), pa.array(fps.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "row", "fps"])
 
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, fps array<long>")
+    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, row long, fps array<long>")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -327,7 +337,6 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, ex
     key a spanning forest of those at most distance bits apart in one of their fingerprints: u, v.  Up to DISTANCE bits none is missed; beyond that, those that share no key are.
     With a shelf, links are those that are similar besides."""
     n = partitions(classes.sparkSession)
-    wide(classes)
 
     def keys(batches):
         ball = ball_table()[0]
@@ -360,7 +369,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, ex
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, count: int = 1, similarity: float | None = None, share: float = 1.0, bucket: int = BUCKET, exact_bits: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, fps and component_id (the least id that links reach) of every row.
+    """id, row (see row_of), fps and component_id (the least id that links reach) of every row.
 
     count: fingerprints of each text, one link in any of which suffices.  similarity: if given, the part of the union of their
     shingles that linked texts must have in common; share: the part of all bits in which they may differ to be tested for it.
@@ -384,9 +393,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, c
     if shelf:
         shutil.rmtree(shelf.folder)
     rooted = classes.join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_content = rooted.join(named, "root").select("content", "component_id")
-    return marked.join(by_content, "content").select("id", "fps", "component_id")
+    # As a column made anew the root is dealt out for the join on both sides, so that a large group can be split.
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").bitwiseXOR(F.lit(0)).alias("of"), "component_id")
+    by_content = rooted.join(named, F.col("root") == F.col("of")).select("content", "component_id")
+    return marked.join(by_content, "content").select("id", "row", "fps", "component_id")
 
 
 #: 0.8 of the word 5-shingles in common; found by as many fingerprints, the bits one of them may differ in and the part of all bits.
@@ -399,7 +409,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Rows alike in id and text are one document.  Of a group without ids all different texts stay.
     """
     groups = near_duplicates(docs, id_column=id_column, text_column=text_column, **(how or SIMILAR))
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    own = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_column}`")))
-    out = own.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates([id_column, "__text"]).drop("__text")
+    # Decided on hashes alone; the texts are shuffled once, and rows alike meet where the join has dealt them.
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row")).distinct()
+    own = docs.withColumn("__row", row_of(id_column, text_column))
+    return own.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

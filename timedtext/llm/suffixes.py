@@ -2,21 +2,27 @@
 
 A byte goes if a string of `length` bytes that covers it also starts somewhere else, in the same document or in another.  Only
 suffixes' first `length` bytes matter, and only whether two are equal; so suffixes are ordered by a 96-bit hash of these
-instead of by their letters, which sorts equal ones together as well and deals them evenly.
+instead of by their letters, which sorts equal ones together as well and deals them evenly.  An order by letters would have
+to move the sampled strings themselves: 8 positions of 57, each with its 344 bytes, are 48 times the input.
 
 The difference cover D modulo v holds, for any two positions i and j, a shift d < v with i + d and j + d both in the sample
-(positions that are in D modulo v).  So of two equal strings of length bytes, the same part of length - v + 1 bytes, the core,
-starts at sample positions in both, and both lie in the spans of length + v - 1 bytes around these cores.  Rounds over chunks
-of texts:
-
-1. Sampled suffixes are sorted by a hash of their cores, cut to 10 bits more than their number needs.  A position without a
-   repeated core within v holds no repeat and takes part no further; false hits are one in a thousand and fall out below.
-2. Cover-sample ranks: the cores that passed are ranked by core and span.  Where two spans agree, all the strings in them are
-   repeated and their suffixes need not be sorted: this resolves long ties, the inside of every copy.  Of a core with any
-   span that is alone, one sample for each of its spans goes on, so that what is alone meets each text it could equal.
+(positions that are in D modulo v, counted from the start of the document).  A core is the string of `shared` - v + 1 bytes at
+a sampled position.  So of two equal strings of `shared` bytes or more, a core starts at sample positions in both.  Rounds
+over chunks of texts:
+
+1. Sampled suffixes are sorted by a hash of their cores, cut to 10 bits more than their number needs; false hits are one in a
+   thousand and fall out below.  Where a string of `length` bytes is repeated, any v positions in a row hold the start of a
+   repeated core, as far as cores fit in; a start for which they don't takes part no further.
+2. Cover-sample ranks: the cores that passed are ranked by core and span, the span being the length + v - 1 bytes in which all
+   strings lie that start less than v before the sample.  Where two spans agree, all the strings in them are repeated and
+   their suffixes need not be sorted: this resolves long ties, the inside of every copy.  Of a core with any span that is
+   alone, one sample for each of its spans goes on, so that what is alone meets each text it could equal.
 3. Suffix buckets: the suffixes around the samples that go on are dealt to buckets by hash, and one bucket at a time is
    sorted in a task.
 
+Round 2 also tells which cores are shared: their bytes are counted as n_shared.  It is 0 in a document of which no string of
+`shared` - v + 1 bytes stands elsewhere, and `shared` - v + 1 at least where one of `shared` bytes does.
+
 Buckets and chunks have bounded sizes; a chunk makes its keys distinct before it sends them, so that no text, however
 frequent, is more than one entry a chunk.
 
@@ -27,16 +33,14 @@ ignored; texts are taken whole, whatever their length.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASES, pack, partitions, prefix_hashes, range_hash, text_blocks, unpack
-from .exchange import Keys, Replies, answer_repeated, ask_repeated, chunked, put, put_bits, rounds, take, take_bits, unzipped, zipped
+from .common import BASES, partitions, prefix_hashes, range_hash, text_blocks
+from .exchange import Entries, Keys, Kind, Merged, Replies, chunked, rounds
 
-LENGTH, MODULUS = 400, 57
+LENGTH, SHARED, MODULUS = 400, 256, 57
 CHUNK_BYTES = 2 << 20
 #: False hits of the first round: one in 2 ** SPARE_BITS.
 SPARE_BITS = 10
@@ -44,7 +48,6 @@ SPARE_BITS = 10
 SHARD_BYTES = 32 << 20
 
 
-@lru_cache
 def difference_cover(v: int) -> tuple[int, ...]:
     """A least set of residues, 0 among them, whose differences give every residue modulo v."""
     size = 1
@@ -71,94 +74,121 @@ def _extend(chosen: tuple[int, ...], v: int, size: int, perfect: bool):
 
 
 class Suffixes:
-    """A chunk's bytes, the bytes left in the document from each on, and the sampled positions."""
+    """A chunk's bytes, the bytes left in the document from each on, and the sampled positions that have a whole core."""
 
-    def __init__(self, text: pa.ChunkedArray, length: int, v: int):
+    def __init__(self, text: pa.ChunkedArray, core: int, cover: np.ndarray):
         blocks = list(text_blocks(text, 1 << 62))
         self.data, self.offsets = (blocks[0][2], blocks[0][3]) if blocks else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        n = len(self.data)
         sizes = np.diff(self.offsets)
-        at = np.arange(n)
+        at = np.arange(len(self.data))
         self.left = np.repeat(self.offsets[1:], sizes) - at
         self.start = np.repeat(self.offsets[:-1], sizes)
-        cover = np.zeros(v, bool)
-        cover[list(difference_cover(v))] = True
-        self.sample = np.flatnonzero(cover[(at - self.start) % v] & (self.left >= length - v + 1))
+        self.sample = np.flatnonzero(cover[(at - self.start) % len(cover)] & (self.left >= core))
         self.prefixes = [prefix_hashes(self.data, base) for base in BASES]
 
     def hashes(self, at: np.ndarray, length: int) -> list[np.ndarray]:
         return [range_hash(p, at, at + length, base) for p, base in zip(self.prefixes, BASES)]
 
+    def covered(self, *runs: tuple[np.ndarray, int]) -> np.ndarray:
+        """Whether each byte lies in one of the runs, given as starts and a length."""
+        edges = np.zeros(len(self.data) + 1, np.int32)
+        for at, size in runs:
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + size, -1)
+        return np.cumsum(edges[:-1]) > 0
+
+    def by_row(self, marked: np.ndarray) -> np.ndarray:
+        """How many bytes of each document are marked."""
+        counts = np.r_[0, np.cumsum(marked)]
+        return counts[self.offsets[1:]] - counts[self.offsets[:-1]]
+
+
+#: In place of a span's hash: the document cuts it off; no string that starts in it can be repeated.
+CUT_OFF, NOTHING = 0, 1
+
+
+class Cores(Kind):
+    """Of a core and its span: is the span repeated, does its sample go on, and does the core stand elsewhere?"""
 
-def _rank_cores(messages: list[tuple[int, bytes]]) -> list[bytes]:
-    """Two bits for each (core, span) of each message: is the span repeated, and does its sample go on?"""
-    parts = [(unpack(a), unzipped(b, np.uint64), c) for a, b, c in (take(body) for _, body in messages)]
-    core, span = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    count = np.concatenate([1 + take_bits(c, len(h)) for h, _, c in parts])
-    order = np.lexsort((span, core))  # stable: the first chunk stands for a span
-    h, l, n = core[order], span[order], count[order]
-    new_core = np.r_[True, h[1:] != h[:-1]]
-    new_span = new_core | np.r_[True, l[1:] != l[:-1]]
-    by_core, by_span = np.cumsum(new_core) - 1, np.cumsum(new_span) - 1
-    repeated = (np.bincount(by_span, n)[by_span] > 1) & (l != 0)
-    alone = np.bincount(by_core, ~repeated)[by_core] > 0
-    shared = np.bincount(by_core, n)[by_core] > 1
-    bits = np.empty((len(order), 2), bool)
-    bits[order] = np.stack([repeated, alone & shared & (new_span | ~repeated)], axis=1)
-    return [put_bits(x.reshape(-1)) for x in np.split(bits, np.cumsum([len(p[0]) for p in parts])[:-1])]
-
-
-def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """id, n_bytes, n_removed, spans (the maximal removed runs, end exclusive) and kept (bytes) of every row."""
-    if length < modulus:
-        raise ValueError("the strings must not be shorter than the cover's modulus")
+    bits, low = 3, np.uint64
+
+    def decide(self, m: Merged) -> np.ndarray:
+        core, span = m.entries.high, m.entries.low
+        by_core = np.cumsum(np.r_[True, core[1:] != core[:-1]]) - 1
+        open_ = span != NOTHING
+        repeated = (m.count > 1) & (span > NOTHING)
+        alone = np.bincount(by_core, open_ & ~repeated)[by_core] > 0
+        met = np.bincount(by_core, m.count * open_)[by_core] > 1
+        return np.stack([repeated, open_ & alone & met, np.bincount(by_core, m.count)[by_core] > 1], axis=1)
+
+    def spread(self, answers: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = answers.copy()
+        out[:, 1] &= first | ~answers[:, 0]  # one sample stands for a repeated span
+        return out
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, shared: int | None = None, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """id, n_bytes, n_removed, n_shared, spans (the maximal removed runs, end exclusive) and kept (bytes) of every row.
+
+    shared: SHARED by default, or less where length demands it.
+    """
+    shared = min(SHARED, length - modulus) if shared is None else shared
+    if not modulus <= shared <= length - modulus:
+        raise ValueError("shared must not be shorter than the cover's modulus, and shorter than length by the modulus at least")
     base, total = chunked(docs, chunk_bytes, id_column, text_column)
     shards = max(-(-total // SHARD_BYTES), min(partitions(docs.sparkSession), -(-total // chunk_bytes)), 1)
     bits = min(64, max(16, int(np.ceil(np.log2(max(2, total)))) + SPARE_BITS - 2))  # a sample is a seventh of the bytes
-    v, short, long = modulus, length - modulus + 1, length + modulus - 1
+    v, short, long = modulus, shared - modulus + 1, length + modulus - 1
+    cover = np.zeros(v, bool)
+    cover[list(difference_cover(v))] = True
+
+    def suffixes(table) -> Suffixes:
+        return Suffixes(table.column("text"), short, cover)
 
     def sample_keys(s: Suffixes) -> Keys:
-        return Keys(s.hashes(s.sample, short)[0] >> np.uint64(64 - bits) << np.uint64(64 - bits), np.zeros(len(s.sample), np.uint32), shards)
-
-    def core_keys(s: Suffixes, replies: Replies) -> tuple[np.ndarray, Keys]:
-        """Samples that the first round let pass, and their cores and spans; 0: a span that the document cuts off."""
-        passed = s.sample[sample_keys(s).bits(replies.get(0, {}))]
-        whole = (passed - v + 1 >= s.start[passed]) & (s.left[passed] >= length)
-        spans = np.zeros(len(passed), np.uint64)
-        spans[whole] = np.maximum(s.hashes(passed[whole] - v + 1, long)[1], 1)
-        return passed, Keys(s.hashes(passed, short)[0], spans, shards, np.uint64)
-
-    def bucket_keys(s: Suffixes, replies: Replies) -> tuple[np.ndarray, np.ndarray, Keys]:
-        """The first suffixes of the resolved spans, the suffixes to be sorted, and their keys."""
-        passed, keys = core_keys(s, replies)
-        resolved, go_on = keys.bits(replies.get(1, {}), 2)
+        return Keys(s.hashes(s.sample, short)[0] >> np.uint64(64 - bits) << np.uint64(64 - bits))
+
+    def core_keys(s: Suffixes, replies: Replies) -> tuple[np.ndarray, np.ndarray, Keys]:
+        """Samples that the first round let pass, the starts that can be repeated, and the samples' cores and spans."""
+        passed, n = s.sample[replies.bits(0, sample_keys(s))], len(s.data)
+        before = np.zeros(n + v + 1, np.int32)
+        before[passed + 1] = 1
+        before = np.cumsum(before)
+        lacking = np.r_[0, np.cumsum(before[v : n + v] == before[:n])]  # positions after which v hold no repeated core
+        ends = np.minimum(np.arange(n) + length - short - v + 2, n)
+        can = (s.left >= length) & (lacking[ends] == lacking[:n])
+        starts = np.r_[0, np.cumsum(can)]
+        useful = starts[passed + 1] > starts[np.maximum(passed - v + 1, s.start[passed])]
+        whole = useful & (passed - v + 1 >= s.start[passed]) & (s.left[passed] >= length)
+        spans = np.where(useful, np.uint64(CUT_OFF), np.uint64(NOTHING))
+        spans[whole] = np.maximum(s.hashes(passed[whole] - v + 1, long)[1], np.uint64(NOTHING + 1))
+        return passed, can, Keys(s.hashes(passed, short)[0], spans)
+
+    def bucket_keys(s: Suffixes, replies: Replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, Keys]:
+        """Shared cores, the first suffixes of the resolved spans, the suffixes to be sorted, and their keys."""
+        passed, can, keys = core_keys(s, replies)
+        resolved, go_on, shared_ = replies.bits(1, keys)
         n, at = len(s.data), passed[go_on]
         near = np.zeros(n + 1, np.int32)
         np.add.at(near, np.maximum(at - v + 1, s.start[at]), 1)
         np.add.at(near, at + 1, -1)
-        some = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (s.left >= length))
-        return passed[resolved] - v + 1, some, Keys(*s.hashes(some, length), shards)
+        some = np.flatnonzero((np.cumsum(near[:-1]) > 0) & can)
+        high, low = s.hashes(some, length)
+        return passed[shared_], passed[resolved] - v + 1, some, Keys(high, low.astype(np.uint32))
 
-    def ask_samples(table, _):
-        return ask_repeated(sample_keys(Suffixes(table.column("text"), length, v)), 64 - bits)
+    def ask_samples(table, _) -> Entries:
+        return sample_keys(suffixes(table)).entries
 
-    def ask_cores(table, replies):
-        keys = core_keys(Suffixes(table.column("text"), length, v), replies)[1]
-        return [(x, put(pack(keys.high[p]), zipped(keys.low[p]), put_bits(keys.count[p] > 1))) for x in keys.shards for p in [keys.part(x)]]
+    def ask_cores(table, replies) -> Entries:
+        return core_keys(suffixes(table), replies)[2].entries
 
-    def ask_buckets(table, replies):
-        return ask_repeated(bucket_keys(Suffixes(table.column("text"), length, v), replies)[2])
+    def ask_buckets(table, replies) -> Entries:
+        return bucket_keys(suffixes(table), replies)[3].entries
 
     def finish(table, replies):
-        s = Suffixes(table.column("text"), length, v)
-        resolved, some, keys = bucket_keys(s, replies)
-        sorted_ = some[keys.bits(replies.get(2, {}))]
-        n = len(s.data)
-        cover = np.zeros(n + 1, np.int32)
-        for at, size in ((resolved, long), (sorted_, length)):
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + size, -1)
-        gone = np.cumsum(cover[:n]) > 0
+        s = suffixes(table)
+        common, resolved, some, keys = bucket_keys(s, replies)
+        gone = s.covered((resolved, long), (some[replies.bits(2, keys)], length))
         first, last = gone.copy(), gone.copy()
         first[1:] &= ~gone[:-1]
         last[:-1] &= ~gone[1:]
@@ -168,12 +198,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS,
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         cuts = np.searchsorted(starts, s.offsets).astype(np.int32)
         spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(starts - s.start[starts]), pa.array(ends - s.start[starts])], ["start", "end"]))
-        kept = s.data[~gone]
-        counts = np.r_[0, np.cumsum(gone)]
-        removed = counts[s.offsets[1:]] - counts[s.offsets[:-1]]
+        kept, removed = s.data[~gone], s.by_row(gone)
         kept_offsets = np.r_[0, np.cumsum(np.diff(s.offsets) - removed)]
         kept = pa.Array.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(kept_offsets.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
-        return pa.table({"id": table.column("id"), "n_bytes": pa.array(np.diff(s.offsets)), "n_removed": pa.array(removed, pa.int64()), "spans": spans, "kept": kept})
+        n_shared = s.by_row(s.covered((common, short)))
+        return pa.table({"id": table.column("id"), "n_bytes": pa.array(np.diff(s.offsets)), "n_removed": pa.array(removed, pa.int64()), "n_shared": pa.array(n_shared, pa.int64()), "spans": spans, "kept": kept})
 
-    schema = f"id {base.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return rounds(base, [(ask_samples, answer_repeated), (ask_cores, _rank_cores), (ask_buckets, answer_repeated)], finish, schema)
+    schema = f"id {base.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_shared long, spans array<struct<start:long,end:long>>, kept binary"
+    samples = Kind(shards, 64 - bits)
+    samples.low = None
+    return rounds(base, [(ask_samples, samples), (ask_cores, Cores(shards)), (ask_buckets, Kind(shards))], finish, schema)

@@ -1,15 +1,22 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 Each vector is cut into `segments` runs of dimensions; a segment of a block of rows holds one local score list for each
-query.  Phase 1 gathers the k best of every local list, totals them, and takes the k-th best total as a cutoff t that the
-true k-th best cannot fall under.  Phase 2 sends t / segments to all blocks: a row whose total is t or more must reach it in
-one segment at least, so the entries that reach it suffice.  Phase 3 resolves their totals exactly and keeps the best k,
-first in each task, then over all.  A task sends k rows a query at most, so ties and copies cannot flood a reducer.
-
-Queries go out in waves of at most `wave`, which bounds what is broadcast; a wave meets all rows, block by block.
-
-Edge cases: null ids and vectors that are null, or hold a null or non-finite component, take no part.  Missing trailing
-components count as zero; an empty vector scores 0.  Rows that share the query's id count as the query's own.  Equal scores
+query.
+
+1. Each task gathers the k best of every local list of its first block of rows, and their totals.  The k-th best total over
+   all tasks is a cutoff t that the true k-th best cannot fall under, as it is reached by rows of the table.
+2. t / segments is broadcast: a row whose total is t or more must reach it in one segment at least, so the entries that reach
+   it suffice.  All rows are scanned for them, once.
+3. Totals of these entries, and of no others, are added up exactly; those under t go, and the best k of a task are sent on.
+   So beside the k that are wanted a query gets few rows from all tasks together, and copies cannot flood a reducer.
+
+Queries go out in waves of at most WAVE_BYTES, which bounds what is broadcast; a wave meets all rows, block by block.  A wave
+of the default size does some 16 million multiplications for each row that it reads, so that reading the rows again in the
+next wave weighs next to nothing.
+
+Edge cases: null ids and vectors that are null, or hold a null or non-finite component, take no part.  Ids must be whole
+numbers; others raise.  Missing trailing components count as zero; an empty vector scores 0.  Rows that share the query's id
+count as the query's own; of rows that share an id divisible by the modulus, the one with the least vector asks.  Equal scores
 go to the smaller id; a row that is repeated fills as many ranks as it has copies.  An empty table gives no rows.  Other
 columns are ignored.  Scores outside 64 bits are ranked exactly and returned as the nearest long.
 """
@@ -26,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-#: Entries of one score block; with the wave it bounds a task's memory.
+#: Entries of one score block, and bytes of a wave of queries (2 for each component, as they are whole and mostly small): these
+#: bound a task's memory.
 BLOCK_ENTRIES = 1 << 20
+WAVE_BYTES = 32 << 20
 #: Beyond the exact scores of any two float vectors: with it added, they are numbers of one length, which sort as strings.
 SHIFT = 10**95
 RESULT = "query_id long, rank int, vec_id long, score long"
@@ -65,6 +74,10 @@ def _partial(queries: np.ndarray, rows: np.ndarray, segments: int) -> list[np.nd
     if bound >= 2**53:  # floats would round: Python integers
         whole = lambda x: np.array([[int(c) for c in r] for r in x], object).reshape(x.shape)
         queries, rows = whole(queries), whole(rows)
+    elif bound < 2**24:
+        queries, rows = queries.astype(np.float32), rows.astype(np.float32)
+    else:
+        queries = queries.astype(np.float64)
     cuts = np.linspace(0, width, segments + 1).astype(int)
     return [queries[:, a:b] @ rows[:, a:b].T if b > a else np.zeros((len(queries), len(rows)), queries.dtype) for a, b in zip(cuts, cuts[1:])]
 
@@ -84,14 +97,23 @@ def _long(score: np.ndarray) -> np.ndarray:
     return score.astype(np.int64)
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them."""
+    most = np.abs(values).max(initial=0)
+    return values.astype(np.int16) if most < 2**15 else values
+
+
 def _scan(shared, k: int, segments: int, scale: float, cut: bool):
-    """A task over blocks of rows.  Without a cutoff: totals of the local lists' heads.  With one: all entries it needs."""
+    """A task over blocks of rows.  Without a cutoff: totals of the first block's list heads.  With one: all entries it needs."""
 
     def task(batches):
         query_ids, queries, cutoff = shared.value
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         step = max(1, BLOCK_ENTRIES // max(1, len(query_ids)))
+        done = False
         for batch in batches:
+            if done:
+                continue
             ids, vectors = quantised(batch, scale)
             for at in range(0, len(ids), step):
                 own, lists = ids[at : at + step], _partial(queries, vectors[at : at + step], segments)
@@ -106,25 +128,31 @@ def _scan(shared, k: int, segments: int, scale: float, cut: bool):
                         partial = partial.astype(float)
                     np.put_along_axis(reached, np.argpartition(-partial, heads - 1, axis=1)[:, :heads], True, axis=1)
                 q, r = np.nonzero(reached & ~self)
-                total = sum(partial[q, r] for partial in lists)
+                total = sum(partial[q, r] if partial.dtype == object else partial[q, r].astype(np.float64) for partial in lists)
                 if cut:
                     enough = (total >= cutoff[q]).astype(bool)
                     q, r, total = q[enough], r[enough], total[enough]
                 merged = tuple(np.concatenate(x) for x in zip(kept, (q, own[r], total)))
                 best = _best(*merged, k)
                 kept = tuple(x[best] for x in merged)
+                done = not cut and len(own) > k
+                if done:
+                    break
         q, ids, score = kept
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids, pa.int64()), pa.array(_long(score)), pa.array([str(int(s) + SHIFT) for s in score] if score.dtype == object else [None] * len(q), pa.string())], ["query_id", "vec_id", "score", "exact"])
 
     return task
 
 
-def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, query_modulus: int = 50, scale: float = 256.0, segments: int = 4, wave: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, query_modulus: int = 50, scale: float = 256.0, segments: int = 4, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """The k best rows for every row whose id is divisible by query_modulus: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    if vectors.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_column} must be a whole number")
     rows = only(vectors, id_column, vector_column).toDF("id", "vector").withColumn("id", F.col("id").cast("long"))
     asked = rows.where(F.col("id") % query_modulus == 0)
-    waves = max(1, math.ceil(asked.count() / wave * 1.2))
+    n, width = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    waves = max(1, math.ceil(1.2 * 2 * n * max(1, width or 0) / wave_bytes))
     found = []
     for w in range(waves):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).toArrow().combine_chunks()
@@ -132,8 +160,11 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
         width = max((v.shape[1] for _, v in batches), default=0)
         query_ids = np.concatenate([i for i, _ in batches]) if batches else np.zeros(0, np.int64)
         queries = np.concatenate([_padded(v, width) for _, v in batches]) if batches else np.zeros((0, 0))
+        if len(np.unique(query_ids)) < len(query_ids):
+            order = np.lexsort((*queries.T[::-1], query_ids))
+            query_ids, queries = query_ids[order], queries[order]
         query_ids, one = np.unique(query_ids, return_index=True)
-        queries = queries[one]
+        queries = _small(queries[one])
         if not len(query_ids):
             continue
         schema = "query_id long, vec_id long, score long, exact string"

@@ -5,10 +5,12 @@ them out.  A written word that shows traces of this becomes a lattice: each run
 stand for, once or twice, or nothing, at a cost; Viterbi finds the cheapest path under a letter trigram model, which is
 counted over the whole corpus.  Runs of three or more single letters are one written word whose gaps may be word ends.
 
-The score is a logistic model over the presence of restored words and of their first four and five bytes; it is fitted to a
-bounded sample of labelled rows (SAMPLE of each class, those with the least hash of their id), which is stated here as the
-one bound in this module, and its intercept is set back to the classes' true shares.  Labels, ids, language and source are
-never inputs.
+The score is a logistic model over restored words and their first four to seven bytes, each at one, two and four
+occurrences or more, so that a long clean text that holds a word by chance is told from one that dwells on it.  It is fitted to
+a bounded sample of labelled rows (sample of each class, those with the least hash of their id) and keeps at most `features` of
+them, those that speak for toxicity most surely by a likelihood ratio; these are the bounds in this module.  The ratio is
+against the classes' share, not a number of rows, so that the words of a rare language count as soon as they are sure.  The
+intercept is set back to the classes' true shares.  Labels, ids, language and source are never inputs.
 
 Edge cases: null and blank texts get the intercept's score; texts are taken whole, whatever their length; without labelled
 rows of both classes the score is the share of toxic rows among the labelled (0 if there are none); an id labelled twice
@@ -29,10 +31,14 @@ from .common import BASES, checkpointed, lean, only, prefix_hashes, range_hash,
 
 #: Labelled rows of each class that the classifier is fitted to, and the features it keeps: both bound the driver's memory.
 SAMPLE = 4000
-FEATURES = 2000
-#: Least log likelihood ratio of a feature that is kept; chance rarely reaches it among a million features.
-LEAST_GAIN = 10
-PREFIXES = (4, 5)
+FEATURES = 4000
+#: Least log likelihood ratio of a feature that is kept; in cross-validation on training rows anything from 3 to 15 does as well.
+LEAST_GAIN = 5
+PREFIXES = (4, 5, 6, 7)
+#: Occurrences in a text from which a feature counts again.
+LEVELS = (1, 2, 4)
+#: Written words of up to so many characters are decoded once a task; longer ones are not kept.
+REMEMBERED = 64
 THRESHOLD = 0.3
 #: Letters that a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -50,6 +56,9 @@ _SIGN = ~_LETTER
 _SIGN[[0x20, 9, 10, 11, 12, 13]] = False
 _TRAIL = np.zeros(256, bool)
 _TRAIL[[*range(48, 58), ord("@"), ord("$")]] = True
+#: Signs that stand for a letter at a word's end too, once or twice.
+_END = np.zeros(256, bool)
+_END[[ord(c) for c in "@$+*(<|#"]] = True
 
 
 def letter_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
@@ -169,12 +178,12 @@ class Restorer:
         self.model = model.tolist()
         table = np.asarray(model)
 
-        @lru_cache(1 << 14)
         def features(word: str, spaced: bool) -> np.ndarray:
             restored = restore(word, table, spaced)
             return _spaced_features(word, restored) if spaced else _word_features(restored.split())
 
-        self.features = features
+        kept = lru_cache(1 << 14)(features)
+        self.features = lambda word, spaced: (kept if len(word) <= REMEMBERED else features)(word, spaced)
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and feature of every word of a block, with those of restored words."""
@@ -194,14 +203,19 @@ class Restorer:
             long = ends - starts >= n
             out_rows.append(rows[long])
             out.append(range_hash(prefix, starts[long], starts[long] + n, BASES[0]) ^ np.uint64(n))
-        # Traces of the channel: a sign before a letter, a digit or such after one, a letter three times, single letters in a row.
+        # Traces of the channel: a sign before a letter, a digit or such after one, a sign or two at a word's end, a letter
+        # three times, three letters in a row twice each, single letters in a row.
         trace = np.zeros(len(data), bool)
         if len(data) > 2:
             trace[:-1] = _SIGN[data[:-1]] & letter[1:]
             trail = letter[:-1] & _TRAIL[data[1:]]
             trail[:-1] &= data[1:-1] != data[2:]
             trace[:-1] |= trail
-            trace[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
+            trace[:-1] |= letter[:-1] & _END[data[1:]]
+            same = data[:-1] == data[1:]
+            trace[:-2] |= letter[:-2] & same[:-1] & same[1:]
+            if len(same) > 4:
+                trace[: len(same) - 4] |= letter[: len(same) - 4] & same[:-4] & same[2:-2] & same[4:]
         w_starts, w_ends, w_rows = word_spans(data, offsets)
         at = np.unique(np.searchsorted(w_starts, np.flatnonzero(trace), "right") - 1) if len(w_starts) else np.zeros(0, np.int64)
         raw = data.tobytes()
@@ -236,50 +250,59 @@ def _fit(rows: np.ndarray, columns: np.ndarray, width: int, labels: np.ndarray)
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"):
-    """The letter model, and the classifier fitted to labelled rows for which usable (a condition on `id`) holds."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, least_gain: float = LEAST_GAIN):
+    """The letter model, and the classifier fitted to labelled rows for which usable (a condition on `id`) holds.
+
+    The classifier: features, their weights at each of LEVELS, intercept.
+    """
     spark = docs.sparkSession
     model = letter_model(letter_counts(docs, text_column))
     known = only(labels, id_column, label_column).toDF("id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & usable).groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    nothing = np.zeros(0, np.uint64), np.zeros((0, len(LEVELS)))
     if not (sizes.get(0) and sizes.get(1)):
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        return model, (np.zeros(0, np.uint64), np.zeros(0), math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    chosen = known.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).union(known.where("toxic = 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
-    texts = only(docs, id_column, text_column).toDF("id", "text").join(F.broadcast(chosen), "id").select("id", "text", "toxic")
+        return model, (*nothing, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    least = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (1, 0)]
+    texts = only(docs, id_column, text_column).toDF("id", "text").join(F.broadcast(least[0].union(least[1])), "id").select("id", "text", "toxic")
     held = spark.sparkContext.broadcast(model)
 
     def task(batches):
         restorer = Restorer(held.value)
         for batch in batches:
-            found = []
+            found, times = [], []
             for a, b, data, offsets in text_blocks(batch.column(1)):
-                rows, features = restorer.block(data, offsets)
+                rows, words = restorer.block(data, offsets)
                 order = np.argsort(rows, kind="stable")
                 cuts = np.searchsorted(rows[order], np.arange(b - a + 1))
-                found += [np.unique(features[order[x:y]]).view(np.int64) for x, y in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "toxic", "features"])
+                for x, y in zip(cuts, cuts[1:]):
+                    names, n = np.unique(words[order[x:y]], return_counts=True)
+                    found.append(names.view(np.int64))
+                    times.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["id", "toxic", "f", "n"])
 
-    known_features = checkpointed(texts.mapInArrow(task, f"id {texts.schema['id'].dataType.simpleString()}, toxic int, features array<long>"))
+    sampled = checkpointed(texts.mapInArrow(task, f"id {texts.schema['id'].dataType.simpleString()}, toxic int, f array<long>, n array<int>"))
     # A repeated row is one more row of the sample; all its copies are numbered alike.
-    y_rows = known_features.groupBy("id").agg(F.max("toxic").alias("toxic")).collect()
+    y_rows = sampled.groupBy("id").agg(F.max("toxic").alias("toxic")).collect()
     number, y = {r[0]: i for i, r in enumerate(y_rows)}, np.array([r[1] for r in y_rows], np.int64)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not (n1 and n0):
-        return model, (np.zeros(0, np.uint64), np.zeros(0), math.log(sizes[1] / sizes[0]))
-    single = known_features.select("id", "toxic", F.explode("features").alias("f")).distinct()
-    counts = single.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    p1, p0 = (F.col("t") + 0.5) / (n1 + 1), (F.col("c") + 0.5) / (n0 + 1)
-    gain = F.col("t") * F.log(p1 / (p1 + p0) * 2) + F.col("c") * F.log(p0 / (p1 + p0) * 2)
-    # The FEATURES features that speak for toxicity most surely.
-    best = counts.where(p1 > p0).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN).orderBy(F.col("gain").desc(), "f").limit(FEATURES)
-    names = np.sort(np.array([r[0] for r in best.select("f").collect()], np.int64).view(np.uint64))
-    chosen_features = spark.createDataFrame([(int(x),) for x in names.view(np.int64)], "f long")
-    pairs = single.join(F.broadcast(chosen_features), "f").select("id", "f").toPandas()
-    rows = np.array([number[i] for i in pairs["id"]], np.int64)
-    weights, bias = _fit(rows, np.searchsorted(names, pairs["f"].to_numpy(np.int64).view(np.uint64)), len(names), y)
+        return model, (*nothing, math.log(sizes[1] / sizes[0]))
+    pairs = sampled.select("id", "toxic", F.inline(F.arrays_zip("f", "n"))).select("id", "toxic", "f", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda level: level <= F.col("n"))).alias("level"))
+    single = pairs.distinct()
+    counts = single.groupBy("f", "level").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    share, both = n1 / (n1 + n0), F.col("t") + F.col("c")
+    gain = F.col("t") * F.log(F.col("t") / (both * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - share)))).otherwise(0.0)
+    best = counts.where(F.col("t") > both * share).withColumn("gain", gain).where(F.col("gain") > least_gain).orderBy(F.col("gain").desc(), "f", "level").limit(features)
+    chosen = best.select("f", "level").collect()
+    names = np.unique(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
+    wanted = spark.createDataFrame([(int(f), int(level)) for f, level in chosen], "f long, level int")
+    held_pairs = single.join(F.broadcast(wanted), ["f", "level"]).select("id", "f", "level").toPandas()
+    rows = np.array([number[i] for i in held_pairs["id"]], np.int64)
+    column = np.searchsorted(names, held_pairs["f"].to_numpy(np.int64).view(np.uint64)) * len(LEVELS) + np.searchsorted(LEVELS, held_pairs["level"].to_numpy())
+    weights, bias = _fit(rows, column, len(names) * len(LEVELS), y)
     bias += math.log(sizes[1] / sizes[0]) - math.log(n1 / n0)
-    return model, (names, weights, bias)
+    return model, (names, weights.reshape(-1, len(LEVELS)), bias)
 
 
 def _scorer(held):
@@ -288,6 +311,7 @@ def _scorer(held):
     restorer = Restorer(model)
     maybe = np.zeros(1 << 16, bool)
     maybe[(names >> np.uint64(48)).astype(np.int64)] = True
+    total_weight = np.cumsum(weights, axis=1)  # of a feature that has reached a level
 
     def scores(text: pa.Array) -> np.ndarray:
         total = np.full(len(text), bias)
@@ -299,8 +323,8 @@ def _scorer(held):
             r, f = r[hit], f[hit]
             at = np.minimum(np.searchsorted(names, f), len(names) - 1)
             hit = names[at] == f
-            pair = np.unique(r[hit] * len(names) + at[hit])
-            total[a:b] += np.bincount(pair // len(names), weights[pair % len(names)], b - a)
+            pair, n = np.unique(r[hit] * len(names) + at[hit], return_counts=True)
+            total[a:b] += np.bincount(pair // len(names), total_weight[pair % len(names), np.searchsorted(LEVELS, n, "right") - 1], b - a)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
     return scores

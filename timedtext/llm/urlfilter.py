@@ -1,10 +1,11 @@
 """URL filters: a blocked Bloom filter of listed keys passes possible hits to an exact hash join.
 
 The list holds two kinds of keys: canonical URLs, and rules (host, path prefix).  A url probes the filter with its canonical
-form and with every (host suffix, path prefix) that a rule could have; a probe reads one block of eight words, in each of
-which the key sets one bit.  Probes that pass, and they alone, are hash-joined with the list, which removes the filter's
-false positives.  The filter is a table of blocks: up to BROADCAST_BLOCKS blocks (32 bytes each) go out whole, a larger one
-is joined on the block number, so no machine needs to hold it.
+form and with every (host suffix, path prefix) that a rule could have; a probe reads one block of eight words of 64 bits, in
+each of which the key sets one bit.  Probes that pass, and they alone, are hash-joined with the list, which removes the
+filter's false positives.  The filter is a table of blocks: up to BROADCAST_BLOCKS blocks (64 bytes each) go out whole, a larger one
+is joined on the block number, so no machine needs to hold it.  Up to BROADCAST_RULES rules go out whole to be joined with
+the probes that are rules, as a rule for a whole domain is hit by very many urls; the urls are joined apart from them.
 
 Parts of a url: the host is what lies between the first "://" and "/", "?", "#" or the end, A-Z lower-cased; the path goes on
 up to "?", "#" or the end.  A rule fits its host and all subdomains if the path starts with the rule's; the longest rule text
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import only
 
 BITS_A_KEY = 12
-#: Filters of up to so many blocks (2 MiB) are broadcast; larger ones are joined block by block.
+#: Filters of up to so many blocks (4 MiB) are broadcast; larger ones are joined block by block.
 BROADCAST_BLOCKS = 1 << 16
-WORDS = 8
+BROADCAST_RULES = 1 << 15
+WORDS, WORD_BITS = 8, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Query parameters that don't change what a url shows.
@@ -49,12 +51,12 @@ def canonical(url: Column) -> Column:
 
 def _words(key: Column) -> list[Column]:
     h = F.xxhash64(key, F.lit("bits"))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 5 * i).bitwiseAND(F.lit(31)).cast("int")) for i in range(WORDS)]
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")) for i in range(WORDS)]
 
 
 def bloom_blocks(keys: DataFrame) -> tuple[DataFrame, int]:
     """The blocks of a filter of keys.key, of which absent ones are empty, and how many there are in all."""
-    blocks = max(1, keys.count() * BITS_A_KEY // 256)
+    blocks = max(1, keys.count() * BITS_A_KEY // (WORDS * WORD_BITS))
     at = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
     parts = keys.select(at, *[w.alias(f"w{i}") for i, w in enumerate(_words(F.col("key")))])
     return parts.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
@@ -84,8 +86,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     rule_keys = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max("action").alias("action"))  # block > allow
     rule_keys = rule_keys.select(F.concat(F.lit("R"), "host", F.lit("\x00"), "path").alias("key"), F.concat("host", "path").alias("rule"), "action")
     url_keys = only(listed, listed_column).toDF("u").where(F.col("u").isNotNull()).select(F.concat(F.lit("U"), canonical(F.col("u"))).alias("key")).distinct()
-    keys = rule_keys.unionByName(url_keys.select("key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action")))
-    filter_blocks, blocks = bloom_blocks(keys.select("key"))
+    filter_blocks, blocks = bloom_blocks(rule_keys.select("key").union(url_keys))
     lengths = sorted(r[0] for r in rules.where(F.col("path").isNotNull()).select(F.length("path")).distinct().collect())
 
     distinct = urls.where(F.col("url").contains("://")).select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -94,8 +95,11 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     rule_probes = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("R"), s, F.lit("\x00"), p))))
     probes = distinct.select("url", F.explode(F.array_union(rule_probes, F.array(F.concat(F.lit("U"), canonical(F.col("url")))))).alias("key"))
-    hits = possible(probes, filter_blocks, blocks).join(keys, "key")
-    best = hits.groupBy("url").agg(
+    hits = possible(probes, filter_blocks, blocks)
+    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    of_rules = hits.where(F.col("key").startswith("R")).join(F.broadcast(rule_keys) if few else rule_keys, "key").select("url", "rule", "action")
+    of_urls = hits.where(F.col("key").startswith("U")).join(url_keys, "key").select("url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
+    best = of_rules.unionByName(of_urls).groupBy("url").agg(
         F.min(F.when(F.col("rule").isNotNull(), F.struct((-F.length("rule")).alias("n"), "rule", F.when(F.col("action") == "block", 0).otherwise(1).alias("a"), "action"))).alias("best"),
         F.max(F.col("rule").isNull()).alias("listed"),
     )
