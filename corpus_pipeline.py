@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Toxic documents go; of near copies one stays; documents that hold benchmark items go; secrets are replaced by a mark; and a
+mixture by domain, language and source is taken of the rest.  All stages but the last return the columns of documents.
+
+Edge cases: null and blank texts are alike, so one of them stays, and the mixture takes none; rows alike in id and text are one
+document; rows without an id are kept unless another stage drops them; empty tables give no rows; other columns are carried
+along, but for tokens, epoch, take_tokens and domain, which the mixture sets.
+"""
 
 from __future__ import annotations
 
@@ -40,11 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each stage writes lies in the shared folder."""
+    """Applies the stages to documents.  What a stage writes lies in the shared folder until the next one has been written; the
+    result, which is read when it is needed, stays there."""
     import uuid
 
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
