@@ -8,7 +8,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -103,20 +103,24 @@ def normalized(text: Column, exact: bool = False) -> Column:
     return casefold(collapse(F.regexp_replace(text, STAMP, "")), exact)
 
 
-def excerpt(source: Column, max_words: int | Column, title: Column, note: str = "Excerpt; no AI summary.") -> Column:
-    """the first words of the source that fit beside the title and the note, with an ellipsis if it is cut."""
-    text = collapse(F.regexp_replace(source, STAMP, ""))
+def with_excerpt(rows: DataFrame, name: str, source: Column, max_words: int | Column, title: Column, note: str = "Excerpt; no AI summary.") -> DataFrame:
+    """rows with the first words of the source that fit beside the title and the note, with an ellipsis if it is cut.
+
+    Each part is a column of its own, so that the text is cleaned and each word counted once.
+    """
     room = (F.lit(max_words) if isinstance(max_words, int) else max_words) - word_count(F.concat(title, F.lit(" "), F.lit(note)))
-    words = F.slice(F.split(text, " "), F.lit(1), F.greatest(room, F.lit(1)))
+    staged = rows.withColumns({"_text": collapse(F.regexp_replace(source, STAMP, "")), "_room": room})
+    staged = staged.withColumn("_words", F.slice(F.split("_text", " "), F.lit(1), F.greatest("_room", F.lit(1))))
+    staged = staged.withColumn("_counts", F.transform("_words", word_count))
     start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("seen"), F.lit(0).alias("total"))
-    step = lambda a, w: F.struct(
-        F.when(a.total + word_count(w) <= room, a.seen + 1).otherwise(a.kept).alias("kept"), (a.seen + 1).alias("seen"), (a.total + word_count(w)).alias("total")
-    )
-    kept = F.aggregate(words, start, step, lambda a: a.kept)
-    first = F.get(words, F.lit(0))
-    letters = F.filter(F.sequence(F.lit(0), F.length(first)), lambda n: word_count(first.substr(F.lit(1), n)) <= room)
-    body = F.when(kept > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(kept, F.lit(1))), " ")).otherwise(first.substr(F.lit(1), F.coalesce(F.array_max(letters), F.lit(0))))
-    return F.when(text == "", F.lit("")).when(body == text, body).otherwise(F.concat(body, F.lit("…")))
+    step = lambda a, n: F.struct(F.when(a.total + n <= F.col("_room"), a.seen + 1).otherwise(a.kept).alias("kept"), (a.seen + 1).alias("seen"), (a.total + n).alias("total"))
+    staged = staged.withColumn("_kept", F.aggregate("_counts", start, step, lambda a: a.kept))
+    first = F.get("_words", F.lit(0))
+    letters = F.filter(F.sequence(F.lit(0), F.length(first)), lambda n: word_count(first.substr(F.lit(1), n)) <= F.col("_room"))
+    part = first.substr(F.lit(1), F.coalesce(F.array_max(letters), F.lit(0)))
+    staged = staged.withColumn("_body", F.when(F.col("_kept") > 0, F.array_join(F.slice("_words", F.lit(1), F.greatest("_kept", F.lit(1))), " ")).otherwise(part))
+    whole = (F.col("_text") == "") | (F.col("_body") == F.col("_text"))
+    return staged.withColumn(name, F.when(whole, F.col("_text")).otherwise(F.concat("_body", F.lit("…")))).drop("_text", "_room", "_words", "_counts", "_kept", "_body")
 
 
 def shorten(text: Column, limit: int | Column) -> Column:
@@ -146,10 +150,16 @@ def data_url(content: Column, mime: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
 
 
-def general(number: Column) -> Column:
-    """a number as short as it can be: whole ones without a point, others with six significant digits."""
-    fixed = F.regexp_replace(F.format_string("%.6f", number), r"\.?0+$", "")
-    return F.when(number == F.floor(number), F.format_string("%.0f", number)).otherwise(fixed)
+def general(number: Column, digits: int = 6) -> Column:
+    """a number with so many significant digits and no zeros after them; with an exponent from 10 ** digits on, and below
+    0.0001."""
+    scientific = F.format_string(f"%.{digits - 1}e", number)
+    exponent = F.regexp_extract(scientific, "e([+-][0-9]+)$", 1).cast("int")  # after rounding
+    shape = F.lit(None).cast("string")
+    for e in range(-4, digits):
+        shape = F.when(exponent == e, F.format_string(f"%.{digits - 1 - e}f", number)).otherwise(shape)
+    point = F.when(F.contains(shape, F.lit(".")), F.regexp_replace(shape, r"\.?0+$", "")).otherwise(shape)
+    return F.coalesce(point, F.regexp_replace(scientific, r"\.?0*e", "e"))
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -13,8 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, normalized, stamp, word_count
-from ..schema import SUMMARIES
+from ..functions.text import normalized, stamp, with_excerpt, word_count
 from ..sources.checkpoints import Checkpoints, key_of
 from .sampling import pack_next_fit
 from .timeline import batches
@@ -30,7 +29,7 @@ def visible_text(prefix: str = "") -> Column:
     return F.array_join(F.concat(F.array(part("title"), part("summary")), F.coalesce(F.col(prefix + "bullets"), F.array().cast("array<string>")), F.array(part("takeaway"), part("uncertainty"))), " ")
 
 
-def page_problem(max_words: int) -> Column:
+def page_problem(max_words: int | Column) -> Column:
     """The first rule that a joined row (page and s, its summary) breaks, or NULL."""
     source = normalized(F.col("source_text"))
     bad_quote = F.exists("s.evidence", lambda q: (normalized(q) == "") | (word_count(q) > EVIDENCE_WORDS) | ~F.contains(source, normalized(q)))
@@ -43,7 +42,7 @@ def page_problem(max_words: int) -> Column:
     )
 
 
-def validate(pages: DataFrame, summaries: DataFrame, max_words: int) -> DataFrame:
+def validate(pages: DataFrame, summaries: DataFrame, max_words: int | Column) -> DataFrame:
     """Every page with its summary `s` and `problem`; summaries of other pages come with a problem of their own."""
     s = summaries.select(F.col("video_id").alias("_v"), F.col("page_id").alias("_p"), F.struct(*FIELDS).alias("s"))
     joined = pages.join(s, (F.col("video_id") == F.col("_v")) & (F.col("number") == F.col("_p")), "full")
@@ -60,8 +59,9 @@ def apply_summaries(validated: DataFrame) -> DataFrame:
 
 def extractive(pages: DataFrame, max_words: int | Column) -> DataFrame:
     """pages with labelled excerpts of their own text."""
-    title, note = F.concat(F.lit("Transcript excerpt "), F.col("number") - 2), "Excerpt; no AI summary."
-    return pages.withColumns({"summary": excerpt(F.col("source_text"), max_words, title, note), "title": title, "uncertainty": F.lit(note), "chapter": F.lit("Transcript excerpts"), "bullets": F.array().cast("array<string>"), "takeaway": F.lit("")})
+    title, note = F.concat(F.lit("Transcript excerpt "), (F.col("number") - 2).cast("string")), "Excerpt; no AI summary."
+    made = with_excerpt(pages, "summary", F.col("source_text"), max_words, title, note)
+    return made.withColumns({"title": title, "uncertainty": F.lit(note), "chapter": F.lit("Transcript excerpts"), "bullets": F.array().cast("array<string>"), "takeaway": F.lit("")})
 
 
 class Provider(Protocol):
@@ -108,24 +108,34 @@ def summarize_batch(provider: Provider, records: list[dict], max_words: int) ->
     raise RuntimeError(f"no valid summary after {ATTEMPTS} attempts: {feedback}")
 
 
-def summarize(pages: DataFrame, provider: Provider, max_words: int, batch_size: int = 4, checkpoints: Checkpoints | None = None) -> DataFrame:
-    """Summaries of all pages, in batches of each video; batches whose key has results already are not asked for again."""
+def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch_size: int = 4, checkpoints: Checkpoints | None = None, workers: int | None = None) -> DataFrame:
+    """Summaries of all pages, in batches of each video; batches whose key has results already are not asked for again.
+
+    max_words: the budget of a page, or None where pages have it as a column.  workers: how many ask at once, by default as many
+    as there are cores.  A kept result that breaks a rule counts as none (S18).
+    """
     batch_size = min(8, max(1, batch_size))
     grouped = batches(pages, batch_size, "number")
     record = F.struct(F.col("number").alias("page_id"), "start", "end", "source_text")
     records = F.transform(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))), lambda x: x.r)
-    work = grouped.groupBy("video_id", "batch").agg(F.to_json(records).alias("records"))
-    work = work.withColumn("key", key_of(F.lit(provider.name).alias("n"), F.lit(provider.version).alias("v"), F.lit(max_words).alias("w"), F.col("records")))
+    budget = F.lit(max_words) if max_words is not None else F.min("max_words")
+    work = grouped.groupBy("video_id", "batch").agg(F.to_json(records).alias("records"), budget.cast("int").alias("words"))
+    work = work.withColumn("key", key_of(F.lit(provider.name).alias("n"), F.lit(provider.version).alias("v"), F.col("words").alias("w"), F.col("records")))
 
     def ask(frames):
         for frame in frames:
-            yield frame.assign(result=[json.dumps(summarize_batch(provider, json.loads(r), max_words)) for r in frame["records"]])[["key", "result"]]
+            yield frame.assign(result=[json.dumps(summarize_batch(provider, json.loads(r), int(w))) for r, w in zip(frame["records"], frame["words"])])[["key", "result"]]
+
+    def asked(missing: DataFrame) -> DataFrame:
+        missing = missing.select("key", "records", "words").dropDuplicates(["key"])
+        return (missing.repartition(workers) if workers else missing).mapInPandas(ask, "key string, result string")
 
     if checkpoints is None:
-        results = work.join(work.select("key", "records").dropDuplicates(["key"]).mapInPandas(ask, "key string, result string"), "key")
+        results = work.join(asked(work), "key")
     else:
-        checkpoints.add(checkpoints.missing(work).select("key", "records").dropDuplicates(["key"]).mapInPandas(ask, "key string, result string"))
-        results = checkpoints.found(work)
+        readable = F.try_parse_json(F.col("result")).isNotNull()
+        checkpoints.add(asked(checkpoints.missing(work, readable)))
+        results = checkpoints.found(work, readable)
     item = "array<struct<page_id:int,title:string,summary:string,bullets:array<string>,takeaway:string,chapter:string,uncertainty:string,evidence:array<string>>>"
     return results.select("video_id", F.inline(F.from_json("result", item)))
 
@@ -168,7 +178,3 @@ def overview(pages: DataFrame, durations: DataFrame, provider: Provider, checkpo
         out = out.unionByName(x)
     trimmed = [F.trim(c).alias(c) for c in ("title", "summary", "takeaway", "uncertainty")]
     return out.select("video_id", "number", "start", "end", "source_text", *trimmed, F.filter(F.transform("bullets", lambda b: F.trim(b)), lambda b: b != "").alias("bullets"), F.lit("Reading guide").alias("chapter"), F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("frame_path"))
-
-
-def empty_summaries(spark) -> DataFrame:
-    return spark.createDataFrame([], SUMMARIES)

@@ -13,10 +13,17 @@ FORMATS = ("slides", "layout", "html")
 
 @dataclass(frozen=True)
 class Options:
-    """pages counts cover and overview; formats beside JSON, which is always written."""
+    """pages counts cover and overview; formats beside JSON, which is always written.
 
+    provider, connector and decoder name what a caller plugs in, as module:factory: a provider of summaries is made with the
+    model's name, a connector with nothing; a decoder is a function of an image's bytes and a shape.
+    """
+
+    source: str | None = None  # a URL, for the connector
     transcripts: str | None = None
-    frames: str | None = None
+    frames: str | None = None  # a table of chosen frames
+    images: str | None = None  # or a folder for each video of extracted images
+    logs: str | None = None  # and a folder of the extraction's logs, one file for each video
     title: str | None = None
     pages: int = 200
     reading_minutes: float = 60.0
@@ -26,11 +33,13 @@ class Options:
     model: str = field(default_factory=lambda: os.environ.get("TIMEDTEXT_MODEL", ""))
     workers: int = 3
     transcript_only: bool = False
-    text_only_ai: bool = False
+    connector: str | None = None
+    decoder: str | None = None
     frame_interval: float = INTERVAL
     threshold: float = THRESHOLD
     crop: tuple[float, float, float, float] | None = None
     formats: tuple[str, ...] = FORMATS
+    checkpoints: str | None = None
     out: str = "output/book"
 
     def check(self) -> Options:
@@ -48,9 +57,17 @@ class Options:
         unknown = set(self.formats) - {*FORMATS, "json"}
         if unknown or not self.formats:
             raise ValueError(f"unknown formats: {', '.join(sorted(unknown)) or 'none given'}")
-        if self.crop is not None and (self.crop[0] + self.crop[2] > 1 or self.crop[1] + self.crop[3] > 1):
-            raise ValueError("crop must lie within the image")
-        check_options(self.frame_interval, self.threshold, self.crop)
-        if not self.transcripts:
-            raise ValueError("no input: give a folder of transcripts")
+        check_options(self.frame_interval, self.threshold, self.crop, slack=0.0)
+        if not self.transcripts and not self.source:
+            raise ValueError("no input: give a folder of transcripts, or a source and a connector")
+        if self.source and not self.connector:
+            raise ValueError("a source needs a connector")
+        if bool(self.images) != bool(self.logs) or (self.images and not self.decoder):
+            raise ValueError("images need logs and a decoder")
+        if self.images and self.frames:
+            raise ValueError("give frames or images, not both")
+        for name in ("provider", "connector", "decoder"):
+            value = getattr(self, name)
+            if value and value != "extractive" and value.count(":") != 1:
+                raise ValueError(f"{name} must be module:factory")
         return self

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, general, word_count
-from ..operators.sampling import select_changes
-from ..operators.summaries import extractive, visible_text
+from ..operators import summaries
+from ..operators.summaries import Provider, extractive, visible_text
 from ..operators.timeline import unpictured
-from .planner import durations_of, plan_pages
+from ..sources.checkpoints import Checkpoints
+from .planner import durations_of, input_errors, plan_pages
 
 PAGE_COLUMNS = ("number", "title", "start", "end", "summary", "bullets", "takeaway", "frame_path", "source_text", "kind", "chapter", "uncertainty")
 WORDS_A_MINUTE, SECONDS_A_FRAME, MOST_WORDS, LEAST_WORDS = 180, 6, 65, 18
@@ -46,17 +49,19 @@ def _front(title: Column, duration: Column, n_pages: Column, minutes: float) ->
     )
 
 
-def assemble(content: DataFrame, videos: DataFrame, minutes: float) -> DataFrame:
+def assemble(content: DataFrame, videos: DataFrame, minutes: float, overview: DataFrame | None = None) -> DataFrame:
     """Cover, overview and content pages, numbered from 1.  content also has n_pages; videos: video_id, title, duration.
 
-    The front pages come out of each video's first content page, so that content is read once.
+    The front pages come out of each video's first content page, so that content is read once.  overview: a page for each
+    video in place of the one that says how to read excerpts.
     """
     told = content.join(videos.select("video_id", F.col("title").alias("_title"), F.col("duration").alias("_duration")), "video_id")
     front = _front(F.col("_title"), F.col("_duration"), F.col("n_pages"), minutes)
     own = F.struct(*[F.col(c) for c in PAGE_COLUMNS])
     first = F.min("number").over(Window.partitionBy("video_id"))
     pages = F.when(F.col("number") == F.col("_first"), F.concat(front, F.array(own))).otherwise(F.array(own))
-    return told.withColumn("_first", first).select("video_id", F.inline(pages))
+    book = told.withColumn("_first", first).select("video_id", F.inline(pages))
+    return book if overview is None else book.where("kind <> 'overview'").unionByName(overview.select("video_id", *PAGE_COLUMNS))
 
 
 def totals(pages: DataFrame, cues: DataFrame, frames: DataFrame, minutes: float) -> DataFrame:
@@ -91,23 +96,44 @@ def warnings(figures: DataFrame, requested_pages: int, extractive_mode: bool = T
     return figures.select("video_id", F.array_distinct(F.filter(found, lambda w: w.isNotNull())).alias("warnings"))
 
 
-def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 200, minutes: float = 60.0, durations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Books in extractive mode: all pages, and a row for each video with its figures and warnings.
+class Unusable(ValueError):
+    """What keeps a book from being made."""
+
+
+def refuse(found: DataFrame, what: str) -> None:
+    """Raises for the first of rows that should not be: video_id and error."""
+    wrong = found.take(1)
+    if wrong:
+        raise Unusable(f"{what} of {wrong[0]['video_id']}: {wrong[0]['error']}")
+
+
+def summarized(content: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None, workers: int | None = None) -> DataFrame:
+    """Content pages (with max_words) with a provider's summaries, all of which keep the rules."""
+    made = summaries.summarize(content, provider, None, checkpoints=checkpoints, workers=workers)
+    checked = summaries.validate(content, made, F.col("max_words"))
+    refuse(checked.where("problem IS NOT NULL").select("video_id", F.concat_ws(": ", F.col("number").cast("string"), "problem").alias("error")), "page")
+    return summaries.apply_summaries(checked)
 
-    titles: video_id, title, source_url.  A video whose budget leaves fewer than LEAST_WORDS a page raises.
+
+def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 200, minutes: float = 60.0, durations: DataFrame | None = None, provider: Provider | None = None, checkpoints: Checkpoints | None = None, workers: int | None = None, check: bool = True, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
+    """Books: all pages, and a row for each video with its figures and warnings.
+
+    titles: video_id, title, source_url.  Without a provider, pages show excerpts of their own text (X05).  What forbids a plan
+    (P02), a budget that leaves fewer than LEAST_WORDS a page, and a summary that breaks a rule raise; check=False leaves out
+    the first of these.  keep(table, name) may write a table that is read more than once and give back what it wrote.
     """
     durations = durations_of(cues) if durations is None else durations
-    content = plan_pages(cues, frames, durations, pages - 2)
-    told = with_budgets(content, frames, minutes)
+    if check:
+        refuse(input_errors(cues, frames, durations), "input")
+    told = with_budgets(plan_pages(cues, frames, durations, pages - 2), frames, minutes)
     enough = F.when(F.col("max_words") < LEAST_WORDS, F.raise_error(F.concat(F.lit("the reading target is too short for the pages of "), F.col("video_id").cast("string")))).otherwise(F.col("max_words"))
-    videos = titles.join(durations.select("video_id", "duration"), "video_id")
-    book = assemble(extractive(told.withColumn("max_words", enough), F.col("max_words")), videos, minutes)
+    told, videos = keep(told.withColumn("max_words", enough), "content"), titles.join(durations.select("video_id", "duration"), "video_id")
+    if provider is None:
+        book = assemble(extractive(told, F.col("max_words")), videos, minutes)
+    else:
+        content = keep(summarized(told, provider, checkpoints, workers), "summaries")
+        book = assemble(content, videos, minutes, summaries.overview(content, durations, provider, checkpoints))
+    book = keep(book, "pages")
     figures = totals(book, cues, frames, minutes)
-    notes = warnings(figures, pages)
+    notes = warnings(figures, pages, provider is None)
     return book, videos.select("video_id", "title", "source_url", "duration").join(figures, "video_id").join(notes, "video_id").withColumn("reading_minutes", F.lit(float(minutes)))
-
-
-def build_from_samples(cues: DataFrame, samples: DataFrame, titles: DataFrame, threshold: float = 0.12, **how) -> tuple[DataFrame, DataFrame]:
-    """As build(), with frames chosen from samples (video_id, ordinal, ts, value, path) by W07."""
-    chosen = select_changes(samples, threshold).select("video_id", "ordinal").join(samples.select("video_id", "ordinal", "ts", "path"), ["video_id", "ordinal"])
-    return build(cues, chosen, titles, **how)

@@ -58,32 +58,42 @@ class Timeline:
                 times.append(self.changes[near[inside]])
         return np.concatenate(at), np.concatenate(times)
 
+    def pages(self, target: int) -> int:
+        """A05."""
+        return min(target, max(1, int(self.words[-1]) // MIN_SOURCE_WORDS), int(self.nonempty[-1]))
+
+    def best(self, indexes: np.ndarray, ideal: float, pages: int, after: float) -> tuple[int, float] | None:
+        """The option among these groups whose mass is nearest to the ideal, a slide change close by counting in its favour."""
+        at, times = self.options(indexes, ideal)
+        open_ = np.flatnonzero((times > after) & (times < self.duration))
+        if not len(open_):
+            return None
+        at, times = at[open_], times[open_]
+        cost = ((self.mass(at, times) - ideal) * pages) ** 2 - BONUS * np.clip(1.0 - self.distance(times) / CLOSE, 0.0, None)
+        first = np.lexsort((times, at, cost))[0]
+        return int(at[first]), float(times[first])
+
     def cuts(self, target: int) -> tuple[list[int], list[float]]:
-        """The first group and the start time of each page."""
-        pages = min(target, max(1, int(self.words[-1]) // MIN_SOURCE_WORDS), int(self.nonempty[-1]))
+        """The first group and the start time of each page.
+
+        Where a cut may lie is known for all pages beforehand, but for one thing: how far the cut before it has come.
+        """
+        pages = self.pages(target)
+        ideals = np.arange(1, pages) / pages
+        # The last group that leaves one with words for each page to come, and the groups within reach of the ideal.
+        latest = np.minimum(np.searchsorted(self.nonempty, self.nonempty[-1] - pages + np.arange(1, pages), "right"), len(self.starts)) - 1
+        nearest = np.searchsorted(self.masses, ideals)
+        reach = np.stack([np.searchsorted(self.masses, ideals - REACH / pages), np.searchsorted(self.masses, ideals + REACH / pages, "right") - 1])
         index, start = [0], [0.0]
-        for k in range(1, pages):
-            ideal = k / pages
-            # At least one group with words on this page, and one for each page to come.
-            low = int(np.searchsorted(self.nonempty, self.nonempty[index[-1]], "right"))
-            high = min(len(self.starts) - 1, int(np.searchsorted(self.nonempty, self.nonempty[-1] - (pages - k), "right")) - 1)
-            a = max(low, int(np.searchsorted(self.masses, ideal - REACH / pages, "left")))
-            b = min(high, int(np.searchsorted(self.masses, ideal + REACH / pages, "right")) - 1)
-            if a > b:
-                near = max(low, min(high, int(np.searchsorted(self.masses, ideal, "left"))))
-                a, b = max(low, near - 1), min(high, near + 1)
-            at, times = self.options(np.arange(a, b + 1), ideal)
-            usable = (times > start[-1]) & (times < self.duration)
-            at, times = at[usable], times[usable]
-            if len(at):
-                off = (self.mass(at, times) - ideal) * pages
-                score = off * off - BONUS * np.maximum(0.0, 1.0 - self.distance(times) / CLOSE)
-                best = np.lexsort((times, at, score))[0]
-                index.append(int(at[best]))
-                start.append(float(times[best]))
-            else:
-                index.append(low)
-                start.append(float(self.starts[low]))
+        for ideal, last, near, (lo, hi) in zip(ideals.tolist(), latest.tolist(), nearest.tolist(), reach.T.tolist()):
+            earliest = int(np.searchsorted(self.nonempty, self.nonempty[index[-1]], "right"))  # one group with words is behind it
+            window = range(max(earliest, lo), min(last, hi) + 1)
+            if not window:  # the groups next to the ideal, as far as they may be had
+                centre = min(max(near, earliest), max(last, earliest))
+                window = range(max(earliest, centre - 1), min(last, centre + 1) + 1)
+            cut = self.best(np.array(window, np.int64), ideal, pages, start[-1]) or (earliest, float(self.starts[earliest]))
+            index.append(cut[0])
+            start.append(cut[1])
         return index, start
 
 

@@ -145,7 +145,7 @@ k AS (SELECT doc_id, any_value(text) AS text, coalesce(string_agg(word, ' ' ORDE
 SELECT doc_id, CASE WHEN text = '' OR body = text THEN text ELSE body || '…' END AS excerpt FROM k""")
 def f12_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Transcript excerpt "), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 30, title).alias("excerpt"))
+    return text.with_excerpt(table(spark, sf_dir, "documents").select("doc_id", "text"), "excerpt", F.col("text"), 30, title).select("doc_id", "excerpt")
 
 
 @query(r"""WITH c AS (SELECT doc_id, text, text[1:139] AS cut FROM documents),
@@ -352,15 +352,6 @@ def j09_unpictured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.unpictured(frames, pages).select("video_id", "path", "ordinal", "ts")
 
 
-@query(f"""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains({s_fold(s_collapse('d.text'))}, {s_fold(s_collapse('b.text[1:60]'))}) WHERE {s_fold(s_collapse('b.text[1:60]'))} <> ''""")
-def p08_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold the first sixty letters of which benchmark item, both normalized; the items are a small list of quotes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalized(F.col("text")).alias("source"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", text.normalized(F.left("text", F.lit(60))).alias("quote")).where("quote <> ''")
-    listed = quotes.agg(F.collect_list(F.struct("item_id", "quote")).alias("quotes"))
-    return docs.crossJoin(F.broadcast(listed)).select("doc_id", F.explode(F.filter("quotes", lambda q: F.contains(F.col("source"), q.quote))).alias("q")).select("doc_id", "q.item_id")
-
-
 def _demo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pages: a cover, an overview and content with bullets, some with a note."""
     c = conversation_cues(spark, sf_dir)
@@ -400,13 +391,6 @@ def p12_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("video_id", "number", export.notes().alias("notes"))
 
 
-@query(f"""WITH {PAGE_ROWS} SELECT video_id, CAST(count(*) + 2 AS BIGINT) AS pages, CAST(min(number) AS INTEGER) AS first_content FROM pages_ GROUP BY video_id""")
-def u01_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = _demo_pages(spark, sf_dir).withColumn("n_pages", F.count("*").over(Window.partitionBy("video_id"))).withColumn("number", F.col("number") + 100)
-    made = book.assemble(content, _demo_videos(spark, sf_dir), 60.0)
-    return made.groupBy("video_id").agg(F.count("*").alias("pages"), F.min(F.when(F.col("number") > 100, F.col("number") - 100)).alias("first_content"))
-
-
 @query()
 def x06_build_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = conversation_cues(spark, sf_dir)
@@ -420,33 +404,16 @@ def x06_book_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.build(cues, conversation_frames(spark, sf_dir), _demo_videos(spark, sf_dir).select("video_id", "title", "source_url"))[1]
 
 
-@query()
-def k02_manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.json_books(_demo_pages(spark, sf_dir), _demo_videos(spark, sf_dir))
-
-
-@query()
-def k03_html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.articles(_demo_pages(spark, sf_dir), _demo_videos(spark, sf_dir))
-
-
-@query()
-def k03_html_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.html_books(_demo_pages(spark, sf_dir), _demo_videos(spark, sf_dir))
-
-
 @query()
 def k04_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.slides(_demo_pages(spark, sf_dir), _demo_videos(spark, sf_dir))
 
 
-@query()
-def a12_overview_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.overview_source(_demo_pages(spark, sf_dir))
-
-
 @query()
 def s21_demo_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = fixtures.demo_cues(spark)
     titles = spark.createDataFrame([("demo", "A short course", "")], "video_id string, title string, source_url string")
     return book.build(cues, fixtures.demo_frames(spark), titles, 10, 5.0)[0]
+
+
+from . import queries_books  # noqa: E402, F401 - registers more

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import source_link
-from ..functions.text import clock, escape_html, general, shorten
+from ..functions.text import clock, data_url, escape_html, general, shorten
 
 #: What exported pages call their parts.
 COVER, OVERVIEW, SUMMARY, EXCERPT = "READING TARGET", "AT A GLANCE", "PRESENTER SUMMARY", "TRANSCRIPT EXCERPT"
@@ -100,7 +100,7 @@ def articles(pages: DataFrame, videos: DataFrame) -> DataFrame:
     image = F.concat(lit('<img loading="lazy" alt="Source visual for '), interval(), lit('" src="'), F.col("image_url"), lit('">'))
     cover = F.concat(lit('<div class="cover"><h2>'), e(F.col("_title")), lit("</h2><p>"), clock(F.col("_duration")), lit(" of video · "), F.col("_pages").cast("string"), lit(" pages<br>Reading target: "), general(F.col("_minutes")), lit(" minutes</p></div>"))
     route = F.concat(lit('<ol class="overview">'), F.array_join(F.transform("bullets", lambda b: F.concat(lit("<li>"), e(b), lit("</li>"))), ""), lit("</ol>"))
-    visual = F.when(F.col("image_url").isNotNull(), image).when(F.col("kind") == "cover", cover).when(F.col("kind") == "overview", route).otherwise(lit('<div class="missing"><strong>Transcript-only page</strong></div>'))
+    visual = F.when(F.col("image_url").isNotNull(), image).when(F.col("kind") == "cover", cover).when(F.col("kind") == "overview", route).otherwise(lit('<div class="missing"><strong>No picture here</strong></div>'))
     body = F.array_join(F.transform(sections(False), lambda s: F.concat(lit("<section><h3>"), e(s.label), lit("</h3><p>"), F.replace(e(s.body), lit("\n"), lit("<br>")), lit("</p></section>"))), "")
     link = source_link(F.col("source_url"), F.col("start"))
     play = F.when(link.isNotNull(), F.concat(lit('<a rel="noopener noreferrer" href="'), e(link), lit('">'), interval(), lit("</a>"))).otherwise(F.concat(lit("<span>"), interval(), lit(" · "), e(F.coalesce(F.when(F.col("source_url") != "", F.col("source_url")), lit("Source unavailable"))), lit("</span>")))
@@ -139,11 +139,11 @@ def html_books(pages: DataFrame, videos: DataFrame) -> DataFrame:
     body = articles(pages, videos).groupBy("video_id").agg(F.array_join(F.transform(parts, lambda p: p.article), "\n").alias("body"))
     joined = body.join(videos.select("video_id", "title", "warnings"), "video_id")
     warned = F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("<li>"), escape_html(w), F.lit("</li>"))), "")
-    note = F.when(F.size("warnings") > 0, F.concat(F.lit('<details class="warnings"><summary>Source and export notes ('), F.size("warnings").cast("string"), F.lit(")</summary><ul>"), warned, F.lit("</ul></details>"))).otherwise(F.lit(""))
+    note = F.when(F.size("warnings") > 0, F.concat(F.lit('<details class="warnings"><summary>Please note ('), F.size("warnings").cast("string"), F.lit(")</summary><ul>"), warned, F.lit("</ul></details>"))).otherwise(F.lit(""))
     title = escape_html(F.col("title"))
     document = F.concat(
         F.lit('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>'), title, F.lit(f"</title><style>{STYLE}</style></head><body><header><strong>"), title, F.lit('</strong><input id="search" type="search" aria-label="Search"><span id="count"></span></header><main>'),
-        note, F.col("body"), F.lit(f'<p id="none" hidden>No pages match this search.</p></main><script>{SCRIPT}</script></body></html>'),
+        note, F.col("body"), F.lit(f'<p id="none" hidden>Nothing was found.</p></main><script>{SCRIPT}</script></body></html>'),
     )
     return joined.select("video_id", document.alias("value"))
 
@@ -207,13 +207,30 @@ def substitute(text: Column, supported: str) -> Column:
     return F.regexp_replace(text, f"[^{supported}]", "?")
 
 
-def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ...] = FORMATS, writer: Callable | None = None) -> dict[str, str]:
-    """Checks first, then writes each format in a fixed order, JSON last.  writer(slides, path): an optional binary sink."""
+def with_images(pages: DataFrame, videos: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages with the images that are there as data URLs, and videos with the warnings about those that are not.
+
+    images: path, content.  What an image is, is told by its first bytes; others than these are left out.
+    """
+    head = F.hex(F.substring("content", 1, 4))
+    mime = F.when(head == "89504E47", "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head == "47494638", "image/gif").when(head == "52494646", "image/webp")
+    urls = images.select(F.col("path").alias("frame_path"), data_url(F.col("content"), mime).alias("image_url")).where("image_url IS NOT NULL").dropDuplicates(["frame_path"])
+    told = image_warnings(pages, urls.select(F.col("frame_path").alias("path"))).withColumnRenamed("warnings", "_more")
+    both = F.array_distinct(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>"))))
+    return pages.join(urls, "frame_path", "left"), videos.join(told, "video_id", "left").withColumn("warnings", both).drop("_more")
+
+
+def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ...] = FORMATS, writer: Callable | None = None, images: DataFrame | None = None) -> dict[str, str]:
+    """Checks first, then writes each format in a fixed order, JSON last.  writer(slides, path): an optional binary sink;
+    images: path and content of the pages' images."""
     wrong = export_errors(pages, formats).take(1)
     if wrong:
         raise ValueError(f"page {wrong[0]['number']} of {wrong[0]['video_id']}: {wrong[0]['error']}")
     if pages.isEmpty():
         raise ValueError("a book needs a page")
+    shown = pages
+    if images is not None:
+        shown, videos = with_images(pages, videos, images)
     done = {}
     for name in FORMATS:
         if name in formats or name == "json":
@@ -223,6 +240,8 @@ def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ..
                 table.write.mode("overwrite").parquet(done[name])
                 if writer:
                     writer(table, f"{done[name]}-files")
+            elif name == "html":
+                html_books(shown, videos).write.mode("overwrite").parquet(done[name])
             else:
-                (html_books if name == "html" else json_books)(pages, videos).write.mode("overwrite").parquet(done[name])
+                json_books(pages, videos).write.mode("overwrite").parquet(done[name])
     return done

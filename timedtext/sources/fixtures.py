@@ -36,8 +36,12 @@ def conversation_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words as rolling captions: eight words, of which four are the last cue's."""
+    return rolling(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "text"))
+
+
+def rolling(texts: DataFrame) -> DataFrame:
     words = F.filter(F.split(collapse(F.col("text")), " "), lambda w: w != "")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), words.alias("words")).where(F.size("words") > 0)
+    docs = texts.select("video_id", words.alias("words")).where(F.size("words") > 0)
     at = F.posexplode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 4).cast("int")))
     return docs.select("video_id", "words", at.alias("ordinal", "i")).select(
         "video_id", "ordinal", F.col("i").cast("double").alias("start"), (F.col("i") + 1.5).cast("double").alias("end"), F.array_join(F.slice("words", F.col("i") * 4 + 1, F.lit(8)), " ").alias("text")

@@ -12,28 +12,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import key_of
+from .checkpoints import Checkpoints, key_of
 
 INTERVAL, THRESHOLD = 12.0, 0.12
 SHOWN_TIME = r"pts_time:\s*([0-9]+(?:\.[0-9]+)?)"
 
 
-def check_options(interval: float = INTERVAL, threshold: float = THRESHOLD, crop: tuple[float, float, float, float] | None = None) -> None:
-    """Raises ValueError for what can't be used; sums of a crop may exceed 1 by rounding."""
-    if not (math.isfinite(interval) and interval > 0):
-        raise ValueError("interval must be finite and positive")
-    if not 0 <= threshold <= 1:
-        raise ValueError("threshold must lie between 0 and 1")
+def option_errors(interval: float = INTERVAL, threshold: float = THRESHOLD, crop: tuple[float, float, float, float] | None = None, slack: float = 1e-9) -> list[str]:
+    """All that is wrong with the options of a frame source.  A crop's far edges may pass the image's by slack, as sums round."""
+    found = {
+        "the threshold must be a share, from 0 to 1": 0 <= threshold <= 1,
+        "the interval must be a positive, finite number of seconds": 0 < interval < math.inf,
+    }
     if crop is not None:
-        if len(crop) != 4 or not all(math.isfinite(c) for c in crop):
-            raise ValueError("crop must be four finite numbers")
-        x, y, w, h = crop
-        if min(x, y) < 0 or min(w, h) <= 0 or x + w > 1 + 1e-9 or y + h > 1 + 1e-9:
-            raise ValueError("crop must lie within the image")
+        left, top, width, height = crop
+        edges = (left, top, left + width, top + height)
+        found["the crop must cover a part of the image"] = width > 0 and height > 0 and all(0 <= e <= 1 + slack for e in edges)
+    return [message for message, holds in found.items() if not holds]
+
+
+def check_options(*options, **named) -> None:
+    wrong = option_errors(*options, **named)
+    if wrong:
+        raise ValueError("; ".join(wrong))
 
 
 def sampling_filter(interval: float = INTERVAL, crop: tuple[float, float, float, float] | None = None) -> str:
-    """S14, S15 as the media tool's filter: the first frame, then each one interval after the last that was taken."""
+    """S14, S15 as the media tool's filter: the first frame, then each one interval after the last that was taken.
+
+    The filters' names and arguments are fixed values: the tool's own syntax.
+    """
     check_options(interval, THRESHOLD, crop)
     parts = [f"select='isnan(prev_selected_t)+gte(t-prev_selected_t\\,{interval:.10g})'"]
     if crop:
@@ -62,11 +70,6 @@ def zip_times(images: DataFrame, times: DataFrame) -> DataFrame:
     return joined.select("video_id", "ordinal", ts.alias("ts"), "path")
 
 
-def fingerprint(interval: float = INTERVAL, threshold: float = THRESHOLD, crop=None, version: int = 1) -> Column:
-    """The key of a video's frames: its file and all options."""
-    return key_of(F.col("path"), F.col("length"), F.col("modified"), F.lit(version).alias("v"), F.lit(repr((interval, threshold, crop))).alias("options"), length=20)
-
-
 def region_means(decode: Callable[[bytes], object], boxes: list[tuple[int, int, int, int]]):
     """An Arrow function from image bytes to the mean of each box (left, top, right, bottom) of the decoded array."""
     import numpy as np
@@ -95,3 +98,43 @@ def fits_layout(size: Column, means: Column, shape: tuple[int, int], bounds: lis
     for i, (least, most) in enumerate(bounds):
         fits = fits & means[i].between(least, most)
     return F.coalesce(fits, F.lit(False))
+
+
+#: The raster on which images are compared.
+RASTER = (144, 256, 3)
+CHOSEN = "ordinal int, ts double, path string"
+
+
+def select_frames(images: DataFrame, logs: DataFrame, decode: Callable[[bytes, tuple[int, int, int]], object], threshold: float = THRESHOLD) -> DataFrame:
+    """Images (video_id, path, content) and logs (video_id, value) to the frames that show something new: video_id, ordinal, ts,
+    path.  decode(content, shape) gives an image as an array; of a video's images three are held at once."""
+    check_options(threshold=threshold)
+    timed = zip_times(images.select("video_id", "path"), shown_times(logs)).join(images.select("video_id", "path", "content"), ["video_id", "path"])
+    kind = images.schema["video_id"].dataType.simpleString()
+
+    def choose(group):
+        group, kept, before, anchor = group.sort_values(["ts", "ordinal"], kind="stable"), [], None, None
+        for content in group["content"]:
+            now = decode(content, RASTER)
+            kept.append(anchor is None or image_difference(before, now) > threshold or image_difference(anchor, now) > threshold)
+            before, anchor = now, now if kept[-1] else anchor
+        return group[kept][["video_id", "ordinal", "ts", "path"]]
+
+    return timed.groupBy("video_id").applyInPandas(choose, f"video_id {kind}, {CHOSEN}")
+
+
+def cached_frames(images: DataFrame, logs: DataFrame, decode: Callable, manifests: Checkpoints, interval: float = INTERVAL, threshold: float = THRESHOLD, crop=None) -> DataFrame:
+    """As select_frames, but for videos whose manifest is kept: same files and options, not empty, and all its files are
+    still there.  images also have length and modified; manifests: a table of results (MANIFEST)."""
+    own = images.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("path", "length", "modified"))).alias("files"))
+    keyed = own.select("video_id", "files", key_of(F.col("files"), F.lit(repr((interval, threshold, crop))).alias("options"), length=20).alias("key"))
+    paths = F.transform("files", lambda f: f.path)
+    usable = (F.size("frames") > 0) & (F.size(F.array_except(F.transform("frames", lambda f: f.path), paths)) == 0)
+    lacking = keyed.join(manifests.found(keyed).where(usable).select("key"), "key", "left_anti").select("video_id", "key")
+    fresh = select_frames(images.join(lacking.select("video_id"), "video_id", "left_semi"), logs.join(lacking.select("video_id"), "video_id", "left_semi"), decode, threshold)
+    frames = F.array_sort(F.collect_list(F.struct("ordinal", "ts", "path"))).alias("frames")
+    manifests.add(fresh.join(lacking, "video_id").groupBy("key").agg(frames))
+    return manifests.found(keyed).where(usable).select("video_id", F.inline("frames"))
+
+
+MANIFEST = "frames array<struct<ordinal:int,ts:double,path:string>>"
