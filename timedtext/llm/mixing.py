@@ -70,14 +70,15 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget:
         given = [x for k, v in weights.get(level, {}).items() for x in (F.lit(k), F.lit(v))]
         return (F.coalesce(F.create_map(*given)[F.col(level)], F.lit(1)) if given else F.lit(1)).cast(BIG)
 
-    tree = leaves.withColumn("_cap", cap).withColumn("root", F.lit(0))
-    whole = tree.groupBy("root").agg(F.sum("tokens").alias("all_tokens"), F.sum("_cap").cast(BIG).alias("_all"))  # one row
-    tree = tree.join(F.broadcast(whole), "root").withColumn("budget", F.least(budget.cast(BIG), F.col("_all"))).drop("_all")
+    tree = checkpointed(leaves.withColumn("_cap", cap).withColumn("root", F.lit(0)))
+    all_tokens, most = tree.agg(F.sum("tokens"), F.sum("_cap").cast(BIG).cast("string")).first()
+    tree = tree.withColumn("all_tokens", F.lit(all_tokens).cast("long")).withColumn("budget", F.least(budget.cast(BIG), F.lit(most).cast(BIG)))
     for i, level in enumerate(levels):
         parent = ["root", *levels[:i]]
         nodes = tree.groupBy(*parent, level).agg(F.sum("_cap").cast(BIG).alias("cap"), F.first("budget").alias("budget")).withColumn("weight", weight(level))
         shares = _share(nodes, parent, level, "budget").select(*parent, level, F.col("share").alias("budget"))
-        tree = tree.drop("budget").join(shares, [*parent, level])
+        # Each level reads the tree twice: without a cut the plan would double with every level.
+        tree = checkpointed(tree.drop("budget").join(shares, [*parent, level]))
     return tree.select(*levels, "tokens", F.col("budget").cast("long").alias("share"))
 
 
