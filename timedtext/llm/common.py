@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -56,6 +57,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and broadcasts of plans that nothing holds any more.
+
+    It does so when the driver collects garbage, which a driver with room in its heap puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new directory in the shared folder as a path that workers can map; needs a mounted file system.
 
