@@ -13,26 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from timedtext.llm import decontaminate, queries, secrets, simhash, toxicity
-from timedtext.llm.common import shared_folder, table
+from timedtext.llm.common import release, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return toxicity.without_toxic(docs, queries.trained_toxicity(spark, docs, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return secrets.redacted(docs, secrets.SecretLedger(spark).scan(docs), length_column="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return queries.mixture(docs)
 
 
