@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import countmin, decontaminate, mixing, ngram, secrets, simhash, suffixes, topk, toxicity, urlfilter
+from . import countmin, decontaminate, mixing, ngram, secrets, sharding, simhash, suffixes, topk, toxicity, urlfilter
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -182,3 +182,43 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ngram.train(docs, fold("id", 10) != 0)
     found = ngram.score(docs, model)
     return found.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+#: Shards of equal weight; one more of the same weight may come.
+SHARD_WEIGHTS = (1.0,) * 40
+
+
+@query
+def op13_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.placed(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_WEIGHTS, extra=1.0)
+    return sharding.with_slots(docs.drop("text"))
+
+
+#: A list of CRC-32's table, and the checksum of a text from the list of its bytes.
+CRC_TABLE_SQL = "(SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) FROM range(256) AS r(i))"
+
+
+def crc_sql(text: str, tab: str = "crc.tab") -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor({tab}[1 + (xor(a, b) & 255)], a >> 8)), 4294967295)"
+
+
+def _shard_sql() -> str:
+    m, (p, q), (f, g, k) = sharding.M31, sharding.PRIMES, sharding.FACTORS
+    h = f"xor(xor(xor(a, (shard + 1) * {sharding.SPREAD} & {m}) * {f} % {p}, b) * {g} % {q}, {sharding.TWIST}) * {k} % {p}"
+    return f"""
+WITH crc AS MATERIALIZED (SELECT {CRC_TABLE_SQL} AS tab),
+docs AS MATERIALIZED (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.OVERHEAD} AS size, {crc_sql("coalesce(text, '')")} AS text_crc32,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents, crc
+), keys AS (SELECT DISTINCT doc_id, CAST('0x' || digest[1:8] AS BIGINT) & {m} AS a, CAST('0x' || digest[9:16] AS BIGINT) & {m} AS b FROM docs),
+bids AS (SELECT doc_id, shard, -ln((CAST({h} AS DOUBLE) + 0.5) / {p}.0) AS bid FROM keys, range({len(SHARD_WEIGHTS) + 1}) AS r(shard)),
+won AS (
+  SELECT doc_id, CAST(arg_min(shard, (bid, shard)) FILTER (WHERE shard < {len(SHARD_WEIGHTS)}) AS INTEGER) AS shard, CAST(arg_min(shard, (bid, shard)) AS INTEGER) AS grown_shard
+  FROM bids GROUP BY doc_id
+), named AS (SELECT d.doc_id, d.size, CAST(d.text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, w.shard, w.grown_shard FROM docs d JOIN won w ON d.doc_id IS NOT DISTINCT FROM w.doc_id)
+SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', size, ':', text_crc32, ':key:', shard, ':', grown_shard))) - 1 AS slot FROM named
+"""
+
+
+SQL["op13_rendezvous_shards"] = _shard_sql()
