@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import countmin, decontaminate, mixing, ngram, secrets, sharding, simhash, suffixes, topk, toxicity, urlfilter
-from .common import fold, table
+from . import countmin, decontaminate, mixing, ngram, prefixtrie, runs, secrets, sharding, simhash, suffixes, topk, toxicity, urlfilter
+from .common import WORD_PATTERN, fold, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -222,3 +222,71 @@ SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5(concat(coalesce(CAS
 
 
 SQL["op13_rendezvous_shards"] = _shard_sql()
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which a tenth by id get a tail that repeats: word i >= a is word a + (i - a) % p."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    x = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).alias("words"))
+    x = x.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    x = x.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    unit = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.expr("CAST((n - a) div p + 1 AS INT)"))), F.lit(1), F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return x.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda a, r: F.when(a.isNull() | (r.length > a.length), r).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+    found = nodes.join(prefixtrie.end_digests(ends), ["conv_id", "depth"], "left")
+    return found.withColumn("ends_sha256", F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256))).drop("digest")
+
+
+SQL["op12_prefix_trie"] = f"""
+WITH crc AS MATERIALIZED (SELECT {CRC_TABLE_SQL} AS tab),
+t AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS MATERIALIZED (SELECT conv_id, {crc_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+parts AS (
+  SELECT c.conv_id, 0 AS own, t.k, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.k < c.h
+  UNION ALL SELECT c.conv_id, 1, t.k, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.k >= c.h
+), walked AS (
+  SELECT conv_id, 0 AS depth, 0 AS words, '' AS path FROM convs
+  UNION ALL SELECT conv_id, row_number() OVER w, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')),
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w
+  FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY own, k)
+), paths AS MATERIALIZED (SELECT conv_id, depth, words, md5(path) AS path FROM walked),
+linked AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS up, lead(depth) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS last FROM paths),
+nodes AS MATERIALIZED (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, max(up) AS up,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM linked GROUP BY depth, path
+), kids AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.depth = k.depth AND n.path = k.path),
+sums AS (
+  SELECT p.depth, p.path, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens
+  FROM paths p JOIN full_nodes x ON x.conv_id = p.conv_id AND x.depth >= p.depth GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON n.depth = s.depth AND n.path = s.path LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.path = n.up
+"""
