@@ -416,4 +416,4 @@ def s21_demo_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.build(cues, fixtures.demo_frames(spark), titles, 10, 5.0)[0]
 
 
-from . import queries_books  # noqa: E402, F401 - registers more
+from . import queries_books, queries_streams  # noqa: E402, F401 - register more
