@@ -80,6 +80,11 @@ def chosen_frames(spark: SparkSession, options: Options) -> tuple[DataFrame, Dat
     return frames.cached_frames(images, logs, decode, kept, options.frame_interval, options.threshold, options.crop), images.select("path", "content")
 
 
+def told(stage: str, counts: dict[str, int]) -> None:
+    """A line on the error stream for each thing that is done."""
+    print(f"{stage}: " + ", ".join(f"{n} {name}" for name, n in counts.items()), file=sys.stderr)
+
+
 def build(spark: SparkSession, options: Options) -> dict[str, str]:
     """Reads what the options name, resolves titles and durations (P19), makes the books and writes them."""
     from .operators.summaries import RESULT_CHECKPOINT
@@ -114,8 +119,9 @@ def build(spark: SparkSession, options: Options) -> dict[str, str]:
     link = F.when(own, F.coalesce(of(fetched.get("source_url") or options.source, "string"), F.col("video_id"))).otherwise(F.col("video_id"))
     provider = None if options.provider == "extractive" else plugged(options.provider)(options.model)
     kept = Checkpoints(spark, f"{options.checkpoints}/summaries", RESULT_CHECKPOINT) if options.checkpoints else None
-    pages, videos = book.build(cues, frames, known.select("video_id", "title", link.alias("source_url")), options.pages, options.reading_minutes, known.select("video_id", "duration"), provider, kept, options.workers, keep=keep)
-    return export(pages, videos, options.out, options.formats, images=images)
+    pages, videos = book.build(cues, frames, known.select("video_id", "title", link.alias("source_url")), options.pages, options.reading_minutes, known.select("video_id", "duration"), provider, kept, options.workers, keep=keep, report=told)
+    videos = book.with_source_warnings(videos, known, sampled=bool(options.images))
+    return export(pages, videos, options.out, options.formats, images=images, report=told)
 
 
 def demo(spark: SparkSession, out: str) -> dict[str, str]:

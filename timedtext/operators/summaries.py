@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized, stamp, with_excerpt, word_count
+from ..progress import Report
+from ..shared import new_folder
 from ..sources.checkpoints import Checkpoints, key_of
 from .sampling import pack_next_fit
 from .timeline import batches
@@ -93,54 +96,70 @@ def check_batch(records: list[dict], result: list[dict], max_words: int) -> str
     return None
 
 
-def summarize_batch(provider: Provider, records: list[dict], max_words: int) -> list[dict]:
-    """Up to ATTEMPTS tries; each after the first hears what was wrong.  No answer at all is final."""
+def asked(provider: Provider, records: list[dict], max_words: int, feedback: str | None) -> tuple[str | None, str | None]:
+    """One answer of the provider as JSON, and what is wrong with it."""
     if any(len(r["source_text"]) > MAX_SECTION for r in records):
         raise ValueError(f"a section exceeds {MAX_SECTION} characters")
-    feedback = None
-    for _ in range(ATTEMPTS):
-        result = provider.summarize(records, max_words, feedback)
-        if result is None:
-            raise RuntimeError("the provider gave no answer")
-        feedback = check_batch(records, result, max_words)
-        if feedback is None:
-            return result
-    raise RuntimeError(f"no valid summary after {ATTEMPTS} attempts: {feedback}")
+    result = provider.summarize(records, max_words, feedback)
+    if result is None:
+        return None, NO_ANSWER
+    try:
+        return json.dumps(result), check_batch(records, result, max_words)
+    except (AttributeError, KeyError, TypeError) as e:
+        return json.dumps(result, default=str), f"the answer lacks what was asked for: {e!r}"
 
 
-def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch_size: int = 4, checkpoints: Checkpoints | None = None, workers: int | None = None) -> DataFrame:
-    """Summaries of all pages, in batches of each video; batches whose key has results already are not asked for again.
+#: A provider's answers: the run that asked, the attempt, the answer and the rule that it breaks.
+RESULT_CHECKPOINT = "run string, attempt int, result string, problem string"
+NO_ANSWER = "the provider gave no answer"
+
+
+def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch_size: int = 4, checkpoints: Checkpoints | None = None, workers: int | None = None, report: Report | None = None) -> DataFrame:
+    """Summaries of all pages, in batches of each video.
+
+    Every answer is written and committed before anything is made of it, also those that break a rule: to checkpoints, or to
+    the shared folder where none are given.  So a batch is asked once for each attempt, whatever reads the summaries.  Up to
+    ATTEMPTS rounds ask for the batches that have no valid answer yet, telling what was wrong; no answer at all is final.
+    Batches whose key has a valid answer from before are not asked for (S18); invalid ones of other runs count for nothing.
 
     max_words: the budget of a page, or None where pages have it as a column.  workers: how many ask at once, by default as many
-    as there are cores.  A kept result that breaks a rule counts as none (S18).
+    as there are cores.  report: hears after each round how many batches there are, were kept, are done and were asked again.
     """
-    batch_size = min(8, max(1, batch_size))
+    spark, run, batch_size = pages.sparkSession, uuid.uuid4().hex, min(8, max(1, batch_size))
     grouped = batches(pages, batch_size, "number")
     record = F.struct(F.col("number").alias("page_id"), "start", "end", "source_text")
     records = F.transform(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))), lambda x: x.r)
     budget = F.lit(max_words) if max_words is not None else F.min("max_words")
     work = grouped.groupBy("video_id", "batch").agg(F.to_json(records).alias("records"), budget.cast("int").alias("words"))
     work = work.withColumn("key", key_of(F.lit(provider.name).alias("n"), F.lit(provider.version).alias("v"), F.col("words").alias("w"), F.col("records")))
-
-    def ask(frames):
-        for frame in frames:
-            yield frame.assign(result=[json.dumps(summarize_batch(provider, json.loads(r), int(w))) for r, w in zip(frame["records"], frame["words"])])[["key", "result"]]
-
-    def asked(missing: DataFrame) -> DataFrame:
-        missing = missing.select("key", "records", "words").dropDuplicates(["key"])
-        return (missing.repartition(workers) if workers else missing).mapInPandas(ask, "key string, result string")
-
-    if checkpoints is None:
-        results = work.join(asked(work), "key")
-    else:
-        readable = F.try_parse_json(F.col("result")).isNotNull()
-        checkpoints.add(asked(checkpoints.missing(work, readable)))
-        results = checkpoints.found(work, readable)
+    kept = checkpoints or Checkpoints(spark, new_folder(spark, "answers"), RESULT_CHECKPOINT)
+    valid = F.col("problem").isNull() & F.try_parse_json(F.col("result")).isNotNull()
+    distinct = work.select("key", "records", "words").dropDuplicates(["key"])
+
+    def answers(todo: DataFrame, attempt: int) -> DataFrame:
+        def ask(frames):
+            for frame in frames:
+                given = [asked(provider, json.loads(r), int(w), f) for r, w, f in zip(frame["records"], frame["words"], frame["feedback"])]
+                yield frame[["key"]].assign(run=run, attempt=attempt, result=[g[0] for g in given], problem=[g[1] for g in given])
+
+        return (todo.repartition(workers) if workers else todo).mapInPandas(ask, "key string, " + RESULT_CHECKPOINT)
+
+    todo = kept.missing(distinct, valid).withColumn("feedback", F.lit(None).cast("string"))
+    total, told = distinct.count() if report else 0, {}
+    for attempt in range(1, ATTEMPTS + 1):
+        seen = kept.add(answers(todo, attempt), valid=F.count_if(F.col("problem").isNull()), silent=F.count_if(F.col("result").isNull()))
+        if report:
+            told = {"batches": total, "kept": told.get("kept", total - seen.get("rows", 0)), "done": told.get("done", total - seen.get("rows", 0)) + seen.get("valid", 0), "retried": told.get("retried", 0) + (seen.get("rows", 0) if attempt > 1 else 0)}
+            report("summaries", told)
+        if not seen or seen["valid"] == seen["rows"]:
+            break
+        wrong = kept.rows().where((F.col("run") == run) & (F.col("attempt") == attempt) & F.col("problem").isNotNull()).select("key", F.col("problem").alias("feedback"))
+        if seen["silent"] or attempt == ATTEMPTS:
+            last = wrong.orderBy(F.col("feedback") != NO_ANSWER, "key").first()
+            raise RuntimeError(last.feedback if seen["silent"] else f"no valid summary after {ATTEMPTS} attempts: {last.feedback}")
+        todo = distinct.join(wrong, "key")
     item = "array<struct<page_id:int,title:string,summary:string,bullets:array<string>,takeaway:string,chapter:string,uncertainty:string,evidence:array<string>>>"
-    return results.select("video_id", F.inline(F.from_json("result", item)))
-
-
-RESULT_CHECKPOINT = "result string"
+    return kept.found(work, valid).select("video_id", F.inline(F.from_json("result", item)))
 
 
 def overview_source(pages: DataFrame) -> DataFrame:
@@ -159,20 +178,20 @@ def overview_source(pages: DataFrame) -> DataFrame:
     return chunks.join(chunks.groupBy("video_id").agg(F.count("*").alias("chunks")), "video_id")
 
 
-def overview(pages: DataFrame, durations: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None) -> DataFrame:
+def overview(pages: DataFrame, durations: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None, report: Report | None = None) -> DataFrame:
     """One overview page (number 2) for each video, by as many levels of reduction as its text needs."""
     current, done = pages, []
     for level in range(MAX_LEVELS + 1):
         sources = overview_source(current).join(durations.select("video_id", "duration"), "video_id")
         as_pages = lambda number, rows: rows.select("video_id", number.cast("int").alias("number"), F.lit(0.0).alias("start"), F.col("duration").alias("end"), "source_text")
         last = as_pages(F.lit(2), sources.where("chunks = 1"))
-        done.append(summarize(last, provider, OVERVIEW_WORDS, 1, checkpoints).join(last, "video_id"))
+        done.append(summarize(last, provider, OVERVIEW_WORDS, 1, checkpoints, None, report).join(last, "video_id"))
         more = as_pages(F.lit(1_000_000 + level * 10_000) + F.col("chunk"), sources.where("chunks > 1"))
         if more.isEmpty():
             break
         if level == MAX_LEVELS:
             raise RuntimeError("the overview did not get short enough")
-        current = summarize(more, provider, OVERVIEW_WORDS, 4, checkpoints).withColumnRenamed("page_id", "number").join(durations.select("video_id", F.lit(0.0).alias("start"), F.col("duration").alias("end")), "video_id")
+        current = summarize(more, provider, OVERVIEW_WORDS, 4, checkpoints, None, report).withColumnRenamed("page_id", "number").join(durations.select("video_id", F.lit(0.0).alias("start"), F.col("duration").alias("end")), "video_id")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

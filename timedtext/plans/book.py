@@ -11,6 +11,8 @@ from ..functions.text import clock, general, word_count
 from ..operators import summaries
 from ..operators.summaries import Provider, extractive, visible_text
 from ..operators.timeline import unpictured
+from ..progress import Report
+from ..shared import written
 from ..sources.checkpoints import Checkpoints
 from .planner import durations_of, input_errors, plan_pages
 
@@ -96,6 +98,21 @@ def warnings(figures: DataFrame, requested_pages: int, extractive_mode: bool = T
     return figures.select("video_id", F.array_distinct(F.filter(found, lambda w: w.isNotNull())).alias("warnings"))
 
 
+#: What a reader of a book is told about where its times come from, by how its duration was found.
+DURATION_WARNINGS = {"inferred": "No duration was known: the last caption's end stands for it.", "extended": "Captions go on after the known duration, which was extended to their end."}
+SAMPLED_WARNING = "Visual changes were looked for in images taken at intervals; shorter ones can be missing."
+
+
+def with_source_warnings(videos: DataFrame, sources: DataFrame, sampled: bool = False) -> DataFrame:
+    """Videos whose warnings also tell how the duration was found and, if sampled, how changes were.
+
+    sources: video_id and duration_from."""
+    how = F.coalesce(*[F.when(F.col("duration_from") == k, F.lit(w)) for k, w in DURATION_WARNINGS.items()])
+    more = F.array(how, F.when(F.lit(sampled) & (F.col("captured_visual_states") > 0), F.lit(SAMPLED_WARNING)))
+    joined = videos.join(sources.select("video_id", "duration_from"), "video_id", "left")
+    return joined.withColumn("warnings", F.array_distinct(F.concat(F.filter(more, lambda w: w.isNotNull()), "warnings"))).drop("duration_from")
+
+
 class Unusable(ValueError):
     """What keeps a book from being made."""
 
@@ -107,22 +124,24 @@ def refuse(found: DataFrame, what: str) -> None:
         raise Unusable(f"{what} of {wrong[0]['video_id']}: {wrong[0]['error']}")
 
 
-def summarized(content: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None, workers: int | None = None) -> DataFrame:
+def summarized(content: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None, workers: int | None = None, report: Report | None = None) -> DataFrame:
     """Content pages (with max_words) with a provider's summaries, all of which keep the rules."""
-    made = summaries.summarize(content, provider, None, checkpoints=checkpoints, workers=workers)
+    made = summaries.summarize(content, provider, None, checkpoints=checkpoints, workers=workers, report=report)
     checked = summaries.validate(content, made, F.col("max_words"))
     refuse(checked.where("problem IS NOT NULL").select("video_id", F.concat_ws(": ", F.col("number").cast("string"), "problem").alias("error")), "page")
     return summaries.apply_summaries(checked)
 
 
-def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 200, minutes: float = 60.0, durations: DataFrame | None = None, provider: Provider | None = None, checkpoints: Checkpoints | None = None, workers: int | None = None, check: bool = True, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
+def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 200, minutes: float = 60.0, durations: DataFrame | None = None, provider: Provider | None = None, checkpoints: Checkpoints | None = None, workers: int | None = None, check: bool = True, keep: Callable[[DataFrame, str], DataFrame] | None = None, report: Report | None = None) -> tuple[DataFrame, DataFrame]:
     """Books: all pages, and a row for each video with its figures and warnings.
 
     titles: video_id, title, source_url.  Without a provider, pages show excerpts of their own text (X05).  What forbids a plan
     (P02), a budget that leaves fewer than LEAST_WORDS a page, and a summary that breaks a rule raise; check=False leaves out
-    the first of these.  keep(table, name) may write a table that is read more than once and give back what it wrote.
+    the first of these.  keep(table, name) writes a table that is read more than once and gives back what it
+    wrote, by default in the shared folder.  report: hears how many batches a provider has answered.
     """
     durations = durations_of(cues) if durations is None else durations
+    keep = keep or written(cues.sparkSession)
     if check:
         refuse(input_errors(cues, frames, durations), "input")
     told = with_budgets(plan_pages(cues, frames, durations, pages - 2), frames, minutes)
@@ -131,8 +150,8 @@ def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 20
     if provider is None:
         book = assemble(extractive(told, F.col("max_words")), videos, minutes)
     else:
-        content = keep(summarized(told, provider, checkpoints, workers), "summaries")
-        book = assemble(content, videos, minutes, summaries.overview(content, durations, provider, checkpoints))
+        content = keep(summarized(told, provider, checkpoints, workers, report), "summaries")
+        book = assemble(content, videos, minutes, summaries.overview(content, durations, provider, checkpoints, report))
     book = keep(book, "pages")
     figures = totals(book, cues, frames, minutes)
     notes = warnings(figures, pages, provider is None)

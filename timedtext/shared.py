@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +34,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a table of some name to a new folder, for what is read more than once, and reads it again."""
+    folder = new_folder(spark, "tables")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import source_link
 from ..functions.text import clock, data_url, escape_html, general, shorten
+from ..progress import Report, counted
 
 #: What exported pages call their parts.
 COVER, OVERVIEW, SUMMARY, EXCERPT = "READING TARGET", "AT A GLANCE", "PRESENTER SUMMARY", "TRANSCRIPT EXCERPT"
@@ -220,9 +221,9 @@ def with_images(pages: DataFrame, videos: DataFrame, images: DataFrame) -> tuple
     return pages.join(urls, "frame_path", "left"), videos.join(told, "video_id", "left").withColumn("warnings", both).drop("_more")
 
 
-def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ...] = FORMATS, writer: Callable | None = None, images: DataFrame | None = None) -> dict[str, str]:
+def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ...] = FORMATS, writer: Callable | None = None, images: DataFrame | None = None, report: Report | None = None) -> dict[str, str]:
     """Checks first, then writes each format in a fixed order, JSON last.  writer(slides, path): an optional binary sink;
-    images: path and content of the pages' images."""
+    images: path and content of the pages' images; report: hears how many rows each format has."""
     wrong = export_errors(pages, formats).take(1)
     if wrong:
         raise ValueError(f"page {wrong[0]['number']} of {wrong[0]['video_id']}: {wrong[0]['error']}")
@@ -232,16 +233,21 @@ def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ..
     if images is not None:
         shown, videos = with_images(pages, videos, images)
     done = {}
+
+    def write(name: str, table: DataFrame) -> None:
+        table, seen = counted(table)
+        table.write.mode("overwrite").parquet(done[name])
+        if report:
+            report(name, dict(seen.get))
+
     for name in FORMATS:
         if name in formats or name == "json":
             done[name] = f"{out}/{name}"
             if name in ("slides", "layout"):
                 table = slides(pages, videos)
-                table.write.mode("overwrite").parquet(done[name])
+                write(name, table)
                 if writer:
                     writer(table, f"{done[name]}-files")
-            elif name == "html":
-                html_books(shown, videos).write.mode("overwrite").parquet(done[name])
             else:
-                json_books(pages, videos).write.mode("overwrite").parquet(done[name])
+                write(name, html_books(shown, videos) if name == "html" else json_books(pages, videos))
     return done
