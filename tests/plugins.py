@@ -19,10 +19,16 @@ class Teller:
 
 
 class Shelf:
-    """Fetches from a folder beside this file's caller: the URL is a path."""
+    """Fetches captions from a folder, which is the URL."""
 
-    def fetch(self, url, folder, language="en", download_video=True):
-        return {"title": "Fetched", "source_url": "https://example.org/v", "duration": 500.0, "transcript_path": str(Path(url) / f"{language}.srt"), "warnings": ["no video"]}
+    def metadata(self, url):
+        return {"id": url, "title": "Fetched", "source_url": "https://example.org/v", "duration": 500.0, "subtitles": {"de": ["srt"]}}
+
+    def captions(self, url, code, automatic, folder):
+        return str(Path(url) / f"{code}.srt")
+
+    def video(self, url, folder):
+        raise OSError("no video here")
 
 
 def grey(content, shape):

@@ -51,13 +51,64 @@ def test_summaries_of_a_fetched_source(spark, tmp_path, capsys):
     flags = ["build", "--source", str(tmp_path / "site"), "--connector", "plugins:Shelf", "--language", "de", "--provider", "plugins:Teller", "--model", "M", "--pages", "6", "--workers", "2", "--transcript-only", "--formats", "html", "--checkpoints", f"file://{tmp_path}/kept", "--out", f"file://{tmp_path}/out"]
     assert program.run(flags) == 0
     said = capsys.readouterr().err
-    assert "note: no video" in said and "summaries: 1 batches, 0 kept, 0 done" in said and "1 done, 1 retried" in said and "html: 1 rows" in said
+    assert "note:" not in said and "summaries: 1 batches, 0 kept, 0 done" in said and "1 done, 1 retried" in said and "html: 1 rows" in said
     made = books(spark, f"file://{tmp_path}/out")["de"]
     assert (made["title"], made["source_url"], made["duration"]) == ("Fetched", "https://example.org/v", 500.0)
     assert [p["title"] for p in made["pages"]] == ["Fetched", "M 2", "M 3", "M 4", "M 5", "M 6"]
     assert made["pages"][2]["bullets"] == [] and book.EXTRACTIVE_WARNING not in made["warnings"]
 
 
+def mp4(seconds):
+    """The boxes of a film that has a header and no more."""
+    box = lambda name, body: (len(body) + 8).to_bytes(4) + name + body
+    return box(b"ftyp", b"isom") + box(b"mdat", bytes(9)) + box(b"moov", box(b"mvhd", bytes(12) + (1000).to_bytes(4) + int(seconds * 1000).to_bytes(4) + bytes(80)))
+
+
+def test_folder_that_is_fetched_and_probed(spark, tmp_path, capsys):
+    source = tmp_path / "site"
+    (source / "automatic").mkdir(parents=True)
+    source.joinpath("info.json").write_text(json.dumps({"id": "x", "title": "From a folder"}))
+    source.joinpath("automatic/en-GB.vtt").write_text("WEBVTT\n\n" + "\n".join(f"00:{i // 60:02}:{i % 60:02}.000 --> 00:{i // 60:02}:{i % 60:02}.900\n" + " ".join(f"w{i}x{k}" for k in range(12)) + "\n" for i in range(60)))
+    source.joinpath("video.mp4").write_bytes(mp4(75.25))
+    flags = ["build", "--source", str(source), "--connector", "timedtext.sources.fetched:Folder", "--pages", "6", "--out", f"file://{tmp_path}/out"]
+    assert program.run(flags) == 0
+    said = capsys.readouterr().err
+    assert "tells no duration" in said and "made by a machine" in said
+    made = next(iter(books(spark, f"file://{tmp_path}/out").values()))
+    assert (made["title"], made["duration"]) == ("From a folder", 75.25) and not set(book.DURATION_WARNINGS.values()) & set(made["warnings"])
+    with pytest.raises(book.Unusable, match="shorter than the video"):
+        program.run([*flags, "--duration", "70"])
+    source.joinpath("automatic/en-GB.vtt").unlink()
+    with pytest.raises(ValueError, match="gave no captions"):
+        program.run(flags)
+
+
+def test_sources_as_a_data_source(spark, tmp_path):
+    from timedtext.sources import fetched
+
+    for name, info in (("a", {"title": "A", "duration": 9}), ("b", {"entries": [1]}), ("c", {"title": "C", "duration": "nan"})):
+        (tmp_path / name / "captions").mkdir(parents=True)
+        (tmp_path / name / "info.json").write_text(json.dumps(info))
+    (tmp_path / "a/captions/en.srt").write_text("1")
+    (tmp_path / "c/captions/fr.srt").write_text("1")
+    (tmp_path / "c/video.mov").write_bytes(mp4(3)[:40])
+    spark.dataSource.register(fetched.Sources)
+    urls = [f"file://{tmp_path}/{n}" for n in "abcd"]
+    options = {"urls": json.dumps(urls), "connector": "timedtext.sources.fetched:Folder", "folder": f"{tmp_path}/got"}
+    frame = spark.read.format("timedtext_sources").options(**options).load()
+    assert frame.rdd.getNumPartitions() == 4 and frame.schema.simpleString() == spark.createDataFrame([], fetched.FETCHED).schema.simpleString()
+    got = {r.url[-1]: r for r in frame.collect()}
+    assert (got["a"].title, got["a"].duration, got["a"].warnings) == ("A", 9.0, ["no usable video was saved"]) and got["a"].transcript_path.endswith("en.srt")
+    assert "not a list" in got["b"].error and "metadata could not be fetched" in got["d"].error
+    assert [w[:30] for w in got["c"].warnings] == ["the source tells no duration; ", "the source has no captions in ", "the video's duration is unknow"] and got["c"].probed_duration is None
+    told = fetched.source_warnings(frame).where("level = 'error'").collect()
+    assert sorted(r.url[-1] for r in told) == ["b", "d"]
+    again = fetched.fetch(spark.createDataFrame([(u,) for u in urls], "url string"), fetched.Folder(), f"{tmp_path}/again", workers=2)
+    assert sorted((r.url, r.warnings, r.error) for r in again.collect()) == sorted((r.url, r.warnings, r.error) for r in got.values())
+    with pytest.raises(Exception, match="must be given"):
+        spark.read.format("timedtext_sources").option("urls", "[]").load().collect()
+
+
 def test_input_that_forbids_a_plan(spark):
     cues = spark.createDataFrame([("a", 0, 0.0, 9.0, "some words"), ("b", 0, 3.0, 2.0, "turned round")], CUES)
     titles = cues.select("video_id", F.lit("t").alias("title"), F.lit("").alias("source_url"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
-import importlib
+import json
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .options import FORMATS, Options
+from .sources.fetched import Sources, plugged, shorter
 
 #: Flags of build beside its positional one: name, how it is read, and what it is.
 FLAGS: tuple[tuple[str, dict, str], ...] = (
@@ -51,11 +52,6 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def plugged(name: str):
-    module, _, attribute = name.partition(":")
-    return getattr(importlib.import_module(module), attribute)
-
-
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
 
@@ -100,10 +96,14 @@ def build(spark: SparkSession, options: Options) -> dict[str, str]:
 
     fetched, folders = {}, [options.transcripts] if options.transcripts else []
     if options.source:
-        fetched = plugged(options.connector)().fetch(options.source, f"{options.out}/sources", options.language, not options.transcript_only)
-        folders.append(fetched["transcript_path"])
-        for warning in fetched.get("warnings", []):
+        spark.dataSource.register(Sources)
+        asked = {"urls": json.dumps([options.source]), "connector": options.connector, "folder": f"{options.out}/sources", "language": options.language, "video": str(not options.transcript_only).lower()}
+        fetched = keep(spark.read.format(Sources.name()).options(**asked).load(), "fetched").first().asDict()
+        for warning in fetched["warnings"]:
             print(f"note: {warning}", file=sys.stderr)
+        if fetched["error"] or not fetched["transcript_path"]:
+            raise ValueError(fetched["error"] or f"{options.source} gave no captions")
+        folders.append(fetched["transcript_path"])
     files = spark.read.text(folders, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     cues = keep(captions.load_transcripts(files, stem(F.col("path"))), "cues")
     frames, images = chosen_frames(spark, options)
@@ -113,8 +113,10 @@ def build(spark: SparkSession, options: Options) -> dict[str, str]:
     of = lambda value, kind: F.lit(value).cast(kind)
     sources = ends.select(
         "video_id", F.coalesce(of(options.title, "string"), F.when(~own, F.col("video_id"))).alias("given_title"), F.when(own, of(fetched.get("title"), "string")).alias("fetched_title"),
-        of(options.duration, "double").alias("given_duration"), F.when(own, of(fetched.get("duration"), "double")).alias("fetched_duration"), of(None, "double").alias("probed_duration"),
+        of(options.duration, "double").alias("given_duration"), F.when(own, of(fetched.get("duration"), "double")).alias("fetched_duration"), F.when(own, of(fetched.get("probed_duration"), "double")).alias("probed_duration"),
     )
+    cut = sources.where(shorter(F.col("given_duration"), F.col("probed_duration")))
+    book.refuse(cut.select("video_id", F.lit("the given duration is shorter than the video").alias("error")), "duration")
     known = keep(tracks.resolve(sources, ends), "sources")
     link = F.when(own, F.coalesce(of(fetched.get("source_url") or options.source, "string"), F.col("video_id"))).otherwise(F.col("video_id"))
     provider = None if options.provider == "extractive" else plugged(options.provider)(options.model)

@@ -1,25 +1,11 @@
-"""What is known of a source before its files are read.
-
-Fetching needs a network and a downloader, and probing needs a media tool; neither is part of this package.  Connector states
-the interface that a fetcher or a prober plugs into; the operators here work on the tables that it fills.
-"""
+"""What is known of a source before its files are read, in tables; fetched.py fills them."""
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class Connector(Protocol):
-    """Gives title, source_url, duration, the paths of what was fetched, and warnings for what was not."""
-
-    def fetch(self, url: str, folder: str, language: str = "en", download_video: bool = True) -> dict: ...
-
-    def duration(self, path: str) -> float: ...
-
-
 def choose_tracks(tracks: DataFrame, language: str = "en") -> DataFrame:
     """One track for each video: manual before automatic, the language itself before its variants, then the shortest code.
 
