@@ -461,6 +461,22 @@ def test_url_rules_equal_brute_force(spark):
     assert all(got[i].verdict == "block" for i in (13, 14, 15, 20)) and got[16].verdict == "allow"
 
 
+def test_long_hosts_hot_urls_and_empty_tables(spark):
+    """A host of 20,000 labels has no more probes than a rule has labels; a url in a third of all rows gets its verdict in each."""
+    host = ".".join(["a"] * 20_000)
+    rows = [(0, f"http://{host}.net/es/x"), (1, f"http://{host}.example.com/en/"), (2, f"http://{host}/fr/")] + [(10 + i, "http://x.net/fr/1" if i % 3 == 0 else f"http://h{i}.org/") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("http://h1.org",)], "url string")
+    began = __import__("time").perf_counter()
+    got = {r.page_id: r for r in urlfilter.judge(frame, urlfilter.rules_frame(spark, queries.URL_RULES), listed).collect()}
+    assert __import__("time").perf_counter() - began < 30
+    assert [got[i].rule for i in range(3)] == ["net/es/", "example.com/en/", None] and len(got) == 3003
+    assert all((got[10 + i].rule == "net/fr/") == (i % 3 == 0) and (got[10 + i].verdict == "block") == (i % 3 == 0 or i == 1) for i in range(3000))
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urlfilter.judge(empty, urlfilter.rules_frame(spark, queries.URL_RULES), empty).count() == 0
+    assert urlfilter.judge(frame.limit(5), urlfilter.rules_frame(spark, []), empty).where("verdict = 'allow'").count() == 5
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     blocks, n = urlfilter.bloom_blocks(keys)
@@ -735,6 +751,40 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(x < 0 for x in first.values()) and blank < 0 and model.distinct == 6
 
 
+def test_lost_model_file_is_an_error(spark, docs):
+    import glob
+    import os
+
+    model = ngram.train(docs)
+    assert len(ngram.score(docs, model).collect()) == docs.count()
+    for kind in ("pair", "contexts", "count"):
+        path = sorted(glob.glob(f"{model.folder}/{kind}-[0-9]*"))[0]
+        os.rename(path, f"{path}.lost")
+        with pytest.raises(Exception, match=f"{kind}-[0-9]+ is not in"):
+            ngram.score(docs, model).collect()
+        os.rename(f"{path}.lost", path)
+    assert len(ngram.score(docs, model).collect()) == docs.count()
+
+
+def test_driver_hears_of_each_frequent_context_once(spark, docs, texts, monkeypatch):
+    """The same scores from one shard and from many, and a row a context for the driver, not one a context and shard."""
+    rows = [r.text for r in docs.collect()]
+    wanted, _ = kneser_ney_model(rows, list(range(len(rows))))
+    collected = []
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    collect = Classic.collect
+    monkeypatch.setattr(Classic, "collect", lambda self: collected.append((self.columns, len(out := collect(self)))) or out)
+    for size in (1 << 24, 4000):
+        monkeypatch.setattr(ngram, "SHARD_BYTES", size)
+        collected.clear()
+        model = ngram.train(docs)
+        heard = [n for columns, n in collected if columns[:1] == ["context"]]
+        assert len(heard) == 1 and heard[0] <= len(model.hot) <= 4 * model.shards + 1 and (model.shards > 5) == (size == 4000)
+        got = sorted(r.score for r in ngram.score(docs, model).collect())
+        assert got == pytest.approx(sorted(x[3] for x in wanted), rel=1e-9)
+
+
 # registry ----------------------------------------------------------------------------------------------------------
 
 

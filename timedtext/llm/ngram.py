@@ -59,7 +59,9 @@ class Model:
     vocabulary: list[int] = field(default_factory=list)  # words in each shard
     tokens: int = 0
     texts: int = 0
-    hot: dict[int, tuple[int, int, int]] = field(default_factory=dict)  # frequent contexts: words that follow once, twice, more
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # frequent contexts in order, and for each how
+    after_hot: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))  # many words follow once, twice, more
+    present: dict[str, bytes] = field(default_factory=dict)  # for each kind of file a bit a shard: whether it was written
     pairs: int = 0
     discounts: tuple[float, float, float] = FALLBACK
     word_discounts: tuple[float, float, float] = FALLBACK
@@ -78,6 +80,15 @@ class Model:
         """The end token's id; as a context, the start token's."""
         return self.words
 
+    def wrote(self, shards: list[int], *names: str) -> None:
+        bits = np.zeros(self.shards, bool)
+        bits[shards] = True
+        self.present |= dict.fromkeys(names, np.packbits(bits).tobytes())
+
+    def has(self, name: str, shard: int) -> bool:
+        bits = self.present.get(name, b"")
+        return shard >> 3 < len(bits) and bool(bits[shard >> 3] >> (7 - (shard & 7)) & 1)
+
     def span(self, shard: int) -> tuple[int, int]:
         """The ids, start and end tokens included, whose arrays a shard holds."""
         n = self.words + 1
@@ -97,17 +108,22 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
 
 
 class _Maps:
-    """The files of one kind by shard, mapped when they are first asked for; a shard without a file has an empty array."""
+    """The files of one kind by shard, mapped when they are first asked for.
 
-    def __init__(self, folder: str, name: str, dtype):
-        self.folder, self.name, self.dtype, self.open = folder, name, dtype, OrderedDict()
+    A shard for which none was written has an empty array; one that was written but is not there is an error, as scores without
+    it would be wrong."""
+
+    def __init__(self, model: Model, name: str, dtype):
+        self.model, self.name, self.dtype, self.open = model, name, dtype, OrderedDict()
 
     def __getitem__(self, shard: int) -> np.ndarray:
         if shard not in self.open:
             if len(self.open) >= MAPPED:
                 self.open.popitem(last=False)
-            there = os.path.exists(f"{self.folder}/{self.name}-{shard}")
-            self.open[shard] = _map(self.folder, f"{self.name}-{shard}", self.dtype) if there else np.zeros(0, self.dtype)
+            there = self.model.has(self.name, shard)
+            if there and not os.path.exists(f"{self.model.folder}/{self.name}-{shard}"):
+                raise FileNotFoundError(f"the model's file {self.name}-{shard} is not in {self.model.folder}: it was lost, or this executor does not see the shared folder")
+            self.open[shard] = _map(self.model.folder, f"{self.name}-{shard}", self.dtype) if there else np.zeros(0, self.dtype)
         return self.open[shard]
 
 
@@ -213,8 +229,8 @@ class Lookup:
         self.m = m = model
         self.offsets = np.r_[0, np.cumsum(m.vocabulary)].astype(np.int64)
         self.starts = np.array([m.span(s)[0] for s in range(m.shards)], np.int64)
-        self.hot = np.array(sorted(m.hot), np.uint64)
-        self.hashes, self.counts = _Maps(m.folder, "word", np.uint64), _Maps(m.folder, "count", np.int64)
+        self.hot = m.hot.astype(np.uint64)
+        self.hashes, self.counts = _Maps(m, "word", np.uint64), _Maps(m, "count", np.int64)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1: unknown) and count of each word hash."""
@@ -304,6 +320,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
             model.vocabulary[shard] = n
             model.tokens += tokens
     model.tokens += model.texts  # end tokens
+    model.wrote(np.flatnonzero(model.vocabulary).tolist(), "word", "count")
     if model.words >= 2**32:
         raise ValueError("there are more distinct words than ids")
 
@@ -319,7 +336,8 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(at + lookup.offsets[s])], ["id"])
 
     found = [r[0] for r in spark.range(0, shards, 1, min(shards, 10_000)).mapInArrow(frequent, "id long").collect()]
-    model.hot = {i: (0, 0, 0) for i in [*found, *([model.end] if model.texts >= least else [])]}
+    model.hot = np.unique(np.array([*found, *([model.end] if model.texts >= least else [])], np.int64))
+    model.after_hot = np.zeros((len(model.hot), 3), np.int64)
     held = _sent(spark, model)
 
     def pair_shard():
@@ -348,27 +366,36 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
         _write(folder, f"large-{shard}", key[large])
         _write(folder, f"large-times-{shard}", count[large])
         context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        hot, of = np.isin(context, list(m.hot)), np.minimum(count, 3) - 1
+        hot, of = np.isin(context, m.hot), np.minimum(count, 3) - 1
         lo, hi = m.span(shard)
         out = [(2, shard, np.array([len(key), *(int((count == k).sum()) for k in (1, 2, 3, 4))], np.int64).tobytes())]
         after = np.stack([np.bincount(context[~hot & (of == k)] - lo, minlength=hi - lo) for k in range(3)], axis=1) if hi > lo else np.zeros((0, 3))
         _write(folder, f"after-{shard}", after.astype(np.uint32))
-        for c in np.unique(context[hot]).tolist():
-            out.append((3, shard, np.array([c, *(int((of[context == c] == k).sum()) for k in range(3))], np.int64).tobytes()))
+        follow = np.bincount(np.searchsorted(m.hot, context[hot]) * 3 + of[hot], minlength=3 * len(m.hot)).reshape(-1, 3)
+        met = np.flatnonzero(follow.any(axis=1))
+        out.append((3, shard, np.column_stack([m.hot[met], follow[met]]).astype(np.int64).tobytes()))
         names, n = np.unique(word, return_counts=True)
         out += [(0, r, body) for r, body in _split(names.astype(np.uint64), n.astype(np.int64), own_shard()(names) // width)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["kind", "shard", "body"])
 
     counted = checkpointed(_dealt(rows.mapInArrow(pairs, MESSAGE), shards, total, pair_shard).groupBy("shard").applyInArrow(keep_pairs, MESSAGE))
-    times = np.zeros(5, np.int64)
-    for kind, _, body in counted.where("kind >= 2").collect():
-        row = np.frombuffer(body, np.int64)
-        if kind == 2:
-            times += row
-        else:
-            model.hot[int(row[0])] = tuple(int(a + b) for a, b in zip(model.hot[int(row[0])], row[1:]))
+    times, shards_written = np.zeros(5, np.int64), []
+    for shard, body in counted.where("kind = 2").select("shard", "body").collect():
+        times += np.frombuffer(body, np.int64)
+        shards_written.append(shard)
+    model.wrote(shards_written, "pair", "times", "large", "large-times", "after")
     model.pairs, model.discounts = int(times[0]), _of_counts(times[1:].tolist())
 
+    def unpacked(batches):
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["context", "n1", "n2", "n3"])
+
+    # Every shard may hold words after every frequent context; they are added up by context before the driver hears of them.
+    followed = counted.where("kind = 3").select("body").mapInArrow(unpacked, "context long, n1 long, n2 long, n3 long")
+    for context, *n in followed.groupBy("context").agg(*[F.sum(f"n{k}") for k in (1, 2, 3)]).collect():
+        model.after_hot[np.searchsorted(model.hot, context)] = n
+
     def keep_continuations(table):
         shard = table.column("shard")[0].as_py()
         lo, hi = Model(**held.value).span(shard)
@@ -376,11 +403,13 @@ def train(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
         out = np.zeros(hi - lo, np.uint32)
         out[key.astype(np.int64) - lo] = count
         _write(folder, f"contexts-{shard}", out)
-        return pa.table({f"n{k}": pa.array([int((count == k).sum())]) for k in (1, 2, 3, 4)} | {"more": pa.array([int((count >= 3).sum())])})
+        return pa.table({"shard": pa.array([shard], pa.int32())} | {f"n{k}": pa.array([int((count == k).sum())]) for k in (1, 2, 3, 4)} | {"more": pa.array([int((count >= 3).sum())])})
 
-    ns = np.zeros(5, np.int64)
-    for r in _dealt(counted.where("kind = 0"), shards, total, own_shard).groupBy("shard").applyInArrow(keep_continuations, "n1 long, n2 long, n3 long, n4 long, more long").collect():
-        ns += np.array(r)
+    ns, shards_written = np.zeros(5, np.int64), []
+    for r in _dealt(counted.where("kind = 0"), shards, total, own_shard).groupBy("shard").applyInArrow(keep_continuations, "shard int, n1 long, n2 long, n3 long, n4 long, more long").collect():
+        ns += np.array(r[1:])
+        shards_written.append(r[0])
+    model.wrote(shards_written, "contexts")
     model.word_discounts = _of_counts(ns[:4].tolist())
     if model.pairs:
         model.word_mass = float(np.dot(model.word_discounts, [ns[0], ns[1], ns[4]]) / model.pairs)
@@ -393,9 +422,9 @@ class Scorer(Lookup):
     def __init__(self, model: Model):
         super().__init__(model)
         m = model
-        self.pairs, self.times = _Maps(m.folder, "pair", np.uint64), _Maps(m.folder, "times", np.uint8)
-        self.large, self.large_times = _Maps(m.folder, "large", np.uint64), _Maps(m.folder, "large-times", np.int64)
-        self.after, self.contexts = _Maps(m.folder, "after", np.uint32), _Maps(m.folder, "contexts", np.uint32)
+        self.pairs, self.times = _Maps(m, "pair", np.uint64), _Maps(m, "times", np.uint8)
+        self.large, self.large_times = _Maps(m, "large", np.uint64), _Maps(m, "large-times", np.int64)
+        self.after, self.contexts = _Maps(m, "after", np.uint32), _Maps(m, "contexts", np.uint32)
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out, shard = np.zeros(len(keys), np.int64), self.pair_shard(keys)
@@ -436,8 +465,8 @@ class Scorer(Lookup):
             known[:] = False
         contexts, to = np.unique(before[known], return_inverse=True)
         after = self._gather(self.after, contexts, 3)
-        for c, n3 in m.hot.items():
-            after[contexts == c] = n3
+        hot = np.isin(contexts, m.hot)
+        after[hot] = m.after_hot[np.searchsorted(m.hot, contexts[hot])]
         total = np.full(len(contexts), m.texts, np.int64)
         total[contexts < m.end] = self.token_counts(contexts[contexts < m.end])
         free = (after @ np.array(m.discounts)) / total

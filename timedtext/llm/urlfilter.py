@@ -90,8 +90,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     lengths = sorted(r[0] for r in rules.where(F.col("path").isNotNull()).select(F.length("path")).distinct().collect())
 
     distinct = urls.where(F.col("url").contains("://")).select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # No suffix with more labels than a rule's host can be one's: a host's probes are as many as a rule has labels.
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     rule_probes = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("R"), s, F.lit("\x00"), p))))
     probes = distinct.select("url", F.explode(F.array_union(rule_probes, F.array(F.concat(F.lit("U"), canonical(F.col("url")))))).alias("key"))
@@ -103,7 +105,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
         F.min(F.when(F.col("rule").isNotNull(), F.struct((-F.length("rule")).alias("n"), "rule", F.when(F.col("action") == "block", 0).otherwise(1).alias("a"), "action"))).alias("best"),
         F.max(F.col("rule").isNull()).alias("listed"),
     )
-    joined = urls.join(best.withColumnRenamed("url", "hit"), F.col("url") == F.col("hit"), "left")
+    # As a column made anew, the key is dealt out for the join on both sides, so that a url in very many rows can be split.
+    joined = urls.join(best.withColumn("hit", F.concat("url", F.lit(""))).drop("url"), F.col("url") == F.col("hit"), "left")
     listed_too = F.coalesce("listed", F.lit(False))
     return joined.select(
         id_column,
