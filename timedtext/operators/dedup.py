@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,37 @@ def _keys(text: Column, exact: bool) -> Column:
     return F.transform(F.split(folded, " "), lambda w: word_key(w))
 
 
+def overlap_length(left: list, right: list) -> int:
+    """The greatest n for which left's last n entries are right's first n, in time linear in the shorter of them.
+
+    border[i] is how many of right's first entries also end the stretch of its first i; after a mismatch the match goes on from
+    there, so no entry is compared anew from the start."""
+    most = min(len(left), len(right))
+    if not most or right[0] not in left[-most:]:
+        return 0
+    border = [0] * (most + 1)
+    k = 0
+    for i in range(1, most):
+        while k and right[i] != right[k]:
+            k = border[k]
+        k += right[i] == right[k]
+        border[i + 1] = k
+    n = 0
+    for entry in left[-most:]:
+        while n and (n == most or entry != right[n]):
+            n = border[n]
+        n += entry == right[n]
+    return n
+
+
 def overlap(left: Column, right: Column) -> Column:
-    """the greatest n for which left's last n entries are right's first n; 0 if there is none."""
-    most = F.least(F.size(left), F.size(right))
-    lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.get(F.filter(lengths, lambda n: F.slice(left, -n, n) == F.slice(right, F.lit(1), n)), F.lit(0)), F.lit(0))
+    """the greatest n for which left's last n entries are right's first n; 0 if there is none or one is null."""
+
+    @F.pandas_udf("int")
+    def lengths(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([0 if a is None or b is None else overlap_length(list(a), list(b)) for a, b in zip(lefts, rights)], dtype="int32")
+
+    return lengths(left, right)
 
 
 def deduplicate_rolling(cues: DataFrame, tolerance: float = TOLERANCE, exact: bool = False) -> DataFrame:

@@ -59,14 +59,26 @@ def frame_spans(frames: DataFrame, durations: DataFrame) -> DataFrame:
 
 
 def page_frames(pages: DataFrame, frames: DataFrame, durations: DataFrame) -> DataFrame:
-    """Each page with the path of the frame that stands longest in it; the earliest of equals, NULL without any."""
-    spans = frame_spans(frames, durations).select(F.col("video_id").alias("_v"), "ts", F.col("until"), F.col("path"), F.col("ordinal").alias("_o"))
-    meets = (F.col("video_id") == F.col("_v")) & (F.col("ts") < F.col("end")) & (F.col("until") > F.col("start"))
-    shared = F.least("end", "until") - F.greatest("start", "ts")
-    joined = pages.drop("frame_path").join(spans, meets, "left").withColumn("_shared", shared)
-    best = F.max_by("path", F.struct("_shared", (-F.col("ts")).alias("t"), (-F.col("_o")).alias("o"))).alias("frame_path")
-    keys = [c for c in pages.columns if c != "frame_path"]
-    return joined.groupBy(*keys).agg(best)
+    """Each page with the path of the frame that stands longest in it; the earliest of equals, NULL without any.
+
+    A sweep over each video's pages and frames by time, as both follow each other without overlap: what meets a page is the
+    frame that stands as it begins, and those that come before it ends.  So candidates number at most pages and frames
+    together, and none is compared with another page.
+    """
+    of_frame = F.struct("ts", "until", (-F.col("ordinal")).alias("o"), "path")
+    nothing = lambda column, frame: F.lit(None).cast(frame.select(column).schema[0].dataType)
+    spans = frame_spans(frames, durations)
+    stretch = F.struct("start", "end").alias("page")
+    shown = spans.select("video_id", F.col("ts").alias("t"), F.lit(0).alias("kind"), F.col("ordinal").alias("n"), of_frame.alias("frame"), nothing(stretch, pages).alias("page"))
+    turned = pages.select("video_id", F.col("start").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast(shown.schema["n"].dataType).alias("n"), nothing(of_frame, spans).alias("frame"), stretch)
+    swept = Window.partitionBy("video_id").orderBy("t", "kind", "n").rowsBetween(Window.unboundedPreceding, 0)
+    # Pages that begin as a frame comes follow it in the order, so that the frame stands as they begin.
+    both = shown.unionByName(turned).withColumns({"_frame": F.last("frame", ignorenulls=True).over(swept), "_page": F.last("page", ignorenulls=True).over(swept)})
+    meets = (F.col("_frame.ts") < F.col("_page.end")) & (F.col("_frame.until") > F.col("_page.start"))
+    shared = F.least("_page.end", "_frame.until") - F.greatest("_page.start", "_frame.ts")
+    best = F.max_by("_frame.path", F.struct(shared.alias("s"), (-F.col("_frame.ts")).alias("t"), F.col("_frame.o").alias("o")))
+    chosen = both.where(meets).groupBy("video_id", F.col("_page.start").alias("start")).agg(best.alias("frame_path"))
+    return pages.drop("frame_path").join(chosen, ["video_id", "start"], "left").select(*[c for c in pages.columns if c != "frame_path"], "frame_path")
 
 
 def nearest_change(times: DataFrame, changes: DataFrame) -> DataFrame:
@@ -94,12 +106,23 @@ def page_of_cue(cues: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def cut_candidates(gap: DataFrame, changes: DataFrame) -> DataFrame:
-    """For each silence (video_id, g, gap_from, start, desired) the changes within it next to the desired time on either side."""
-    c = changes.select(F.col("video_id").alias("_v"), F.col("ts"))
-    inside = (F.col("video_id") == F.col("_v")) & (F.col("ts") >= F.col("gap_from")) & (F.col("ts") <= F.col("start")) & (F.col("gap_from") < F.col("start"))
-    joined = gap.join(c, inside, "left")
-    below, above = F.max(F.when(F.col("ts") < F.col("desired"), F.col("ts"))), F.min(F.when(F.col("ts") >= F.col("desired"), F.col("ts")))
-    return joined.groupBy("video_id", "g").agg(below.alias("below"), above.alias("above"))
+    """For each silence (video_id, g, gap_from, start, desired) the changes within it next to the desired time on either side.
+
+    Each silence asks twice where it lies among the changes by time: for the last one before the desired time or its own end,
+    and for the first one from there or from its own beginning; a sweep answers both, and what lies outside is none."""
+    late, early = F.col("desired") > F.col("start"), F.col("desired") < F.col("gap_from")
+    silence = gap.where("gap_from < start")
+    ask = lambda side, t, rank: silence.select("video_id", "g", "gap_from", "start", t.alias("t"), rank.alias("rank"), F.lit(side).alias("side"), F.lit(None).cast("double").alias("ts"))
+    below = ask("below", F.least("desired", "start"), F.when(late, 2).otherwise(0))
+    above = ask("above", F.when(early, F.col("gap_from")).otherwise(F.col("desired")), F.lit(0))
+    known = {f.name: f.dataType for f in below.schema}
+    there = changes.select("video_id", *[F.lit(None).cast(known[c]).alias(c) for c in ("g", "gap_from", "start")], F.col("ts").alias("t"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("side"), "ts")
+    order = Window.partitionBy("video_id").orderBy("t", "rank")
+    last, first = F.last("ts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("ts", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    answered = below.unionByName(above).unionByName(there).withColumn("_near", F.when(F.col("side") == "below", last).otherwise(first)).where("side IS NOT NULL")
+    inside = F.when(F.col("_near").between(F.col("gap_from"), F.col("start")), F.col("_near"))
+    pairs = answered.groupBy("video_id", "g").agg(*[F.max(F.when(F.col("side") == side, inside)).alias(side) for side in ("below", "above")])
+    return gap.select("video_id", "g").join(pairs, ["video_id", "g"], "left")
 
 
 def unpictured(frames: DataFrame, pages: DataFrame) -> DataFrame:

@@ -382,10 +382,13 @@ def p15_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.search_pages(turns, F.col("text"), "  The ")
 
 
-@query(f"""WITH {PAGE_ROWS}, t AS (SELECT *, 'https://talks.example.org/' || video_id || '?t=' || CAST(trunc("start") AS BIGINT) AS link, {s_clock(chr(34) + 'start' + chr(34))} || ' – ' || {s_clock(chr(34) + 'end' + chr(34))} AS span FROM pages_)
-SELECT video_id, number, title || chr(10) || 'Source interval: ' || span || chr(10) || 'Source: ' || link || chr(10)
+LINKED = f"""{PAGE_ROWS}, t AS (SELECT *, 'https://talks.example.org/' || video_id || '?t=' || CAST(trunc("start") AS BIGINT) AS link, {s_clock(chr(34) + 'start' + chr(34))} || ' – ' || {s_clock(chr(34) + 'end' + chr(34))} AS span FROM pages_)"""
+P_NOTES = f"""title || chr(10) || 'Source interval: ' || span || chr(10) || 'Source: ' || link || chr(10)
   || chr(10) || {P_LABEL} || chr(10) || summary || chr(10) || chr(10) || 'KEY IDEAS' || chr(10) || ideas || chr(10) || CASE WHEN note <> '' THEN chr(10) || 'SOURCE NOTE' || chr(10) || note || chr(10) ELSE '' END
-  || chr(10) || 'FULL SOURCE TRANSCRIPT' || chr(10) || source_text AS notes FROM t""")
+  || chr(10) || 'FULL SOURCE TRANSCRIPT' || chr(10) || source_text"""
+
+
+@query(f"WITH {LINKED} SELECT video_id, number, {P_NOTES} AS notes FROM t")
 def p12_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _demo_pages(spark, sf_dir).join(_demo_videos(spark, sf_dir).select("video_id", "source_url"), "video_id")
     return joined.select("video_id", "number", export.notes().alias("notes"))
@@ -404,11 +407,6 @@ def x06_book_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.build(cues, conversation_frames(spark, sf_dir), _demo_videos(spark, sf_dir).select("video_id", "title", "source_url"))[1]
 
 
-@query()
-def k04_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.slides(_demo_pages(spark, sf_dir), _demo_videos(spark, sf_dir))
-
-
 @query()
 def s21_demo_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = fixtures.demo_cues(spark)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import links, text
+from .functions import layout, links, text
 from .operators import summaries, timeline
 from .plans import book, planner
-from .queries import CUES, FRAMES, P_LABEL, PAGE_ROWS, TURNS, _demo_pages, _demo_videos, _s_clean, query, s_clock, s_collapse, s_escape, s_fold, s_key, s_stamp, s_words2
-from .sinks import export
+from .queries import CUES, FRAMES, LINKED, P_LABEL, P_NOTES, PAGE_ROWS, TURNS, _demo_pages, _demo_videos, _s_clean, query, s_clock, s_collapse, s_escape, s_fold, s_key, s_stamp, s_words2
+from .sinks import export, pdf
 from .sources import captions, frames as images, tracks
 from .sources.fixtures import conversation_cues, conversation_frames, rolling, table
 
@@ -201,7 +201,7 @@ def p10_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _demo_pages(spark, sf_dir).select("video_id", "number", summaries.visible_text().alias("shown"))
 
 
-@query(f"""WITH {PAGE_ROWS} SELECT video_id, number, CASE WHEN number % 3 = 0 THEN 'Full text is available in HTML and slide notes.' WHEN note <> '' THEN 'Check the source note before relying on this summary.' ELSE 'Read the summary. Return to the source for detail.' END AS footnote FROM pages_""")
+@query(f"""WITH {PAGE_ROWS} SELECT video_id, number, CASE WHEN number % 3 = 0 THEN '{export.CUT_NOTE}' WHEN note <> '' THEN '{export.DOUBT_NOTE}' ELSE '{export.PLAIN_NOTE}' END AS footnote FROM pages_""")
 def p13_footnote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _demo_pages(spark, sf_dir).select("video_id", "number", export.footnote(F.col("number") % 3 == 0).alias("footnote"))
 
@@ -345,3 +345,45 @@ def u05_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The characters that a font of ASCII alone lacks, and the text without them."""
     ascii_ = r"\x{20}-\x{7e}"
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(export.unsupported(F.col("text"), ascii_)), "").alias("lacking"), export.substitute(F.col("text"), ascii_).alias("shown"))
+
+
+def _s_advance(c: str) -> str:
+    """The advance of a character by the table of layout.py, whose rule for accents is DuckDB's."""
+    cases = " ".join(f"WHEN contains({_literal(chars)}, strip_accents({c})) THEN {w}" for w, chars in layout.ADVANCES.items())
+    return f"CASE {cases} ELSE {layout.OTHER} END"
+
+
+@query(f"""WITH RECURSIVE {TURNS}, chars AS (SELECT DISTINCT unnest(regexp_extract_all(text, '.')) AS c FROM turns), font AS (SELECT map_from_entries(list((c, {_s_advance('c')}))) AS f FROM chars),
+w AS (SELECT video_id, ordinal, string_split(text, ' ') AS words FROM turns),
+a AS (SELECT video_id, ordinal, list_transform(words, lambda x: CAST(list_sum(list_transform(regexp_extract_all(x, '.'), lambda c: f[c])) AS BIGINT)) AS widths FROM w, font),
+sizes AS (SELECT 12 + i / 2 AS size, 276 / (12 + i / 2) * 1000 AS room FROM range(9) AS r(i)),
+walk AS (SELECT video_id, ordinal, widths, size, room, 1 AS i, widths[1] AS used, 1 AS lines FROM a, sizes
+  UNION ALL SELECT video_id, ordinal, widths, size, room, i + 1, CASE WHEN used + 278 + widths[i + 1] <= room + 1e-6 THEN used + 278 + widths[i + 1] ELSE widths[i + 1] END, CASE WHEN used + 278 + widths[i + 1] <= room + 1e-6 THEN lines ELSE lines + 1 END FROM walk WHERE i < len(widths)),
+ends AS (SELECT video_id, ordinal, size, max(lines) AS lines FROM walk GROUP BY ALL)
+SELECT video_id, ordinal, CAST(max(lines) FILTER (size = 16) AS INTEGER) AS lines_16, CAST(max(lines) FILTER (size = 12) AS INTEGER) AS lines_12, CAST(coalesce(max(size) FILTER (lines * size * {layout.LINE} <= 120), 12) AS DOUBLE) AS size FROM ends GROUP BY ALL""")
+def f21_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each turn's lines in a column of 276 points, and its largest size in a box 120 points high."""
+    cues = conversation_cues(spark, sf_dir)
+    column = export.TEXT_BOX[2]
+    fit = layout.fitted(F.array("text"), column, 120.0, export.TEXT_SIZES)
+    return cues.select("video_id", "ordinal", layout.line_count(F.col("text"), column, 16).alias("lines_16"), layout.line_count(F.col("text"), column, 12).alias("lines_12"), fit.size.alias("size"))
+
+
+@query(f"""WITH {PAGE_ROWS} SELECT video_id, CAST(count(*) AS INTEGER) AS n_pages, true AS whole FROM pages_ GROUP BY video_id""")
+def k05_pdf_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book as a PDF; whole: header, end and page tree agree."""
+    videos = _demo_videos(spark, sf_dir)
+    made = pdf.pdf_books(export.slides(_demo_pages(spark, sf_dir), videos), videos)
+    body = F.decode("content", "ISO-8859-1")
+    whole = F.startswith(body, F.lit("%PDF-1.4")) & F.endswith(body, F.lit("%%EOF\n")) & F.contains(body, F.concat(F.lit("/Count "), F.col("n_pages").cast("string"), F.lit(" >>")))
+    return made.select("video_id", "n_pages", whole.alias("whole"))
+
+
+@query(f"""WITH {LINKED}, b AS (SELECT *, {P_NOTES} AS notes, unnest(list_concat([{{'box': 'title', 'label': '', 'body': title, 'size': 27.0}}],
+  [x FOR x IN [{{'box': 'section', 'label': {P_LABEL}, 'body': summary, 'size': 16.0}}, {{'box': 'section', 'label': 'KEY IDEAS', 'body': CASE WHEN kind = 'overview' THEN '' ELSE ideas END, 'size': 16.0}}, {{'box': 'section', 'label': 'SOURCE NOTE', 'body': note, 'size': 16.0}}] IF x.body <> ''],
+  [{{'box': 'footnote', 'label': '', 'body': CASE WHEN note <> '' THEN '{export.DOUBT_NOTE}' ELSE '{export.PLAIN_NOTE}' END, 'size': 9.0}}])) AS x FROM t)
+SELECT video_id, number, CAST(row_number() OVER (PARTITION BY video_id, number ORDER BY CASE x.box WHEN 'title' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, strpos('{export.IDEAS}{export.NOTE}', x.label) + CASE WHEN x.label IN ('{export.IDEAS}', '{export.NOTE}') THEN 1 ELSE 0 END) - 1 AS INTEGER) AS position,
+  x.box AS box, x.label AS label, x.body AS body, CAST(x.size AS DOUBLE) AS size, CAST(NULL AS VARCHAR) AS frame_path, link, notes, false AS shortened FROM b""")
+def k04_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of all pages; these texts fit at the largest sizes, others are held against a model in tests."""
+    return export.slides(_demo_pages(spark, sf_dir), _demo_videos(spark, sf_dir))

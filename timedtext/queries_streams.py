@@ -23,9 +23,9 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as samples, whose time is what the watermark goes by."""
+    """The events as samples, whose time is what the watermark goes by: in whole seconds, so that the last one passes, too."""
     first = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.unix_timestamp(F.min("ts")).alias("first"))
-    events = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("ordinal"), F.col("ts").cast("timestamp").alias("at"), "value")
+    events = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("ordinal"), F.timestamp_seconds(F.unix_timestamp("ts")).alias("at"), "value")
     return events.join(first, "video_id").select("video_id", "ordinal", (F.unix_timestamp("at") - F.col("first")).cast("double").alias("ts"), "value", "at")
 
 

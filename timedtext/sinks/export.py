@@ -1,7 +1,6 @@
 """Books as JSON, searchable HTML, and tables of slides and boxes.
 
-A slide table has one row for each box of a slide; a binary writer for a given office or PDF library maps over it.  Such
-libraries are not part of this package.
+A slide table has one row for each box of a slide; pdf.py draws it, and other binary writers may map over it.
 """
 
 from __future__ import annotations
@@ -12,16 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import source_link
-from ..functions.text import clock, data_url, escape_html, general, shorten
+from ..functions.layout import fitted
+from ..functions.text import clock, data_url, escape_html, general
 from ..progress import Report, counted
+from ..shared import written
 
 #: What exported pages call their parts.
 COVER, OVERVIEW, SUMMARY, EXCERPT = "READING TARGET", "AT A GLANCE", "PRESENTER SUMMARY", "TRANSCRIPT EXCERPT"
 IDEAS, TAKEAWAY, NOTE = "KEY IDEAS", "TAKEAWAY", "SOURCE NOTE"
 FULL_SOURCE, SOURCE_REFERENCE, NO_SOURCE = "FULL SOURCE TRANSCRIPT", "SOURCE REFERENCE", "No source transcript was provided for this page."
 FORMATS = ("slides", "layout", "html", "json")
-#: Average width of a character and height of a line, in parts of the font size: fitting is the same on every host.
-CHARACTER, LINE = 0.5, 1.18
 
 
 def sections(overview_too: bool = True) -> Column:
@@ -47,9 +46,14 @@ def notes(embed_transcript: bool = True) -> Column:
     return F.array_join(F.concat(head, body, F.array(F.lit(""), F.lit(FULL_SOURCE if embed_transcript else SOURCE_REFERENCE), source)), "\n")
 
 
+#: What a page's foot says: text is missing here, the summary is doubtful, or neither.
+CUT_NOTE, DOUBT_NOTE, PLAIN_NOTE = "Shortened to fit; the whole text is in the HTML book.", "See the source note above before you rely on this page.", "The times above lead back to the recording."
+
+
 def footnote(shortened: Column) -> Column:
     """P13."""
-    return F.when(shortened, "Full text is available in HTML and slide notes.").when(F.coalesce("uncertainty", F.lit("")) != "", "Check the source note before relying on this summary.").otherwise("Read the summary. Return to the source for detail.")
+    doubtful = F.coalesce("uncertainty", F.lit("")) != ""
+    return F.when(shortened, CUT_NOTE).when(doubtful, DOUBT_NOTE).otherwise(PLAIN_NOTE)
 
 
 def export_errors(pages: DataFrame, formats: tuple[str, ...] = FORMATS) -> DataFrame:
@@ -163,39 +167,29 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return pages.withColumn("previous", F.lag("number").over(order)).withColumn("next", F.lead("number").over(order))
 
 
-def lines_of(text: Column, width: float, size: Column) -> Column:
-    """how many lines a text takes in a box of that width (in points) by the average width of a character."""
-    per_line = F.greatest(F.lit(1), F.floor(F.lit(width) / (size * CHARACTER)))
-    return F.aggregate(F.split(text, "\n"), F.lit(0).cast("bigint"), lambda n, line: n + F.greatest(F.lit(1), F.ceil(F.length(line) / per_line)))
-
+#: Boxes of a page of 960 by 540 points: left, top, width, height; and the sizes that their text may have.
+PAGE_SIZE = (960.0, 540.0)
+TITLE_BOX, TEXT_BOX, FOOT_BOX = (37.0, 24.0, 885.0, 55.0), (646.0, 96.0, 276.0, 358.0), (646.0, 470.0, 276.0, 30.0)
+TITLE_SIZES, TEXT_SIZES, FOOT_SIZE = [float(s) for s in range(19, 28)], [12 + i / 2 for i in range(9)], 9.0
+LABEL_SIZE, AROUND = 9.0, 39.0
 
-def fit_title(title: Column, width: float = 885.0, height: float = 55.0) -> Column:
-    """the title and its size: from 27 points down to 19 as it needs, then shortened."""
-    sizes = F.array(*[F.lit(float(s)) for s in range(27, 18, -1)])
-    size = F.coalesce(F.get(F.filter(sizes, lambda s: lines_of(title, width, s) * s * LINE <= height), F.lit(0)), F.lit(19.0))
-    room = F.floor(F.floor(F.lit(height) / (size * LINE)) * F.floor(F.lit(width) / (size * CHARACTER))).cast("int")
-    return F.struct(shorten(title, F.greatest(room, F.lit(20))).alias("text"), size.alias("size"))
 
-
-def slides(pages: DataFrame, videos: DataFrame, embed_transcript: bool = True, width: float = 276.0, height: float = 358.0) -> DataFrame:
+def slides(pages: DataFrame, videos: DataFrame, embed_transcript: bool = True) -> DataFrame:
     """One row for each box of a page: title, each section, footnote; with the page's link and notes.
 
-    Sections shrink from 16 to 12 points together, then each is cut in proportion to its length.
+    A title takes the largest size that fits its box, a page's sections the largest that fits them together; what is too long
+    at the smallest is cut line by line, the sections in proportion, so that no box overflows.
     """
-    told = pages.join(videos.select("video_id", "source_url"), "video_id").withColumns({"_sections": sections(False), "notes": notes(embed_transcript), "link": source_link(F.col("source_url"), F.col("start")), "_title": fit_title(F.col("title"))})
-    needed = lambda size: F.aggregate("_sections", F.lit(0.0), lambda n, s: n + 39 + (lines_of(s.body, width, size) * size * LINE).cast("double"))
-    sizes = F.array(*[F.lit(16 - i / 2) for i in range(9)])
-    sized = told.withColumn("_size", F.coalesce(F.get(F.filter(sizes, lambda s: needed(s) <= height), F.lit(0)), F.lit(12.0)))
-    length = F.aggregate("_sections", F.lit(0), lambda n, s: n + F.length(s.body))
-    share = F.least(F.lit(1.0), F.lit(height) / F.greatest(needed(F.col("_size")), F.lit(1.0)))
-    cut = sized.withColumn("_cut", F.transform("_sections", lambda s: F.struct(s.label.alias("label"), F.when(share < 1, shorten(s.body, F.greatest(F.lit(28), F.floor(F.length(s.body) * share).cast("int")))).otherwise(s.body).alias("body"))))
-    shortened = (F.col("_cut") != F.col("_sections")) | (F.col("_title.text") != F.col("title"))
+    told = pages.join(videos.select("video_id", "source_url"), "video_id").withColumns({"_sections": sections(False), "notes": notes(embed_transcript), "link": source_link(F.col("source_url"), F.col("start"))})
+    bodies = F.transform("_sections", lambda s: s.body)
+    told = told.withColumns({"_title": fitted(F.array("title"), *TITLE_BOX[2:], TITLE_SIZES), "_text": fitted(bodies, *TEXT_BOX[2:], TEXT_SIZES, AROUND)})
+    shortened = F.col("_title.shortened") | F.col("_text.shortened")
     boxes = F.concat(
-        F.array(F.struct(F.lit("title").alias("box"), F.lit("").alias("label"), F.col("_title.text").alias("body"), F.col("_title.size").alias("size"))),
-        F.transform("_cut", lambda s: F.struct(F.lit("section").alias("box"), s.label.alias("label"), s.body.alias("body"), F.col("_size").alias("size"))),
-        F.array(F.struct(F.lit("footnote").alias("box"), F.lit("").alias("label"), footnote(shortened).alias("body"), F.lit(9.0).alias("size"))),
+        F.array(F.struct(F.lit("title").alias("box"), F.lit("").alias("label"), F.col("_title.texts")[0].alias("body"), F.col("_title.size").alias("size"))),
+        F.zip_with("_sections", "_text.texts", lambda s, t: F.struct(F.lit("section").alias("box"), s.label.alias("label"), t.alias("body"), F.col("_text.size").alias("size"))),
+        F.array(F.struct(F.lit("footnote").alias("box"), F.lit("").alias("label"), footnote(shortened).alias("body"), F.lit(FOOT_SIZE).alias("size"))),
     )
-    return cut.withColumn("shortened", shortened & (length > 0)).select("video_id", "number", "frame_path", "link", "notes", "shortened", F.posexplode(boxes).alias("position", "b")).select("video_id", "number", "position", "b.box", "b.label", "b.body", "b.size", "frame_path", "link", "notes", "shortened")
+    return told.withColumn("shortened", shortened).select("video_id", "number", "frame_path", "link", "notes", "shortened", F.posexplode(boxes).alias("position", "b")).select("video_id", "number", "position", "b.box", "b.label", "b.body", "b.size", "frame_path", "link", "notes", "shortened")
 
 
 def unsupported(text: Column, supported: str) -> Column:
@@ -221,6 +215,26 @@ def with_images(pages: DataFrame, videos: DataFrame, images: DataFrame) -> tuple
     return pages.join(urls, "frame_path", "left"), videos.join(told, "video_id", "left").withColumn("warnings", both).drop("_more")
 
 
+def document_name(video_id: Column, suffix: str) -> Column:
+    """A file's name for a video: what file systems allow of its id, with a digest of the id if that is not all."""
+    plain = F.regexp_replace(F.regexp_replace(video_id.cast("string"), "[^A-Za-z0-9._-]", "_"), "^[._]", "-")
+    return F.concat(F.when(plain == video_id.cast("string"), plain).otherwise(F.concat(F.right(plain, F.lit(80)), F.lit("-"), F.left(F.sha2(video_id.cast("string").cast("binary"), 256), F.lit(12)))), F.lit(suffix))
+
+
+def _write_pdfs(boxes: DataFrame, videos: DataFrame, done: dict[str, str], out: str, report: Report | None) -> DataFrame:
+    """Draws the boxes as PDF files; videos with a warning of the characters that the font lacks."""
+    from .documents import write_documents
+    from .pdf import pdf_books
+
+    made = written(boxes.sparkSession)(pdf_books(boxes, videos), "pdf")
+    done["pdf"] = f"{out}/pdf"
+    write_documents(made.select(document_name(F.col("video_id"), ".pdf").alias("name"), "content"), done["pdf"])
+    if report:
+        report("pdf", made.agg(F.count("*").alias("rows"), F.sum("n_pages").alias("pages")).first().asDict())
+    lost = F.when(F.size("lacking") > 0, F.array(F.concat(F.lit("In the PDF a ? stands for: "), F.array_join("lacking", " ")))).otherwise(F.array().cast("array<string>"))
+    return videos.join(made.select("video_id", lost.alias("_lost")), "video_id", "left").withColumn("warnings", F.concat("warnings", F.coalesce("_lost", F.array().cast("array<string>")))).drop("_lost")
+
+
 def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ...] = FORMATS, writer: Callable | None = None, images: DataFrame | None = None, report: Report | None = None) -> dict[str, str]:
     """Checks first, then writes each format in a fixed order, JSON last.  writer(slides, path): an optional binary sink;
     images: path and content of the pages' images; report: hears how many rows each format has."""
@@ -232,7 +246,7 @@ def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ..
     shown = pages
     if images is not None:
         shown, videos = with_images(pages, videos, images)
-    done = {}
+    done, spark = {}, pages.sparkSession
 
     def write(name: str, table: DataFrame) -> None:
         table, seen = counted(table)
@@ -246,6 +260,8 @@ def export(pages: DataFrame, videos: DataFrame, out: str, formats: tuple[str, ..
             if name in ("slides", "layout"):
                 table = slides(pages, videos)
                 write(name, table)
+                if name == "layout":
+                    videos = _write_pdfs(spark.read.parquet(done[name]), videos, done, out, report)
                 if writer:
                     writer(table, f"{done[name]}-files")
             else:
