@@ -23,6 +23,7 @@ from .timeline import batches
 
 MAX_SECTION, MAX_CHUNK, MAX_LEVELS, OVERVIEW_WORDS, ATTEMPTS = 60_000, 50_000, 10, 85, 3
 EVIDENCE_WORDS, BULLETS = 20, 2
+OVERVIEW_CHAPTER = "About this book"
 FIELDS = ["page_id", "title", "summary", "bullets", "takeaway", "chapter", "uncertainty", "evidence"]
 
 
@@ -196,4 +197,4 @@ def overview(pages: DataFrame, durations: DataFrame, provider: Provider, checkpo
     for x in done[1:]:
         out = out.unionByName(x)
     trimmed = [F.trim(c).alias(c) for c in ("title", "summary", "takeaway", "uncertainty")]
-    return out.select("video_id", "number", "start", "end", "source_text", *trimmed, F.filter(F.transform("bullets", lambda b: F.trim(b)), lambda b: b != "").alias("bullets"), F.lit("Reading guide").alias("chapter"), F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("frame_path"))
+    return out.select("video_id", "number", "start", "end", "source_text", *trimmed, F.filter(F.transform("bullets", lambda b: F.trim(b)), lambda b: b != "").alias("bullets"), F.lit(OVERVIEW_CHAPTER).alias("chapter"), F.lit("overview").alias("kind"), F.lit(None).cast("string").alias("frame_path"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_words, stamp
+from ..functions.text import SPACE, count_words, stamp
 
 MIN_SOURCE_WORDS, WORD_WEIGHT, TIME_WEIGHT = 40, 0.85, 0.15
 
 
 def weight(text: Column) -> Column:
     """The words of a cue, 1 at least; 0 if it is blank."""
-    return F.when(F.trim(text) != "", F.greatest(F.lit(1), count_words(text))).otherwise(F.lit(0))
+    return F.when(text.rlike(f"[^{SPACE}]"), F.greatest(F.lit(1), count_words(text))).otherwise(F.lit(0))
 
 
 def start_groups(cues: DataFrame) -> DataFrame:

@@ -18,8 +18,16 @@ from .planner import durations_of, input_errors, plan_pages
 
 PAGE_COLUMNS = ("number", "title", "start", "end", "summary", "bullets", "takeaway", "frame_path", "source_text", "kind", "chapter", "uncertainty")
 WORDS_A_MINUTE, SECONDS_A_FRAME, MOST_WORDS, LEAST_WORDS = 180, 6, 65, 18
-EXTRACTIVE_WARNING = "Extractive mode: visible text consists of transcript excerpts, not summaries."
-ESTIMATE_WARNING = "Reading time is an estimate; dense slides, equations and transcript notes take more."
+EXTRACTIVE_WARNING = "No page was summarized: what pages say are passages of the captions."
+ESTIMATE_WARNING = "How long reading takes is estimated from words and pictures alone; formulas and crowded pictures take longer."
+UNSEEN_WARNING = "No pictures of the video were at hand, so pages show words only."
+LESS_WARNING = "There is enough said for {} of the {} pages asked for; no page was stretched."
+UNPICTURED_WARNING = "{} pictures that differ from the one before have no page of their own."
+#: The two pages in front: what they say beside figures.
+COVER_TEXT = "{} pages for {} of video, to be read in about {} minutes."
+COVER_POINTS, COVER_TAKEAWAY = ("A picture and a short text on each page.", "All that was said is kept, with its times."), "Leaf through, read what matters, and play it where you want more."
+ROUTE_TITLE, ROUTE_TEXT, ROUTE_CHAPTER = "How to use this book", "Pages stand in the order of the video; the times on each one open it there.", summaries.OVERVIEW_CHAPTER
+ROUTE_POINTS, ROUTE_TAKEAWAY = ("Look at the picture first, then at the text.", "What stays unclear can be looked up by its time."), "All texts here are quoted from the captions."
 
 
 def word_budget(n_pages: Column, minutes: Column, has_frames: Column) -> Column:
@@ -36,19 +44,24 @@ def with_budgets(content: DataFrame, frames: DataFrame, minutes: float) -> DataF
     return counted.withColumn("max_words", word_budget(F.col("n_pages"), F.lit(minutes), F.col("has_frames")))
 
 
+def filled(sentence: str, *values: Column) -> Column:
+    """A sentence with values in place of its {}."""
+    parts = sentence.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:]) for x in (v, F.lit(p))])
+
+
 def _front(title: Column, duration: Column, n_pages: Column, minutes: float) -> Column:
     """Cover and overview of a video, as an array of pages."""
-    text = lambda *x: F.array(*[F.lit(t) for t in x])
-    total = (n_pages + 2).cast("string")
-    cover = F.concat(total, F.lit(" pages from "), clock(duration), F.lit(" of video. Target reading time: "), general(F.lit(float(minutes))), F.lit(" minutes."))
+    text = lambda parts: F.array(*[F.lit(t) for t in parts])
+    cover = filled(COVER_TEXT, (n_pages + 2).cast("string"), clock(duration), general(F.lit(float(minutes))))
     page = lambda number, title, summary, bullets, takeaway, kind, chapter: F.struct(
         F.lit(number).alias("number"), title.alias("title"), F.lit(0.0).alias("start"), duration.alias("end"), summary.alias("summary"), bullets.alias("bullets"), F.lit(takeaway).alias("takeaway"),
         F.lit(None).cast("string").alias("frame_path"), F.lit("").alias("source_text"), F.lit(kind).alias("kind"), F.lit(chapter).alias("chapter"), F.lit("").alias("uncertainty"),
     )
     return F.array(
-        page(1, title, cover, text("Visuals with concise reading notes.", "Full timestamped captions preserved."), "Read, scan, and go back to the source.", "cover", ""),
-        page(2, F.lit("Your reading route"), F.lit("Follow the pages in order. Each excerpt links to its source interval."), text("Scan the visual, then read the excerpt.", "Revisit unclear passages by their time."), "These pages use verbatim excerpts.", "overview", "Reading guide"),
-    )
+        page(1, title, cover, text(COVER_POINTS), COVER_TAKEAWAY, "cover", ""),
+        page(2, F.lit(ROUTE_TITLE), F.lit(ROUTE_TEXT), text(ROUTE_POINTS), ROUTE_TAKEAWAY, "overview", ROUTE_CHAPTER),
+    )
 
 
 def assemble(content: DataFrame, videos: DataFrame, minutes: float, overview: DataFrame | None = None) -> DataFrame:
@@ -87,12 +100,12 @@ def totals(pages: DataFrame, cues: DataFrame, frames: DataFrame, minutes: float)
 
 def warnings(figures: DataFrame, requested_pages: int, extractive_mode: bool = True) -> DataFrame:
     """The ordered, distinct warnings of each video."""
-    n = lambda c: F.col(c).cast("string")
+    shown = (F.col("n_pages") + 2).cast("string")
     found = F.array(
-        F.when(F.col("captured_visual_states") == 0, F.lit("Transcript-only book: slide visuals are unavailable.")),
-        F.when(F.col("n_pages") + 2 < requested_pages, F.concat(F.lit("Source supports "), (F.col("n_pages") + 2).cast("string"), F.lit(f" pages; the budget of {requested_pages} was not padded."))),
+        F.when(F.col("captured_visual_states") == 0, F.lit(UNSEEN_WARNING)),
+        F.when(F.col("n_pages") + 2 < requested_pages, filled(LESS_WARNING, shown, F.lit(str(requested_pages)))),
         F.lit(EXTRACTIVE_WARNING if extractive_mode else None),
-        F.when(F.col("unpictured") > 0, F.concat(n("unpictured"), F.lit(" detected visual states are not pictured under this page budget."))),
+        F.when(F.col("unpictured") > 0, filled(UNPICTURED_WARNING, F.col("unpictured").cast("string"))),
         F.lit(ESTIMATE_WARNING),
     )
     return figures.select("video_id", F.array_distinct(F.filter(found, lambda w: w.isNotNull())).alias("warnings"))

@@ -240,16 +240,16 @@ def a09_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _figures(spark, sf_dir).select("video_id", "n_pages", "visible_prose_words", "pictured_visual_states", "transcript_only_pages", "caption_cues", "source_words", "captured_visual_states", "unpictured", F.round("estimated_reading_minutes", 6).alias("minutes"))
 
 
-@query(f"""WITH {FIGURES} SELECT video_id, array_to_string([x FOR x IN [CASE WHEN n_pages + 2 < 12 THEN 'Source supports ' || (n_pages + 2) || ' pages; the budget of 12 was not padded.' END, '{book.EXTRACTIVE_WARNING}',
-  CASE WHEN unpictured > 0 THEN unpictured || ' detected visual states are not pictured under this page budget.' END, '{book.ESTIMATE_WARNING}'] IF x IS NOT NULL], ' | ') AS warnings FROM figures""")
+@query(f"""WITH {FIGURES} SELECT video_id, array_to_string([x FOR x IN [CASE WHEN n_pages + 2 < 12 THEN format('{book.LESS_WARNING}', n_pages + 2, 12) END, '{book.EXTRACTIVE_WARNING}',
+  CASE WHEN unpictured > 0 THEN format('{book.UNPICTURED_WARNING}', unpictured) END, '{book.ESTIMATE_WARNING}'] IF x IS NOT NULL], ' | ') AS warnings FROM figures""")
 def p14_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.warnings(_figures(spark, sf_dir), 12).select("video_id", F.array_join("warnings", " | ").alias("warnings"))
 
 
 @query(f"""WITH {PAGE_ROWS}, v AS (SELECT video_id, count(*) AS n, max("end") AS duration FROM pages_ GROUP BY video_id)
 SELECT video_id, number + 100 AS number, title, kind, summary, "start", "end" FROM pages_
-UNION ALL SELECT video_id, 1, 'Talk <' || video_id || '>', 'cover', (n + 2) || ' pages from ' || {s_clock('duration')} || ' of video. Target reading time: 60 minutes.', 0.0, duration FROM v
-UNION ALL SELECT video_id, 2, 'Your reading route', 'overview', 'Follow the pages in order. Each excerpt links to its source interval.', 0.0, duration FROM v""")
+UNION ALL SELECT video_id, 1, 'Talk <' || video_id || '>', 'cover', format('{book.COVER_TEXT}', n + 2, {s_clock('duration')}, '60'), 0.0, duration FROM v
+UNION ALL SELECT video_id, 2, '{book.ROUTE_TITLE}', 'overview', '{book.ROUTE_TEXT}', 0.0, duration FROM v""")
 def u01_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _demo_pages(spark, sf_dir).withColumn("n_pages", F.count("*").over(Window.partitionBy("video_id"))).withColumn("number", F.col("number") + 100)
     return book.assemble(content, _demo_videos(spark, sf_dir), 60.0).select("video_id", "number", "title", "kind", "summary", "start", "end")
