@@ -58,6 +58,25 @@ def test_summaries_of_a_fetched_source(spark, tmp_path, capsys):
     assert made["pages"][2]["bullets"] == [] and book.EXTRACTIVE_WARNING not in made["warnings"]
 
 
+def test_build_reads_png_images_itself(spark, tmp_path):
+    import numpy as np
+
+    from timedtext.queries_images import png
+
+    talk(tmp_path / "talks", "shore.json")
+    (tmp_path / "images/shore").mkdir(parents=True)
+    rng = np.random.default_rng(1)
+    scenes = [rng.integers(0, 256, (90, 160, 3)), rng.integers(0, 256, (90, 160, 3))]
+    for i, scene in enumerate([0, 0, 1, 1]):
+        (tmp_path / f"images/shore/{i}.png").write_bytes(png(scenes[scene] // 8 * 8 + i % 2, [i, 4, 3]))
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/shore.log").write_text("".join(f"n:{i} pts_time:{i * 30}.5\n" for i in range(4)))
+    where = lambda x: f"file://{tmp_path}/{x}"
+    assert program.run(["build", where("talks"), "--images", where("images"), "--logs", where("logs"), "--pages", "8", "--reading-minutes", "20", "--formats", "json", "--out", where("out")]) == 0
+    made = books(spark, where("out"))["shore"]
+    assert made["captured_visual_states"] == 2 and {p["frame_path"].rsplit("/", 1)[1] for p in made["pages"][2:]} == {"0.png", "2.png"}
+
+
 def mp4(seconds):
     """The boxes of a film that has a header and no more."""
     box = lambda name, body: (len(body) + 8).to_bytes(4) + name + body
@@ -134,7 +153,7 @@ def test_manifest_of_lost_files_is_made_again(spark, tmp_path):
     assert kept.read().count() == 2
 
 
-@pytest.mark.parametrize("change", [{"source": "https://x.example", "transcripts": None}, {"images": "i"}, {"images": "i", "logs": "l"}, {"images": "i", "logs": "l", "decoder": "a:b", "frames": "f"}, {"provider": "nobody"}, {"crop": (0.5, 0.5, 0.5 + 1e-12, 0.5)}])
+@pytest.mark.parametrize("change", [{"source": "https://x.example", "transcripts": None}, {"images": "i"}, {"logs": "l"}, {"images": "i", "logs": "l", "decoder": "b"}, {"images": "i", "logs": "l", "decoder": "a:b", "frames": "f"}, {"provider": "nobody"}, {"crop": (0.5, 0.5, 0.5 + 1e-12, 0.5)}])
 def test_options_that_contradict(change):
     with pytest.raises(ValueError):
         Options(**{"transcripts": "x", **change}).check()

@@ -20,7 +20,7 @@ FLAGS: tuple[tuple[str, dict, str], ...] = (
     ("frames", {}, "a Parquet table of video_id, ordinal, ts, path"),
     ("images", {}, "a folder of extracted images, in a folder of its own for each video"),
     ("logs", {}, "a folder of the extraction's logs, VIDEO.log each"),
-    ("decoder", {}, "module:function from an image's bytes and a shape to an array"),
+    ("decoder", {}, "module:function from an image's bytes and a shape to an array, for others than PNG"),
     ("title", {}, "the title of all books"),
     ("pages", {"type": int}, "most pages of a book, cover and overview included"),
     ("reading-minutes", {"type": float}, "the reading time that a book is made for"),
@@ -69,7 +69,7 @@ def chosen_frames(spark: SparkSession, options: Options) -> tuple[DataFrame, Dat
     folder = F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)
     images = frames.read_images(spark, options.images).withColumn("video_id", folder)
     logs = spark.read.text(options.logs, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("video_id"), "value")
-    decode = plugged(options.decoder)
+    decode = plugged(options.decoder) if options.decoder else None
     if not options.checkpoints:
         return frames.select_frames(images, logs, decode, options.threshold), images.select("path", "content")
     kept = Checkpoints(spark, f"{options.checkpoints}/frames", frames.MANIFEST)

@@ -16,7 +16,8 @@ class Options:
     """pages counts cover and overview; formats beside JSON, which is always written.
 
     provider, connector and decoder name what a caller plugs in, as module:factory: a provider of summaries is made with the
-    model's name, a connector with nothing; a decoder is a function of an image's bytes and a shape.
+    model's name, a connector with nothing; a decoder is a function of an image's bytes and a shape, needed for
+        other images than PNG.
     """
 
     source: str | None = None  # a URL, for the connector
@@ -62,8 +63,8 @@ class Options:
             raise ValueError("no input: give a folder of transcripts, or a source and a connector")
         if self.source and not self.connector:
             raise ValueError("a source needs a connector")
-        if bool(self.images) != bool(self.logs) or (self.images and not self.decoder):
-            raise ValueError("images need logs and a decoder")
+        if bool(self.images) != bool(self.logs):
+            raise ValueError("images need logs, and logs images")
         if self.images and self.frames:
             raise ValueError("give frames or images, not both")
         for name in ("provider", "connector", "decoder"):

@@ -414,4 +414,4 @@ def s21_demo_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.build(cues, fixtures.demo_frames(spark), titles, 10, 5.0)[0]
 
 
-from . import queries_books, queries_sources, queries_streams  # noqa: E402, F401 - register more
+from . import queries_books, queries_images, queries_sources, queries_streams  # noqa: E402, F401 - register more

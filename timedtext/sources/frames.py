@@ -1,7 +1,7 @@
 """Frames from a folder of extracted images and a log with their times.
 
-Extraction itself is a media tool's work (ffmpeg); its command is built here, its output is read here.  Decoding images is
-left to a function that a caller supplies, as no image library is required.
+Extraction itself is a media tool's work (ffmpeg); its command is built here, its output is read here.  PNG images are decoded by
+pixels.py; for other kinds a caller supplies a function.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import pixels
 from .checkpoints import Checkpoints, key_of
 
 INTERVAL, THRESHOLD = 12.0, 0.12
@@ -70,18 +71,6 @@ def zip_times(images: DataFrame, times: DataFrame) -> DataFrame:
     return joined.select("video_id", "ordinal", ts.alias("ts"), "path")
 
 
-def region_means(decode: Callable[[bytes], object], boxes: list[tuple[int, int, int, int]]):
-    """An Arrow function from image bytes to the mean of each box (left, top, right, bottom) of the decoded array."""
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("array<double>")
-    def means(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: [float(np.asarray(decode(c))[t:b, l:r].mean()) for l, t, r, b in boxes], na_action="ignore")
-
-    return means
-
-
 def image_difference(before, after) -> float:
     """F20 on arrays of one shape, channels last, 0 to 255: the larger of the mean change and the relative change of edges."""
     import numpy as np
@@ -105,10 +94,11 @@ RASTER = (144, 256, 3)
 CHOSEN = "ordinal int, ts double, path string"
 
 
-def select_frames(images: DataFrame, logs: DataFrame, decode: Callable[[bytes, tuple[int, int, int]], object], threshold: float = THRESHOLD) -> DataFrame:
+def select_frames(images: DataFrame, logs: DataFrame, decode: Callable[[bytes, tuple[int, int, int]], object] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Images (video_id, path, content) and logs (video_id, value) to the frames that show something new: video_id, ordinal, ts,
-    path.  decode(content, shape) gives an image as an array; of a video's images three are held at once."""
+    path.  decode(content, shape) gives an image as an array, by default from PNG; of a video's images three are held at once."""
     check_options(threshold=threshold)
+    decode = decode or pixels.decode
     timed = zip_times(images.select("video_id", "path"), shown_times(logs)).join(images.select("video_id", "path", "content"), ["video_id", "path"])
     kind = images.schema["video_id"].dataType.simpleString()
 
@@ -123,7 +113,7 @@ def select_frames(images: DataFrame, logs: DataFrame, decode: Callable[[bytes, t
     return timed.groupBy("video_id").applyInPandas(choose, f"video_id {kind}, {CHOSEN}")
 
 
-def cached_frames(images: DataFrame, logs: DataFrame, decode: Callable, manifests: Checkpoints, interval: float = INTERVAL, threshold: float = THRESHOLD, crop=None) -> DataFrame:
+def cached_frames(images: DataFrame, logs: DataFrame, decode: Callable | None, manifests: Checkpoints, interval: float = INTERVAL, threshold: float = THRESHOLD, crop=None) -> DataFrame:
     """As select_frames, but for videos whose manifest is kept: same files and options, not empty, and all its files are
     still there.  images also have length and modified; manifests: a table of results (MANIFEST)."""
     own = images.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("path", "length", "modified"))).alias("files"))
