@@ -138,3 +138,20 @@ def test_counted_rows(spark, tmp_path):
     rows, seen = counted(spark.range(10), odd=F.count_if(F.col("id") % 2 == 1))
     rows.write.parquet(f"{tmp_path}/out")
     assert seen.get == {"rows": 10, "odd": 5}
+
+
+def test_a_provider_sees_pictures_once_and_its_key_goes_by_them(spark, tmp_path):
+    class Looking(Counting):
+        def summarize(self, records, max_words, feedback):
+            made = super().summarize(records, max_words, feedback)
+            return [m | {"title": f"{(r['image'] or b'none').decode()} {sorted(r)[0]}"} for m, r in zip(made, records)]
+
+    rows = [("v", n, 0.0, 9.0, "[00:00:00] some words that were said", f"p{n % 2}.png" if n < 9 else None) for n in range(3, 11)]
+    pages = spark.createDataFrame(rows, "video_id string, number int, start double, end double, source_text string, frame_path string")
+    images = lambda even: spark.createDataFrame([("p0.png", even), ("p1.png", b"odd"), ("p1.png", b"odd"), ("other.png", b"x")], "path string, content binary")
+    kept, log = Checkpoints(spark, f"file://{tmp_path}/kept", summaries.RESULT_CHECKPOINT), tmp_path / "log"
+    ask = lambda images_: {r.page_id: r.title for r in summaries.summarize(pages, Looking(str(log), lambda page: False), 40, checkpoints=kept, images=images_).collect()}
+    wanted = {n: f"{'none' if n >= 9 else 'odd' if n % 2 else 'even'} end" for n in range(3, 11)}
+    assert ask(images(b"even")) == wanted == ask(images(b"even")) and len(log.read_text().splitlines()) == 2
+    assert ask(images(b"EVEN"))[4] == "EVEN end" and len(log.read_text().splitlines()) == 4
+    assert set(ask(None).values()) == {"none end"}

@@ -55,6 +55,7 @@ def test_summaries_of_a_fetched_source(spark, tmp_path, capsys):
     made = books(spark, f"file://{tmp_path}/out")["de"]
     assert (made["title"], made["source_url"], made["duration"]) == ("Fetched", "https://example.org/v", 500.0)
     assert [p["title"] for p in made["pages"]] == ["Fetched", "M 2", "M 3", "M 4", "M 5", "M 6"]
+    assert (made["provider"], made["model"], made["requested_pages"], made["words_a_minute"], made["seconds_a_picture"]) == ("teller", "1", 6, 180, 6)
     assert made["pages"][2]["bullets"] == [] and book.EXTRACTIVE_WARNING not in made["warnings"]
 
 

@@ -28,6 +28,7 @@ FLAGS: tuple[tuple[str, dict, str], ...] = (
     ("language", {}, "which captions the connector is asked for"),
     ("provider", {}, "extractive, or module:factory of a provider of summaries"),
     ("model", {}, "what the provider's factory is called with"),
+    ("text-only", {"action": "store_true", "default": None}, "a provider gets no pictures"),
     ("workers", {"type": int}, "how many requests a provider gets at once, 1 to 8"),
     ("transcript-only", {"action": "store_true", "default": None}, "no video is fetched and no frame is used"),
     ("frame-interval", {"type": float}, "seconds between the images that were extracted"),
@@ -121,7 +122,7 @@ def build(spark: SparkSession, options: Options) -> dict[str, str]:
     link = F.when(own, F.coalesce(of(fetched.get("source_url") or options.source, "string"), F.col("video_id"))).otherwise(F.col("video_id"))
     provider = None if options.provider == "extractive" else plugged(options.provider)(options.model)
     kept = Checkpoints(spark, f"{options.checkpoints}/summaries", RESULT_CHECKPOINT) if options.checkpoints else None
-    pages, videos = book.build(cues, frames, known.select("video_id", "title", link.alias("source_url")), options.pages, options.reading_minutes, known.select("video_id", "duration"), provider, kept, options.workers, keep=keep, report=told)
+    pages, videos = book.build(cues, frames, known.select("video_id", "title", link.alias("source_url")), options.pages, options.reading_minutes, known.select("video_id", "duration"), provider, kept, options.workers, keep=keep, report=told, images=None if options.text_only else images)
     videos = book.with_source_warnings(videos, known, sampled=bool(options.images))
     return export(pages, videos, options.out, options.formats, images=images, report=told)
 

@@ -69,7 +69,9 @@ def extractive(pages: DataFrame, max_words: int | Column) -> DataFrame:
 
 
 class Provider(Protocol):
-    """Name and version are part of the key under which results are kept."""
+    """Name and version are part of the key under which results are kept.
+
+    A record has page_id, start, end, source_text and image: the bytes of the page's picture, or None."""
 
     name: str
     version: str
@@ -110,12 +112,23 @@ def asked(provider: Provider, records: list[dict], max_words: int, feedback: str
         return json.dumps(result, default=str), f"the answer lacks what was asked for: {e!r}"
 
 
+def with_pictures(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """Pages with the bytes of their pictures as `image`, where there are any."""
+    return pages.join(images.select(F.col("path").alias("frame_path"), F.col("content").alias("image")).dropDuplicates(["frame_path"]), "frame_path", "left")
+
+
+def with_images(records: str, pictures) -> list[dict]:
+    """The records of a batch, each with its picture's bytes or None."""
+    found = {p["number"]: bytes(p["image"]) for p in pictures} if pictures is not None else {}
+    return [{k: v for k, v in r.items() if k != "image_sha256"} | {"image": found.get(r["page_id"])} for r in json.loads(records)]
+
+
 #: A provider's answers: the run that asked, the attempt, the answer and the rule that it breaks.
 RESULT_CHECKPOINT = "run string, attempt int, result string, problem string"
 NO_ANSWER = "the provider gave no answer"
 
 
-def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch_size: int = 4, checkpoints: Checkpoints | None = None, workers: int | None = None, report: Report | None = None) -> DataFrame:
+def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch_size: int = 4, checkpoints: Checkpoints | None = None, workers: int | None = None, report: Report | None = None, images: DataFrame | None = None) -> DataFrame:
     """Summaries of all pages, in batches of each video.
 
     Every answer is written and committed before anything is made of it, also those that break a rule: to checkpoints, or to
@@ -125,22 +138,28 @@ def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch
 
     max_words: the budget of a page, or None where pages have it as a column.  workers: how many ask at once, by default as many
     as there are cores.  report: hears after each round how many batches there are, were kept, are done and were asked again.
+    images: path and content of the pages' pictures (frame_path); a batch's key goes by their digests, and their bytes go only
+    to where it is asked.
     """
+    pictured = images is not None and "frame_path" in pages.columns
+    pages = with_pictures(pages, images) if pictured else pages
     spark, run, batch_size = pages.sparkSession, uuid.uuid4().hex, min(8, max(1, batch_size))
     grouped = batches(pages, batch_size, "number")
-    record = F.struct(F.col("number").alias("page_id"), "start", "end", "source_text")
+    seen_as = [F.sha2("image", 256).alias("image_sha256")] if pictured else []
+    record = F.struct(F.col("number").alias("page_id"), "start", "end", "source_text", *seen_as)
+    pictures = F.collect_list(F.when(F.col("image").isNotNull(), F.struct("number", "image"))) if pictured else F.lit(None).cast("array<struct<number:int,image:binary>>")
     records = F.transform(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))), lambda x: x.r)
     budget = F.lit(max_words) if max_words is not None else F.min("max_words")
-    work = grouped.groupBy("video_id", "batch").agg(F.to_json(records).alias("records"), budget.cast("int").alias("words"))
+    work = grouped.groupBy("video_id", "batch").agg(F.to_json(records).alias("records"), budget.cast("int").alias("words"), pictures.alias("pictures"))
     work = work.withColumn("key", key_of(F.lit(provider.name).alias("n"), F.lit(provider.version).alias("v"), F.col("words").alias("w"), F.col("records")))
     kept = checkpoints or Checkpoints(spark, new_folder(spark, "answers"), RESULT_CHECKPOINT)
     valid = F.col("problem").isNull() & F.try_parse_json(F.col("result")).isNotNull()
-    distinct = work.select("key", "records", "words").dropDuplicates(["key"])
+    distinct = work.select("key", "records", "words", "pictures").dropDuplicates(["key"])
 
     def answers(todo: DataFrame, attempt: int) -> DataFrame:
         def ask(frames):
             for frame in frames:
-                given = [asked(provider, json.loads(r), int(w), f) for r, w, f in zip(frame["records"], frame["words"], frame["feedback"])]
+                given = [asked(provider, with_images(r, p), int(w), f) for r, w, p, f in zip(frame["records"], frame["words"], frame["pictures"], frame["feedback"])]
                 yield frame[["key"]].assign(run=run, attempt=attempt, result=[g[0] for g in given], problem=[g[1] for g in given])
 
         return (todo.repartition(workers) if workers else todo).mapInPandas(ask, "key string, " + RESULT_CHECKPOINT)
@@ -160,7 +179,7 @@ def summarize(pages: DataFrame, provider: Provider, max_words: int | None, batch
             raise RuntimeError(last.feedback if seen["silent"] else f"no valid summary after {ATTEMPTS} attempts: {last.feedback}")
         todo = distinct.join(wrong, "key")
     item = "array<struct<page_id:int,title:string,summary:string,bullets:array<string>,takeaway:string,chapter:string,uncertainty:string,evidence:array<string>>>"
-    return kept.found(work, valid).select("video_id", F.inline(F.from_json("result", item)))
+    return kept.found(work.drop("pictures"), valid).select("video_id", F.inline(F.from_json("result", item)))
 
 
 def overview_source(pages: DataFrame) -> DataFrame:

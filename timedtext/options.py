@@ -36,6 +36,7 @@ class Options:
     transcript_only: bool = False
     connector: str | None = None
     decoder: str | None = None
+    text_only: bool = False  # a provider gets no pictures
     frame_interval: float = INTERVAL
     threshold: float = THRESHOLD
     crop: tuple[float, float, float, float] | None = None

@@ -126,6 +126,13 @@ def with_source_warnings(videos: DataFrame, sources: DataFrame, sampled: bool =
     return joined.withColumn("warnings", F.array_distinct(F.concat(F.filter(more, lambda w: w.isNotNull()), "warnings"))).drop("duration_from")
 
 
+def assumed(provider: Provider | None, pages: int, minutes: float) -> dict[str, Column]:
+    """What a book was asked to be, and by what its reading time was reckoned, for its JSON."""
+    made_by = (provider.name, provider.version) if provider else ("extractive", None)
+    said = {"provider": F.lit(made_by[0]), "model": F.lit(made_by[1]).cast("string"), "requested_pages": F.lit(pages)}
+    return said | {"reading_minutes": F.lit(float(minutes)), "words_a_minute": F.lit(WORDS_A_MINUTE), "seconds_a_picture": F.lit(SECONDS_A_FRAME)}
+
+
 class Unusable(ValueError):
     """What keeps a book from being made."""
 
@@ -137,21 +144,22 @@ def refuse(found: DataFrame, what: str) -> None:
         raise Unusable(f"{what} of {wrong[0]['video_id']}: {wrong[0]['error']}")
 
 
-def summarized(content: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None, workers: int | None = None, report: Report | None = None) -> DataFrame:
+def summarized(content: DataFrame, provider: Provider, checkpoints: Checkpoints | None = None, workers: int | None = None, report: Report | None = None, images: DataFrame | None = None) -> DataFrame:
     """Content pages (with max_words) with a provider's summaries, all of which keep the rules."""
-    made = summaries.summarize(content, provider, None, checkpoints=checkpoints, workers=workers, report=report)
+    made = summaries.summarize(content, provider, None, checkpoints=checkpoints, workers=workers, report=report, images=images)
     checked = summaries.validate(content, made, F.col("max_words"))
     refuse(checked.where("problem IS NOT NULL").select("video_id", F.concat_ws(": ", F.col("number").cast("string"), "problem").alias("error")), "page")
     return summaries.apply_summaries(checked)
 
 
-def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 200, minutes: float = 60.0, durations: DataFrame | None = None, provider: Provider | None = None, checkpoints: Checkpoints | None = None, workers: int | None = None, check: bool = True, keep: Callable[[DataFrame, str], DataFrame] | None = None, report: Report | None = None) -> tuple[DataFrame, DataFrame]:
+def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 200, minutes: float = 60.0, durations: DataFrame | None = None, provider: Provider | None = None, checkpoints: Checkpoints | None = None, workers: int | None = None, check: bool = True, keep: Callable[[DataFrame, str], DataFrame] | None = None, report: Report | None = None, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Books: all pages, and a row for each video with its figures and warnings.
 
     titles: video_id, title, source_url.  Without a provider, pages show excerpts of their own text (X05).  What forbids a plan
     (P02), a budget that leaves fewer than LEAST_WORDS a page, and a summary that breaks a rule raise; check=False leaves out
     the first of these.  keep(table, name) writes a table that is read more than once and gives back what it
     wrote, by default in the shared folder.  report: hears how many batches a provider has answered.
+    images: path and content of the frames, for a provider that looks at them.
     """
     durations = durations_of(cues) if durations is None else durations
     keep = keep or written(cues.sparkSession)
@@ -163,9 +171,9 @@ def build(cues: DataFrame, frames: DataFrame, titles: DataFrame, pages: int = 20
     if provider is None:
         book = assemble(extractive(told, F.col("max_words")), videos, minutes)
     else:
-        content = keep(summarized(told, provider, checkpoints, workers, report), "summaries")
+        content = keep(summarized(told, provider, checkpoints, workers, report, images), "summaries")
         book = assemble(content, videos, minutes, summaries.overview(content, durations, provider, checkpoints, report))
     book = keep(book, "pages")
     figures = totals(book, cues, frames, minutes)
     notes = warnings(figures, pages, provider is None)
-    return book, videos.select("video_id", "title", "source_url", "duration").join(figures, "video_id").join(notes, "video_id").withColumn("reading_minutes", F.lit(float(minutes)))
+    return book, videos.select("video_id", "title", "source_url", "duration").join(figures, "video_id").join(notes, "video_id").withColumns(assumed(provider, pages, minutes))
