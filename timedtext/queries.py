@@ -202,12 +202,6 @@ def a08_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(frames.groupBy("video_id").agg(F.count("*").alias("captured")), "video_id", "left").withColumn("captured", F.coalesce("captured", F.lit(0)))
 
 
-@query("SELECT p.i AS n_pages, m.i AS minutes, f.b AS has_frames, CAST(least(65, trunc((m.i * 180.0 - 180 - p.i * (CASE WHEN f.b THEN 6 ELSE 0 END) * 3) / p.i)) AS INTEGER) AS max_words FROM range(1, 199) p(i), (VALUES (5), (30), (60)) m(i), (VALUES (true), (false)) f(b)")
-def a10_word_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1, 199).withColumnRenamed("id", "n_pages").withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in (5, 30, 60)]))).withColumn("has_frames", F.explode(F.array(F.lit(True), F.lit(False))))
-    return grid.withColumn("max_words", book.word_budget(F.col("n_pages"), F.col("minutes").cast("double"), F.col("has_frames")))
-
-
 @query(f"WITH {PREFIX} SELECT video_id, g, words_before, nonempty_before, end_before FROM prefixes")
 def w01_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.prefix_sums(timeline.start_groups(conversation_cues(spark, sf_dir))).select("video_id", "g", "words_before", "nonempty_before", "end_before")
@@ -262,18 +256,6 @@ def w08_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.pack_next_fit(turns, 900)
 
 
-@query()
-def w09_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = conversation_cues(spark, sf_dir)
-    return planner.plan_cuts(cues, conversation_frames(spark, sf_dir), planner.durations_of(cues), 198)
-
-
-@query()
-def w11_plan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = conversation_cues(spark, sf_dir)
-    return planner.plan_pages(cues, conversation_frames(spark, sf_dir), planner.durations_of(cues), 198)
-
-
 @query(f"""WITH {CUES}, {FRAMES}, ends AS (SELECT video_id, max("end") AS duration FROM cues GROUP BY video_id)
 SELECT f.video_id, ordinal, ts, path, coalesce(lead(ts) OVER (PARTITION BY f.video_id ORDER BY ts, ordinal), duration) AS until FROM frames f JOIN ends USING (video_id)""")
 def w10_frame_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,30 +310,12 @@ def j04_cut_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.cut_candidates(wide, conversation_frames(spark, sf_dir))
 
 
-@query(f"""WITH {TURNS}, have AS (SELECT * FROM turns WHERE ordinal % 4 <> 3)
-SELECT t.video_id, t.ordinal AS number, h.video_id IS NOT NULL AS found FROM turns t LEFT JOIN have h ON h.video_id = t.video_id AND h.ordinal = t.ordinal""")
-def j05_summary_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = conversation_cues(spark, sf_dir)
-    pages = turns.select("video_id", F.col("ordinal").alias("number"), F.col("text").alias("source_text"))
-    nothing = F.lit("")
-    made = turns.where("ordinal % 4 <> 3").select("video_id", F.col("ordinal").alias("page_id"), F.lit("t").alias("title"), F.lit("s").alias("summary"), F.array().cast("array<string>").alias("bullets"), nothing.alias("takeaway"), nothing.alias("chapter"), nothing.alias("uncertainty"), F.array(F.col("text")).alias("evidence"))
-    checked = summaries.validate(pages, made, 65)
-    return checked.select("video_id", "number", (F.coalesce("problem", F.lit("")) != "the summary is missing").alias("found"))
-
-
 @query("SELECT d.doc_id, sha256(text) AS key FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id % 3 = 0)")
 def j07_missing_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("text")).alias("key"))
     return keyed.join(keyed.where("doc_id % 3 = 0").select("key").distinct(), "key", "left_anti").select("doc_id", "key")
 
 
-@query(f"WITH {CUES}, {FRAMES} SELECT video_id, path, ordinal, ts FROM frames WHERE ordinal % 2 = 0")
-def j09_unpictured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = conversation_frames(spark, sf_dir)
-    pages = frames.where("ordinal % 2 = 1").select("video_id", F.col("path").alias("frame_path"))
-    return timeline.unpictured(frames, pages).select("video_id", "path", "ordinal", "ts")
-
-
 def _demo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pages: a cover, an overview and content with bullets, some with a note."""
     c = conversation_cues(spark, sf_dir)
@@ -394,24 +358,4 @@ def p12_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("video_id", "number", export.notes().alias("notes"))
 
 
-@query()
-def x06_build_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = conversation_cues(spark, sf_dir)
-    pages, _ = book.build(cues, conversation_frames(spark, sf_dir), _demo_videos(spark, sf_dir).select("video_id", "title", "source_url"))
-    return pages
-
-
-@query()
-def x06_book_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = conversation_cues(spark, sf_dir)
-    return book.build(cues, conversation_frames(spark, sf_dir), _demo_videos(spark, sf_dir).select("video_id", "title", "source_url"))[1]
-
-
-@query()
-def s21_demo_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = fixtures.demo_cues(spark)
-    titles = spark.createDataFrame([("demo", "A short course", "")], "video_id string, title string, source_url string")
-    return book.build(cues, fixtures.demo_frames(spark), titles, 10, 5.0)[0]
-
-
-from . import queries_books, queries_images, queries_sources, queries_streams  # noqa: E402, F401 - register more
+from . import queries_books, queries_images, queries_plans, queries_sources, queries_streams  # noqa: E402, F401 - register more
