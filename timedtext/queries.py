@@ -6,14 +6,14 @@ models in tests/.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import links, text
-from .operators import dedup, sampling, summaries, timeline
-from .plans import book, planner
+from .operators import dedup, sampling, timeline
+from .plans import planner
 from .sinks import export
-from .sources import fixtures, tracks
+from .sources import tracks
 from .sources.fixtures import conversation_cues, conversation_frames, event_samples, rolling_cues, table
 
 QUERIES: dict = {}
