@@ -751,6 +751,30 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(x < 0 for x in first.values()) and blank < 0 and model.distinct == 6
 
 
+def test_documents_are_joined_by_rare_pairs_alone(spark):
+    """Of each item the rarest n - needed + 1 places are seeds; documents that hold only its common pairs are no candidates."""
+    common, rng = "of the by the in the of a".split(), random.Random(5)
+    items = [" ".join(common + [f"x{k}a{i}" for i in range(40)] + common) for k in range(4)] + ["a b c"]
+    docs = [" ".join(rng.choice(common) for _ in range(300)) for _ in range(40)] + [items[1], "lead in " + " ".join(w for i, w in enumerate(items[2].split()) if i % 7) + " end"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    (wave,) = decontaminate._items(bench, "item_id", "text")
+    seeds = decontaminate._seeds(wave, 0.5)
+    counts = decontaminate.counted_seeds(frame.select("text"), seeds.hashes)
+    words = [d.split() for d in docs]
+    spans = collections.Counter(decontaminate.pairs(*np.array([[decontaminate.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0][0]] for x in (w[i], w[i + s])]), s - 1)[0] for w in words for s in (1, 2) for i in range(len(w) - s))
+    assert counts.tolist() == [spans.get(h, 0) for h in seeds.hashes]
+    slots = decontaminate.rare_slots(seeds, counts)
+    for k, (_, item) in enumerate(wave):
+        own = np.flatnonzero(seeds.item == k)
+        often, chosen = counts[seeds.seed[own]].sum(axis=1), np.isin(own, slots)
+        assert chosen.sum() == len(own) - seeds.need[k] + 1 and often[chosen].max() <= min(often[~chosen], default=10**9)
+    rare = decontaminate._rare(seeds, slots)
+    wanted = decontaminate.Wanted(rare.hashes)
+    hit = [i for i, d in enumerate(docs) for _, w, r in decontaminate._blocks(__import__("pyarrow").array([d])) if len(wanted.found(w, r)[0])]
+    assert hit == [40, 41] and sorted((r.id, r.item) for r in decontaminate.contaminated(frame, bench).collect()) == [(40, 1), (41, 2)]
+
+
 def test_lost_model_file_is_an_error(spark, docs):
     import glob
     import os
