@@ -19,8 +19,8 @@ words before.  Stretches around such rows, with one word more on each side, hold
 64-bit hashes here, which can only add stretches; the steps above compare words.  reach=False takes whole texts instead.
 
 Rows are judged one by one, so nothing is shuffled; a worker holds one text's words and the automaton of one stretch, about
-500 bytes a word.  Edge cases: null and blank texts have no words and no runs; a null id counts as the empty text; repeated rows
-are judged each; empty tables give no rows; columns other than id and text are ignored.
+500 bytes a word.  Edge cases: null and blank texts have no words and no runs; null ids are kept as they are; repeated rows are
+judged each; empty tables give no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
