@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .queries import query
+from .queries import TURNS, query
 from .sources import frames, pixels
-from .sources.fixtures import table
+from .sources.fixtures import conversation_cues, table
 
 WIDTH, HEIGHT = 12, 8
 #: Of pixels in SQL: event e, row y, column x, sample c; even events are grey.
@@ -84,3 +84,27 @@ def f20_image_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """how much each event's image differs from the next one's."""
     pair = pixels.difference(_drawn(F.col("event_id")), _drawn(F.col("event_id") + 1), (HEIGHT, WIDTH, 3))
     return table(spark, sf_dir, "events").select("event_id", F.round(pair, 6).alias("difference"))
+
+
+GREY = "(video_id * 37 + ordinal * 53 + length(text)) % 256"
+
+
+@query(f"""WITH RECURSIVE {TURNS}, n AS (SELECT video_id, ordinal, CAST({GREY} AS DOUBLE) / 255 AS v, row_number() OVER p AS i, lag(CAST({GREY} AS DOUBLE) / 255) OVER p AS before FROM turns WINDOW p AS (PARTITION BY video_id ORDER BY ordinal)),
+walk AS (SELECT video_id, i, ordinal, v AS anchor, true AS keep FROM n WHERE i = 1
+  UNION ALL SELECT n.video_id, n.i, n.ordinal, CASE WHEN abs(n.v - n.before) > {frames.THRESHOLD} OR abs(n.v - w.anchor) > {frames.THRESHOLD} THEN n.v ELSE w.anchor END, abs(n.v - n.before) > {frames.THRESHOLD} OR abs(n.v - w.anchor) > {frames.THRESHOLD}
+  FROM walk w JOIN n ON n.video_id = w.video_id AND n.i = w.i + 1)
+SELECT video_id, CAST(ordinal AS INTEGER) AS ordinal, ordinal * CAST(2.5 AS DOUBLE) AS ts, printf('%04d.png', ordinal) AS path FROM walk WHERE keep""")
+def s13_select_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of one grey for each turn and the extraction's log of its times, to the frames that show something new."""
+
+    @F.pandas_udf("binary")
+    def plain(greys: pd.Series) -> pd.Series:
+        return greys.map(lambda g: png(np.full((HEIGHT, WIDTH, 3), g, np.uint8), [g % 5]))
+
+    turns = conversation_cues(spark, sf_dir)
+    path = F.concat(F.lpad(F.col("ordinal").cast("string"), 4, "0"), F.lit(".png"))
+    images = turns.select("video_id", path.alias("path"), plain(F.expr(GREY)).alias("content"))
+    line = F.concat(F.lit("[info] n:"), F.col("ordinal").cast("string"), F.lit(" pts_time: "), (F.col("ordinal") * 2.5).cast("string"), F.lit(" fmt:rgb24"))
+    lines = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
+    logs = turns.groupBy("video_id").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("value"))
+    return frames.select_frames(images, logs)

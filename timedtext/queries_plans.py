@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import summaries, timeline
 from .operators.summaries import OVERVIEW_CHAPTER
 from .plans import book, planner
-from .queries import FRAMES, PREFIX, TURNS, _demo_videos, query, s_stamp
+from .queries import FRAMES, PAGE_ROWS, PREFIX, TURNS, _demo_pages, _demo_videos, query, s_stamp
 from .sources.fixtures import conversation_cues, conversation_frames, table
 
 TARGET = 198
@@ -154,3 +154,23 @@ def j05_summary_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = made.unionByName(made.where(is_(7)).withColumn("page_id", F.col("page_id") + 1000)).drop("fault")
     checked = summaries.validate(turns.select("video_id", F.col("ordinal").alias("number"), F.col("text").alias("source_text")), made, 65)
     return checked.select("video_id", "number", F.coalesce("problem", F.lit("")).alias("problem"))
+
+
+class Quoting:
+    """A provider that quotes: its first answer for a batch that begins at an even page breaks a rule, and it tells how often it was asked."""
+
+    name, version = "quoting", "1"
+
+    def summarize(self, records: list[dict], max_words: int, feedback: str | None) -> list[dict]:
+        wrong = feedback is None and records[0]["page_id"] % 2 == 0
+        quote = lambda r: "never said at all" if wrong else " ".join(r["source_text"].split(" ")[:3])
+        told = "first" if feedback is None else "after: " + feedback.partition(": ")[2]
+        return [{"page_id": r["page_id"], "title": f"Page {r['page_id']}", "summary": told, "bullets": [], "takeaway": "", "chapter": "", "uncertainty": "", "evidence": [quote(r)]} for r in records]
+
+
+@query(f"""WITH {PAGE_ROWS}, b AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY number) - 1) // 3 AS batch FROM pages_), f AS (SELECT *, min(number) OVER (PARTITION BY video_id, batch) AS first FROM b)
+SELECT video_id, CAST(number AS INTEGER) AS page_id, 'Page ' || number AS title, CASE WHEN first % 2 = 0 THEN 'after: a quote is not in the transcript' ELSE 'first' END AS summary, array_to_string(string_split(source_text, ' ')[1:3], ' ') AS quote FROM f""")
+def x03_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages summarized in batches of three, of which those with a wrong quote are asked again and told so."""
+    made = summaries.summarize(_demo_pages(spark, sf_dir), Quoting(), 65, batch_size=3)
+    return made.select("video_id", "page_id", "title", "summary", F.array_join("evidence", " | ").alias("quote"))

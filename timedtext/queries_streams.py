@@ -52,3 +52,17 @@ def tb_online_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tb_online_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-b: S14 on the events as a stream; equals s14 at rest."""
     return to_end(spark, lambda: online.online_interval(event_stream(spark, sf_dir), 86_400.0, "0 seconds"), "samples")
+
+
+GAP, LATE = 6 * 3600, 24 * 3600
+
+
+@query(f"""WITH e AS (SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t, event_id % 7 AS words FROM events),
+b AS (SELECT *, coalesce(t - lag(t) OVER w > {GAP}, true) AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+n AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM b)
+SELECT user_id AS video_id, min(t) AS first, max(t) + {GAP} AS last, count(*) AS cues, CAST(sum(words) AS BIGINT) AS words FROM n GROUP BY user_id, session HAVING max(t) + {GAP} <= (SELECT max(t) FROM e) - {LATE}""")
+def ta_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-a: the sessions of each user that a stream has closed when it has read all events: those that ended a day before."""
+    at = F.timestamp_seconds(F.unix_timestamp("ts")).alias("at")
+    made = to_end(spark, lambda: online.speech_sessions(stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), at, (F.col("event_id") % 7).alias("words")), f"{GAP} seconds", f"{LATE} seconds"), "sessions")
+    return made.select("video_id", F.unix_timestamp("start").alias("first"), F.unix_timestamp("end").alias("last"), "cues", "words")

@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,12 +42,10 @@ class Checkpoints:
 
     def versions(self) -> list[str]:
         """The folders that are committed, in the order of their numbers."""
-        try:
-            found = self.spark.read.text(f"{self.path}/commits", wholetext=True).select("_metadata.file_name", "value").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        fs, commits = self._at("commits")
+        if not fs.exists(commits):
             return []
+        found = self.spark.read.text(f"{self.path}/commits", wholetext=True).select("_metadata.file_name", "value").collect()
         return [r.value for r in sorted(found, key=lambda r: int(r.file_name))]
 
     def rows(self) -> DataFrame:
