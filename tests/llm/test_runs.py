@@ -146,3 +146,17 @@ def test_query_equals_brute_force(spark, sf):
         assert x.runs_sha256 == hashlib.sha256("".join(f"{s},{e - s},{q}\n" for s, e, q in found).encode()).hexdigest()
         assert x.collapsed_sha256 == hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()
     assert planted >= 10
+
+
+def test_tails_of_null_ids_and_blank_texts(spark):
+    """The query's periodic tails: a null id counts as the empty text, whose checksum is 0; texts without words stay as they are."""
+    chosen = next(i for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    other = next(i for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 10)
+    rows = [(None, "a b c d e f g h"), (chosen, None), (chosen, " \t"), (chosen, "one"), (other, "x  y"), (chosen, "a b c d e f g h i j k l m n o p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in queries.with_periodic_tails(frame.coalesce(1)).collect()]
+    words = "a b c d e f g h i j k l m n o p".split()
+    g = zlib.crc32(str(chosen).encode()) // 10
+    a = g % 16
+    p = 1 + (16 - a) // (3 + g % 8)
+    assert got == ["a b c a b c a b", None, " \t", "one", "x  y", " ".join(words[i] if i < a else words[a + (i - a) % p] for i in range(16))]
