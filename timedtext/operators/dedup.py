@@ -57,12 +57,12 @@ def deduplicate_rolling(cues: DataFrame, tolerance: float = TOLERANCE, exact: bo
     that is a repeat as a whole goes, and the last cue that stays lasts until its end.
     """
     order = Window.partitionBy("video_id").orderBy("start", "end", "ordinal")
-    keyed = cues.withColumn("_keys", _keys(F.col("text"), exact))
-    near = keyed.withColumn("_before", F.when(F.col("start") <= F.lag("end").over(order) + tolerance, F.lag("_keys").over(order)))
-    found = near.withColumn("_n", F.when(F.col("_before").isNull(), F.lit(0)).otherwise(overlap(F.col("_before"), F.col("_keys"))))
-    words = F.size("_keys")
+    # Only texts are shuffled and sorted; the keys of both are made where they lie.
+    near = cues.withColumn("_before", F.when(F.col("start") <= F.lag("end").over(order) + tolerance, F.lag("text").over(order)))
+    found = near.withColumn("_n", overlap(_keys(F.col("_before"), exact), _keys(F.col("text"), exact)))
+    words = F.size(F.split("text", " "))
     cut = F.when((F.col("_n") >= 2) | (F.col("_n") == words), F.col("_n")).otherwise(F.lit(0))
-    island = found.withColumn("_cut", cut).withColumn("_stays", F.col("_cut") < words).withColumn("_island", F.sum(F.col("_stays").cast("int")).over(order))
+    island = found.drop("_before").withColumn("_cut", cut).withColumn("_stays", F.col("_cut") < words).withColumn("_island", F.sum(F.col("_stays").cast("int")).over(order))
     last = F.max("end").over(Window.partitionBy("video_id", "_island"))
     out = island.withColumn("_last", last).where("_stays")
     text = F.array_join(F.slice(F.split("text", " "), F.col("_cut") + 1, F.greatest(words, F.lit(1))), " ")
