@@ -49,6 +49,12 @@ def _drawn(event: Column) -> Column:
     return draw(event)
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' ids, dealt to as many tasks as there are cores, or one for each 20,000: an image takes far longer than its id."""
+    ids = table(spark, sf_dir, "events").select("event_id")
+    return ids.repartition(max(spark.sparkContext.defaultParallelism, ids.count() // 20_000))
+
+
 BOXES = [(0, 0, WIDTH, HEIGHT), (3, 2, 9, 6), (10, 7, 40, 40)]
 
 
@@ -56,7 +62,7 @@ BOXES = [(0, 0, WIDTH, HEIGHT), (3, 2, 9, 6), (10, 7, 40, 40)]
   avg(v) BETWEEN 100 AND 150 AND avg(v) FILTER (x BETWEEN 3 AND 8 AND y BETWEEN 2 AND 5) BETWEEN 90 AND 160 AS fits FROM px GROUP BY e""")
 def a13_region_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, the means of three regions, and whether they are a layout's."""
-    m = table(spark, sf_dir, "events").select("event_id", pixels.measured(_drawn(F.col("event_id")), BOXES).alias("m")).select("event_id", "m.*")
+    m = _events(spark, sf_dir).select("event_id", pixels.measured(_drawn(F.col("event_id")), BOXES).alias("m")).select("event_id", "m.*")
     means = [F.round(F.col("means")[i], 6).alias(n) for i, n in enumerate(("whole", "middle", "corner"))]
     return m.select("event_id", F.col("size")[0].alias("width"), F.col("size")[1].alias("height"), *means, frames.fits_layout(F.col("size"), F.col("means"), (WIDTH, HEIGHT), [(100, 150), (90, 160)]).alias("fits"))
 
@@ -69,7 +75,7 @@ def s15_cropped_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cells(contents: pd.Series) -> pd.Series:
         return contents.map(lambda c: pixels.decode(c, (2, 3, 3), (0.25, 0.25, 0.5, 0.5)).mean(axis=2).ravel().tolist())
 
-    made = table(spark, sf_dir, "events").select("event_id", cells(_drawn(F.col("event_id"))).alias("m"))
+    made = _events(spark, sf_dir).select("event_id", cells(_drawn(F.col("event_id"))).alias("m"))
     return made.select("event_id", *[F.round(F.col("m")[3 * r + k], 6).alias(f"cell_{r}{k}") for r in range(2) for k in range(3)])
 
 
@@ -83,7 +89,7 @@ SELECT event_id, round(greatest(c.d, least(1, o.d)), 6) AS difference FROM chang
 def f20_image_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """how much each event's image differs from the next one's."""
     pair = pixels.difference(_drawn(F.col("event_id")), _drawn(F.col("event_id") + 1), (HEIGHT, WIDTH, 3))
-    return table(spark, sf_dir, "events").select("event_id", F.round(pair, 6).alias("difference"))
+    return _events(spark, sf_dir).select("event_id", F.round(pair, 6).alias("difference"))
 
 
 GREY = "(video_id * 37 + ordinal * 53 + length(text)) % 256"
