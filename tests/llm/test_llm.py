@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -180,6 +181,24 @@ def test_messages_grow_with_the_input(spark, monkeypatch):
     assert counts[1] <= 4.1 * counts[0]
 
 
+@pytest.mark.parametrize("shards", [17, 64, 200, 300])
+def test_a_relay_holds_about_one_chunk(spark, monkeypatch, shards):
+    """However little the shards pass the fan's powers: a few wide ranges of many senders would be many chunks in one task."""
+    monkeypatch.setattr(exchange, "FAN", 16)
+    kind, entries, chunks = exchange.Kind(shards), 2000, 48
+
+    def ask(table):
+        own = np.random.default_rng(table.column("chunk")[0].as_py()).integers(0, 2**63, entries).astype(np.uint64) * np.uint64(2)
+        return exchange._messages(kind, exchange.Keys(own, np.zeros(entries, np.uint32)).entries, exchange.widths(kind.shards)[0], table.column("chunk")[0].as_py())
+
+    def held(table):
+        return pa.table({"n": pa.array([sum(len(kind.decode(b).high) for b in table.column("body").to_pylist())])})
+
+    first = spark.range(chunks).select(F.col("id").alias("chunk")).groupBy("chunk").applyInArrow(ask, exchange.MESSAGE)
+    for level in exchange.relayed(first, kind)[:-1]:
+        assert exchange._nodes(level, exchange.fan(shards)).applyInArrow(held, "n long").agg(F.max("n")).first()[0] <= 2 * entries
+
+
 def test_workers_need_no_package(tmp_path):
     """From another folder and without PYTHONPATH, as on a cluster whose workers have no copy of the package."""
     import os

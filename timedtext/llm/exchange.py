@@ -6,10 +6,10 @@ part of the key space.  The chunk comes to the same keys again when it reads the
 so most of a key's bits are never moved.
 
 A chunk sends at most FAN messages a round, each for a range of neighbouring shards.  With more than FAN shards, relays stand
-between: a relay takes the messages of FAN senders for one range, makes their keys distinct, and sends at most FAN messages on
-to narrower ranges, until a range is one shard; answers go back the same way.  So messages number FAN a chunk and level at
-most, with log(shards) / log(FAN) levels: they grow with the input and not with its square, and hold about as many keys
-however large it is.  A relay holds the messages of FAN senders, of which each is about one FANth of a chunk.
+between: a relay takes the messages of some senders for one range, makes their keys distinct, and sends messages on to narrower
+ranges, until a range is one shard; answers go back the same way.  There are log(shards) / log(FAN) levels, and at each of them
+a range is cut into equally many, fan(shards), which is FAN at most; so messages grow with the input and not with its square.  A
+relay takes as many senders as there are ranges, so it holds about one chunk's keys, whatever the number of shards.
 
 The shuffle of the texts serves all rounds of one job.  What a lost executor held is made again from the input.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import only, pack, partitions, unpack
 
-#: Messages that a chunk or a relay sends in a round, and senders that a relay takes messages from.
+#: Messages that a chunk or a relay sends in a round at most.
 FAN = 256
 MESSAGE, REPLY = "target long, sender long, body binary", "chunk long, round int, target long, body binary"
 _MESSAGE = pa.schema([("target", pa.int64()), ("sender", pa.int64()), ("body", pa.binary())])
@@ -176,11 +176,21 @@ class Kind:
         return m.back(self, self.decide(m))
 
 
+def fan(shards: int) -> int:
+    """Messages that a sender sends, and senders that a relay takes: the least that reach all shards in as few levels as FAN does."""
+    levels, out = 1, 1
+    while FAN**levels < shards:
+        levels += 1
+    while out**levels < shards:
+        out += 1
+    return out
+
+
 def widths(shards: int) -> list[int]:
     """How many shards a message's range holds, level by level; the last is 1."""
-    out = [1]
-    while out[0] * FAN < shards:
-        out.insert(0, out[0] * FAN)
+    out, each = [1], fan(shards)
+    while out[0] * each < shards:
+        out.insert(0, out[0] * each)
     return out
 
 
@@ -224,28 +234,28 @@ def _sorted(table: pa.Table) -> tuple[list[int], list[bytes]]:
 
 def relayed(messages: DataFrame, kind: Kind) -> list[DataFrame]:
     """The messages of each level: those of the chunks, then what the relays send on."""
-    fan = FAN
+    each = fan(kind.shards)
 
     def relay(width):
         def relaying(table):
             senders, bodies = _sorted(table)
-            return _messages(kind, Merged([kind.decode(b) for b in bodies]).entries, width, senders[0] // fan)
+            return _messages(kind, Merged([kind.decode(b) for b in bodies]).entries, width, senders[0] // each)
 
         return relaying
 
     out = [messages]
     for width in widths(kind.shards)[1:]:
-        out.append(_nodes(out[-1], fan).applyInArrow(relay(width), MESSAGE))
+        out.append(_nodes(out[-1], each).applyInArrow(relay(width), MESSAGE))
     return out
 
 
-def _nodes(messages: DataFrame, fan: int):
-    return messages.withColumn("node", F.expr(f"sender div {fan}")).groupBy("target", "node")
+def _nodes(messages: DataFrame, senders: int):
+    return messages.withColumn("node", F.expr(f"sender div {senders}")).groupBy("target", "node")
 
 
 def _answered(levels: list[DataFrame], kind: Kind, number: int) -> DataFrame:
     """chunk, round, target and body of the answers to the messages of all chunks."""
-    fan = FAN
+    each = fan(kind.shards)
 
     def replies(table, bodies):
         senders, _ = _sorted(table)
@@ -265,8 +275,8 @@ def _answered(levels: list[DataFrame], kind: Kind, number: int) -> DataFrame:
 
     out = levels[-1].groupBy("target").applyInArrow(answer, REPLY)
     for level, width in zip(levels[-2::-1], widths(kind.shards)[:0:-1]):
-        told = out.withColumns({"up": F.expr(f"target div {fan}"), "node": F.col("chunk")}).groupBy("up", "node")
-        out = _nodes(level, fan).cogroup(told).applyInArrow(back(width), REPLY)
+        told = out.withColumns({"up": F.expr(f"target div {each}"), "node": F.col("chunk")}).groupBy("up", "node")
+        out = _nodes(level, each).cogroup(told).applyInArrow(back(width), REPLY)
     return out
 
 

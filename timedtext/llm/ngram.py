@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASES, checkpointed, mix, only, pack, prefix_hashes, range_hash, shared_path, text_blocks, unpack, word_spans
-from .exchange import FAN, put, take, unzipped, widths, zipped
+from .exchange import fan, put, take, unzipped, widths, zipped
 
 #: Distinct entries that a task gathers before it sends them on; bounds its memory.
 GATHER = 1 << 20
@@ -194,13 +194,13 @@ def _sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(messages: DataFrame, shards: int, total: int, shard_of: Callable[[], Callable]) -> DataFrame:
-    """Messages to ranges of shards as messages to shards.  With more than FAN shards relays add up what some FAN senders have
-    for a range and send it on to narrower ones, so that messages number FAN a sender and level at most.
+    """Messages to ranges of shards as messages to shards.  With more than FAN shards relays add up what some senders have for a
+    range, as many as there are ranges, and send it on to narrower ones; so a relay gathers what one sender does.
 
     shard_of() gives, on a worker, the function from keys to shards.
     """
     for level, width in enumerate(widths(shards)[1:], 1):
-        nodes = max(1, total // GATHER // FAN**level)
+        nodes = max(1, total // GATHER // fan(shards) ** level)
         messages = messages.groupBy("kind", "shard", F.pmod(F.xxhash64("body"), F.lit(nodes)).alias("node")).applyInArrow(_relay(width, shard_of), MESSAGE)
     return messages
 
