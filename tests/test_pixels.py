@@ -7,6 +7,7 @@ import pytest
 
 from timedtext.queries_images import png
 from timedtext.sources import pixels
+from timedtext.sources.frames import image_difference, image_differences
 
 
 def chunk(name, data):
@@ -73,3 +74,31 @@ def test_columns_of_images(spark):
     got = {r.id: r.m for r in frame.select("id", pixels.measured(frame.content, [(0, 0, 6, 4)]).alias("m")).collect()}
     assert got[1].size == [6, 4] and got[1].means == [9.0] and "no PNG" in got[2].error and got[3].error is None and got[3].means is None
     assert [r.d for r in frame.where("id <> 2").select(pixels.difference(frame.content, frame.content, (8, 8, 3)).alias("d")).collect()] == [0.0, None]
+
+
+def test_many_images_are_read_as_each_is(monkeypatch):
+    """Images of several shapes and kinds, nulls and broken ones among them, together and in blocks."""
+    rng = np.random.default_rng(9)
+    made = [png(rng.integers(0, 256, (h, w, s)).astype(np.uint8), rng.integers(0, 5, 4).tolist()) for h, w, s in ((4, 6, 1), (4, 6, 3), (5, 7, 4), (3, 3, 2)) for _ in range(40)]
+    made += [packed(9, 1, 1, 0, b"\x00\xa5\x80"), packed(2, 1, 16, 2, b"\x04" + bytes(range(12)))] * 20
+    broken = [None, b"x", packed(1, 1, 8, 0, b"\x07\x00")]
+    order = rng.permutation(len(made) + len(broken))
+    for together in (pixels.TOGETHER, 500):
+        monkeypatch.setattr(pixels, "TOGETHER", together)
+        got = list(pixels.read_many([(made + broken)[i] for i in order]))
+        for i, image in zip(order.tolist(), got):
+            if i < len(made):
+                assert np.array_equal(image, pixels.read_png(made[i]))
+        assert [str(got[order.tolist().index(len(made) + k)])[:12] for k in range(3)] == ["None", "the file is ", "the image ha"]
+        for crop in (None, (0.25, 0.25, 0.5, 0.5)):
+            assert np.array_equal(pixels.decode_many(made, (3, 5, 3), crop), np.stack([pixels.decode(c, (3, 5, 3), crop) for c in made]))
+    a, b = pixels.decode_many(made[:9], (8, 8, 3)), pixels.decode_many(made[9:18], (8, 8, 3))
+    assert np.allclose(image_differences(a, b), [image_difference(x, y) for x, y in zip(a, b)])
+
+
+def test_alike_images_with_a_broken_one(monkeypatch):
+    """Of many images of one shape one has a row of an unknown kind: it alone is an error."""
+    good = png(np.arange(12, dtype=np.uint8).reshape(3, 4, 1), [4])
+    bad = packed(4, 3, 8, 0, b"\x00" * 10 + b"\x09" + b"\x00" * 4)
+    got = list(pixels.read_many([good] * 30 + [bad] + [good] * 30))
+    assert [isinstance(x, pixels.ImageError) for x in got] == [False] * 30 + [True] + [False] * 30
