@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clock, general, word_count
+from ..functions.text import clock, word_count
 from ..operators import summaries
 from ..operators.summaries import Provider, extractive, visible_text
 from ..operators.timeline import unpictured
@@ -53,7 +53,7 @@ def filled(sentence: str, *values: Column) -> Column:
 def _front(title: Column, duration: Column, n_pages: Column, minutes: float) -> Column:
     """Cover and overview of a video, as an array of pages."""
     text = lambda parts: F.array(*[F.lit(t) for t in parts])
-    cover = filled(COVER_TEXT, (n_pages + 2).cast("string"), clock(duration), general(F.lit(float(minutes))))
+    cover = filled(COVER_TEXT, (n_pages + 2).cast("string"), clock(duration), F.lit(f"{float(minutes):g}"))
     page = lambda number, title, summary, bullets, takeaway, kind, chapter: F.struct(
         F.lit(number).alias("number"), title.alias("title"), F.lit(0.0).alias("start"), duration.alias("end"), summary.alias("summary"), bullets.alias("bullets"), F.lit(takeaway).alias("takeaway"),
         F.lit(None).cast("string").alias("frame_path"), F.lit("").alias("source_text"), F.lit(kind).alias("kind"), F.lit(chapter).alias("chapter"), F.lit("").alias("uncertainty"),
