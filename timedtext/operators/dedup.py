@@ -12,7 +12,7 @@ TOLERANCE = 0.1
 
 
 def _keys(text: Column, exact: bool) -> Column:
-    """The word keys of a text.  The exact case fold is an Arrow function and can't stand in a lambda, so it runs before the split."""
+    """The word keys of a text.  The exact case fold runs once over the whole text, before the split."""
     folded = casefold(text, exact) if exact else text
     return F.transform(F.split(folded, " "), lambda w: word_key(w))
 
