@@ -46,3 +46,17 @@ def written(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     return keep
+
+
+#: Whole files that Python gets at once.
+FILES = 500
+
+
+def few(files: DataFrame) -> DataFrame:
+    """files, of which Python will get at most FILES rows at once, unless the session says how many itself.
+
+    Only the session can bound what the JVM hands over; a setting that is there is left as it is, and none is undone."""
+    conf, key = files.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "0") == "0":  # unset
+        conf.set(key, FILES)
+    return files
