@@ -1,13 +1,14 @@
 """Cuts of a timeline into pages of about equal reading, video by video.
 
 The relational parts around it (groups, prefix sums, page numbers, texts, frames) are DataFrame operators.  The choice of a
-cut depends on the cut before, so it runs as one grouped Arrow function on a video's numbers; it never sees a text.
+cut depends on the cut before, so it runs as an Arrow function over the numbers of videos in order; it never sees a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +104,48 @@ def plan_cuts(cues: DataFrame, frames: DataFrame, durations: DataFrame, target:
     changes = frames.select("video_id", F.lit(1).alias("kind"), F.col("ts").alias("t"), F.lit(None).cast("double").alias("end"), F.lit(0).alias("words"))
     rows = groups.unionByName(changes).join(durations.select("video_id", "duration"), "video_id")
 
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["kind"] == 0].sort_values("t")
-        columns = ["video_id", "number", "start", "end", "first_start"]
-        if not own["words"].sum():
-            return pd.DataFrame(columns=columns)
-        line = Timeline(own["t"].to_numpy(float), own["end"].to_numpy(float), own["words"].to_numpy(), rows.loc[rows["kind"] == 1, "t"].to_numpy(float), float(rows["duration"].iloc[0]))
-        index, start = line.cuts(target)
-        return pd.DataFrame({"video_id": own["video_id"].iloc[0], "number": np.arange(3, 3 + len(index), dtype=np.int32), "start": start, "end": [*start[1:], line.duration], "first_start": line.starts[index]})[columns]
-
-    return rows.groupBy("video_id").applyInPandas(plan, CUTS.format(dict(cues.dtypes)["video_id"]))
+    def planned(table: pa.Table) -> pa.RecordBatch:
+        """The cuts of whole videos, each of whose groups and then changes follow each other by time."""
+        ids = table.column("video_id").combine_chunks()
+        kind, t, ends, words, lengths = (table.column(c).to_numpy() for c in ("kind", "t", "end", "words", "duration"))
+        new = np.flatnonzero(np.r_[True, np.asarray(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False), bool)])
+        groups = np.r_[0, np.cumsum(kind == 0)]
+        at, numbers, starts, untils, firsts = [], [], [], [], []
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(ids)]):
+            m = a + int(groups[b] - groups[a])
+            if not words[a:m].sum():
+                continue
+            line = Timeline(t[a:m], ends[a:m], words[a:m], t[m:b], float(lengths[a]))
+            index, start = line.cuts(target)
+            at += [a] * len(index)
+            numbers += range(3, 3 + len(index))
+            starts += start
+            untils += [*start[1:], line.duration]
+            firsts += line.starts[index].tolist()
+        columns = [ids.take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), *[pa.array(x, pa.float64()) for x in (starts, untils, firsts)]]
+        return pa.RecordBatch.from_arrays(columns, ["video_id", "number", "start", "end", "first_start"])
+
+    def plan(batches):
+        """Videos come one after the other; of the last in a batch more may come."""
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            if held and ids[len(ids) - 1] == held[0].column(0)[0]:
+                held.append(batch)
+                continue
+            last = int(pc.index(ids, ids[len(ids) - 1]).as_py())
+            done = [*held, batch.slice(0, last)]
+            if sum(b.num_rows for b in done):
+                yield planned(pa.Table.from_batches(done))
+            held = [batch.slice(last)]
+        if held:
+            yield planned(pa.Table.from_batches(held))
+
+    # Many short videos go through Python together: a group of its own takes far longer than its cuts.
+    ordered = rows.select("video_id", "kind", "t", "end", "words", "duration").repartition("video_id").sortWithinPartitions("video_id", "kind", "t")
+    return ordered.mapInArrow(plan, CUTS.format(dict(cues.dtypes)["video_id"]))
 
 
 def input_errors(cues: DataFrame, frames: DataFrame, durations: DataFrame) -> DataFrame:
