@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from timedtext.llm import components, countmin, decontaminate, exchange, mixing, ngram, queries, secrets, simhash, suffixes, topk, toxicity, urlfilter
+from timedtext.llm import common, components, countmin, decontaminate, exchange, mixing, ngram, queries, secrets, simhash, suffixes, topk, toxicity, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, chunk int, score double, key string, tokens string"
@@ -149,6 +150,43 @@ def test_passage_of_fifty_words_is_shared_but_not_removed(spark):
     assert all(r.n_removed == 0 and (r.n_shared >= 200) == (r.id % 2 == 1) and (r.n_shared > 0) == (r.id % 2 == 1) for r in got)
 
 
+def test_suffix_dedup_of_chunks_of_many_blocks(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "text_blocks", lambda texts: common.text_blocks(texts, 500))
+    rows = docs.select("text").collect()
+    got = suffixes.drop_repeats(docs, 60, 13, chunk_bytes=1 << 16).select("n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == bytes_model([r.text for r in rows], 60)
+
+
+def test_suffix_dedup_holds_little_of_a_chunk_and_of_a_shard(spark, monkeypatch):
+    """Memory of each step over a whole chunk in which all is repeated, and of a shard as large as they get."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 5000).astype(np.uint8).tobytes().decode() for _ in range(suffixes.CHUNK_BYTES // 10000)] * 2
+    monkeypatch.setattr(suffixes, "rounds", lambda base, steps, last, schema: (steps, last))
+    steps, finish = suffixes.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    table, told, kinds = pa.table({"chunk": pa.array([0] * len(texts)), "id": pa.array(range(len(texts))), "text": texts}), {}, [kind for _, kind in steps]
+
+    def peak(f, *args):
+        monkeypatch.setattr(common, "_POWERS", {})
+        tracemalloc.start()
+        try:
+            return f(*args), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    for number, (ask, kind) in enumerate(steps):
+        entries, most = peak(ask, table, exchange.Replies(kinds, told))
+        assert most < 100 << 20
+        told[number] = {} if not len(entries.high) else {0: kind.answer(0, [kind.encode(entries)])[0]}
+    out, most = peak(finish, table, exchange.Replies(kinds, told))
+    assert most < 100 << 20 and set(out["n_removed"].to_pylist()) == {5000}
+
+    for kind in kinds[:2]:
+        high = np.sort(rng.integers(0, 2**63, suffixes.SHARD_BYTES // 7).astype(np.uint64)) >> np.uint64(kind.unused) << np.uint64(kind.unused)
+        e = exchange.Entries(high, high if kind.low else None, np.zeros(len(high), bool))
+        bodies = [kind.encode(e.part(a, a + 30000)) for a in range(0, len(high), 30000)]
+        assert peak(kind.answer, 0, bodies)[1] < 250 << 20
+
+
 def test_rounds_through_relays(docs, monkeypatch):
     """With a fan of 3 the messages pass relays of several levels; the results are the same."""
     monkeypatch.setattr(exchange, "FAN", 3)

@@ -24,7 +24,7 @@ Round 2 also tells which cores are shared: their bytes are counted as n_shared.
 `shared` - v + 1 bytes stands elsewhere, and `shared` - v + 1 at least where one of `shared` bytes does.
 
 Buckets and chunks have bounded sizes; a chunk makes its keys distinct before it sends them, so that no text, however
-frequent, is more than one entry a chunk.
+frequent, is more than one entry a chunk.  A chunk's texts are gone through in blocks of BLOCK_BYTES, or of one longer text.
 
 Edge cases: null texts are empty; texts of fewer than length bytes lose nothing; exact copies lose all bytes but those no
 window covers, which is none; rows that share an id are rows of their own; an empty table gives no rows; other columns are
@@ -44,8 +44,8 @@ LENGTH, SHARED, MODULUS = 400, 256, 57
 CHUNK_BYTES = 2 << 20
 #: False hits of the first round: one in 2 ** SPARE_BITS.
 SPARE_BITS = 10
-#: Text bytes for each shard; bounds what one task sorts.
-SHARD_BYTES = 32 << 20
+#: Text bytes for each shard; bounds what one task sorts, some 100 bytes a sample.
+SHARD_BYTES = 8 << 20
 
 
 def difference_cover(v: int) -> tuple[int, ...]:
@@ -73,21 +73,41 @@ def _extend(chosen: tuple[int, ...], v: int, size: int, perfect: bool):
     return None
 
 
-class Suffixes:
-    """A chunk's bytes, the bytes left in the document from each on, and the sampled positions that have a whole core."""
+class Block:
+    """Some documents of a chunk: their bytes and the sampled positions that have a whole core.
 
-    def __init__(self, text: pa.ChunkedArray, core: int, cover: np.ndarray):
-        blocks = list(text_blocks(text, 1 << 62))
-        self.data, self.offsets = (blocks[0][2], blocks[0][3]) if blocks else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        sizes = np.diff(self.offsets)
-        at = np.arange(len(self.data))
-        self.left = np.repeat(self.offsets[1:], sizes) - at
-        self.start = np.repeat(self.offsets[:-1], sizes)
-        self.sample = np.flatnonzero(cover[(at - self.start) % len(cover)] & (self.left >= core))
-        self.prefixes = [prefix_hashes(self.data, base) for base in BASES]
+    What is kept is two prefix sums a byte at most, each from when it is first asked for; all else lives for one call.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, core: int, cover: np.ndarray):
+        self.data, self.offsets = data, offsets
+        within = np.arange(len(data), dtype=self.dense) - self.start()
+        in_cover = np.resize(cover, int(np.diff(offsets).max()))
+        self.sample = np.flatnonzero(in_cover[within] & (self.left() >= core))
+        self.prefixes: dict[int, np.ndarray] = {}
+
+    @property
+    def dense(self) -> type:
+        """The type of a position where every byte has one."""
+        return np.int32 if len(self.data) < 1 << 30 else np.int64
+
+    def start(self) -> np.ndarray:
+        """Where the document of each byte begins."""
+        return np.repeat(self.offsets[:-1].astype(self.dense), np.diff(self.offsets))
 
-    def hashes(self, at: np.ndarray, length: int) -> list[np.ndarray]:
-        return [range_hash(p, at, at + length, base) for p, base in zip(self.prefixes, BASES)]
+    def left(self) -> np.ndarray:
+        """The bytes left in the document from each on."""
+        return np.repeat(self.offsets[1:].astype(self.dense), np.diff(self.offsets)) - np.arange(len(self.data), dtype=self.dense)
+
+    def first(self, at: np.ndarray) -> np.ndarray:
+        """Where the documents of some positions begin."""
+        return self.offsets[np.searchsorted(self.offsets, at, "right") - 1]
+
+    def hashes(self, at: np.ndarray, length: int, which: int) -> np.ndarray:
+        base = BASES[which]
+        if which not in self.prefixes:
+            self.prefixes[which] = prefix_hashes(self.data, base)
+        return range_hash(self.prefixes[which], at, at + length, base)
 
     def covered(self, *runs: tuple[np.ndarray, int]) -> np.ndarray:
         """Whether each byte lies in one of the runs, given as starts and a length."""
@@ -95,12 +115,22 @@ class Suffixes:
         for at, size in runs:
             np.add.at(edges, at, 1)
             np.add.at(edges, at + size, -1)
-        return np.cumsum(edges[:-1]) > 0
+        return np.cumsum(edges[:-1], dtype=np.int32) > 0
 
     def by_row(self, marked: np.ndarray) -> np.ndarray:
         """How many bytes of each document are marked."""
-        counts = np.r_[0, np.cumsum(marked)]
-        return counts[self.offsets[1:]] - counts[self.offsets[:-1]]
+        counts = np.zeros(len(marked) + 1, self.dense)
+        np.cumsum(marked, out=counts[1:])
+        return (counts[self.offsets[1:]] - counts[self.offsets[:-1]]).astype(np.int64)
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def parted(values: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    """What joined put together, or bits of it, by block again."""
+    return np.split(values, np.cumsum([len(x) for x in like])[:-1], axis=-1) if like else []
 
 
 #: In place of a span's hash: the document cuts it off; no string that starts in it can be repeated.
@@ -142,67 +172,89 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS,
     cover = np.zeros(v, bool)
     cover[list(difference_cover(v))] = True
 
-    def suffixes(table) -> Suffixes:
-        return Suffixes(table.column("text"), short, cover)
+    def blocks(table) -> list[Block]:
+        return [Block(data, offsets, short, cover) for _, _, data, offsets in text_blocks(table.column("text"))]
 
-    def sample_keys(s: Suffixes) -> Keys:
-        return Keys(s.hashes(s.sample, short)[0] >> np.uint64(64 - bits) << np.uint64(64 - bits))
+    def sample_keys(chunk: list[Block]) -> Keys:
+        return Keys(joined([b.hashes(b.sample, short, 0) for b in chunk]) >> np.uint64(64 - bits) << np.uint64(64 - bits))
 
-    def core_keys(s: Suffixes, replies: Replies) -> tuple[np.ndarray, np.ndarray, Keys]:
+    def cores(b: Block, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Samples that the first round let pass, the starts that can be repeated, and the samples' cores and spans."""
-        passed, n = s.sample[replies.bits(0, sample_keys(s))], len(s.data)
-        before = np.zeros(n + v + 1, np.int32)
+        passed, n = b.sample[hits], len(b.data)
+        before = np.zeros(n + v + 1, b.dense)
         before[passed + 1] = 1
-        before = np.cumsum(before)
-        lacking = np.r_[0, np.cumsum(before[v : n + v] == before[:n])]  # positions after which v hold no repeated core
-        ends = np.minimum(np.arange(n) + length - short - v + 2, n)
-        can = (s.left >= length) & (lacking[ends] == lacking[:n])
-        starts = np.r_[0, np.cumsum(can)]
-        useful = starts[passed + 1] > starts[np.maximum(passed - v + 1, s.start[passed])]
-        whole = useful & (passed - v + 1 >= s.start[passed]) & (s.left[passed] >= length)
+        np.cumsum(before, out=before)
+        lacking = np.zeros(n + 1, b.dense)
+        np.cumsum(before[v : n + v] == before[:n], out=lacking[1:])  # positions after which v hold no repeated core
+        ends = np.minimum(np.arange(length - short - v + 2, n + length - short - v + 2, dtype=b.dense), n)
+        can = (b.left() >= length) & (lacking[ends] == lacking[:n])
+        starts = np.zeros(n + 1, b.dense)
+        np.cumsum(can, out=starts[1:])
+        first = b.first(passed)
+        useful = starts[passed + 1] > starts[np.maximum(passed - v + 1, first)]
+        whole = useful & (passed - v + 1 >= first) & (b.offsets[np.searchsorted(b.offsets, passed, "right")] - passed >= length)
         spans = np.where(useful, np.uint64(CUT_OFF), np.uint64(NOTHING))
-        spans[whole] = np.maximum(s.hashes(passed[whole] - v + 1, long)[1], np.uint64(NOTHING + 1))
-        return passed, can, Keys(s.hashes(passed, short)[0], spans)
-
-    def bucket_keys(s: Suffixes, replies: Replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, Keys]:
-        """Shared cores, the first suffixes of the resolved spans, the suffixes to be sorted, and their keys."""
-        passed, can, keys = core_keys(s, replies)
-        resolved, go_on, shared_ = replies.bits(1, keys)
-        n, at = len(s.data), passed[go_on]
-        near = np.zeros(n + 1, np.int32)
-        np.add.at(near, np.maximum(at - v + 1, s.start[at]), 1)
-        np.add.at(near, at + 1, -1)
-        some = np.flatnonzero((np.cumsum(near[:-1]) > 0) & can)
-        high, low = s.hashes(some, length)
-        return passed[shared_], passed[resolved] - v + 1, some, Keys(high, low.astype(np.uint32))
+        spans[whole] = np.maximum(b.hashes(passed[whole] - v + 1, long, 1), np.uint64(NOTHING + 1))
+        return passed, can, b.hashes(passed, short, 0), spans
+
+    def core_keys(chunk: list[Block], replies: Replies) -> tuple[list[np.ndarray], list[np.ndarray], Keys]:
+        """By block the samples that passed and the starts that can be repeated; the samples' cores and spans."""
+        hits = parted(replies.bits(0, sample_keys(chunk)), [b.sample for b in chunk])
+        passed, can, high, low = zip(*map(cores, chunk, hits)) if chunk else ((),) * 4
+        return list(passed), list(can), Keys(joined(list(high)), joined(list(low)))
+
+    def near(b: Block, at: np.ndarray, can: np.ndarray) -> np.ndarray:
+        """The suffixes around samples, of those that can be repeated."""
+        edges = np.zeros(len(b.data) + 1, np.int32)
+        np.add.at(edges, np.maximum(at - v + 1, b.first(at)), 1)
+        np.add.at(edges, at + 1, -1)
+        return np.flatnonzero((np.cumsum(edges[:-1], dtype=np.int32) > 0) & can)
+
+    def bucket_keys(chunk: list[Block], replies: Replies) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], Keys]:
+        """By block shared cores, the first suffixes of the resolved spans, and the suffixes to be sorted; these suffixes' keys."""
+        passed, can, keys = core_keys(chunk, replies)
+        told = parted(replies.bits(1, keys), passed)
+        some = [near(b, p[t[1]], c) for b, p, t, c in zip(chunk, passed, told, can)]
+        keys = Keys(*(joined([b.hashes(at, length, which) for b, at in zip(chunk, some)]).astype(kind) for which, kind in enumerate((np.uint64, np.uint32))))
+        return [p[t[2]] for p, t in zip(passed, told)], [p[t[0]] - v + 1 for p, t in zip(passed, told)], some, keys
 
     def ask_samples(table, _) -> Entries:
-        return sample_keys(suffixes(table)).entries
+        return sample_keys(blocks(table)).entries
 
     def ask_cores(table, replies) -> Entries:
-        return core_keys(suffixes(table), replies)[2].entries
+        return core_keys(blocks(table), replies)[2].entries
 
     def ask_buckets(table, replies) -> Entries:
-        return bucket_keys(suffixes(table), replies)[3].entries
+        return bucket_keys(blocks(table), replies)[3].entries
 
-    def finish(table, replies):
-        s = suffixes(table)
-        common, resolved, some, keys = bucket_keys(s, replies)
-        gone = s.covered((resolved, long), (some[replies.bits(2, keys)], length))
+    def cut(b: Block, common: np.ndarray, resolved: np.ndarray, repeated: np.ndarray) -> dict[str, pa.Array]:
+        """A block's columns of the result but the id."""
+        gone = b.covered((resolved, long), (repeated, length))
         first, last = gone.copy(), gone.copy()
         first[1:] &= ~gone[:-1]
         last[:-1] &= ~gone[1:]
-        full = s.offsets[:-1] < s.offsets[1:]
-        first[s.offsets[:-1][full]] = gone[s.offsets[:-1][full]]
-        last[s.offsets[1:][full] - 1] = gone[s.offsets[1:][full] - 1]
+        full = b.offsets[:-1] < b.offsets[1:]
+        first[b.offsets[:-1][full]] = gone[b.offsets[:-1][full]]
+        last[b.offsets[1:][full] - 1] = gone[b.offsets[1:][full] - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        cuts = np.searchsorted(starts, s.offsets).astype(np.int32)
-        spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(starts - s.start[starts]), pa.array(ends - s.start[starts])], ["start", "end"]))
-        kept, removed = s.data[~gone], s.by_row(gone)
-        kept_offsets = np.r_[0, np.cumsum(np.diff(s.offsets) - removed)]
-        kept = pa.Array.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(kept_offsets.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
-        n_shared = s.by_row(s.covered((common, short)))
-        return pa.table({"id": table.column("id"), "n_bytes": pa.array(np.diff(s.offsets)), "n_removed": pa.array(removed, pa.int64()), "n_shared": pa.array(n_shared, pa.int64()), "spans": spans, "kept": kept})
+        cuts = np.searchsorted(starts, b.offsets).astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(starts - b.first(starts)), pa.array(ends - b.first(starts))], ["start", "end"]))
+        kept, removed = b.data[~gone], b.by_row(gone)
+        kept_offsets = np.r_[0, np.cumsum(np.diff(b.offsets) - removed)]
+        kept = pa.Array.from_buffers(pa.large_binary(), len(removed), [None, pa.py_buffer(kept_offsets.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
+        n_shared = b.by_row(b.covered((common, short)))
+        return {"n_bytes": pa.array(np.diff(b.offsets)), "n_removed": pa.array(removed), "n_shared": pa.array(n_shared), "spans": spans, "kept": kept}
+
+    def finish(table, replies):
+        chunk = blocks(table)
+        common, resolved, some, keys = bucket_keys(chunk, replies)
+        repeated = [at[hit] for at, hit in zip(some, parted(replies.bits(2, keys), some))]
+        found, at = [], 0
+        for parts in zip(chunk, common, resolved, repeated):
+            columns = cut(*parts)
+            found.append(pa.table({"id": table.column("id").slice(at, len(columns["kept"])), **columns}))
+            at += len(columns["kept"])
+        return pa.concat_tables(found)
 
     schema = f"id {base.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_shared long, spans array<struct<start:long,end:long>>, kept binary"
     samples = Kind(shards, 64 - bits)
